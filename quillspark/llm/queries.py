@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from .chat import format_preferences
 from .common import table
+from .gif import media_columns
 from .license_scan import PHRASES, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .token_files import token_index
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +31,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark, table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(spark, table(spark, sf_dir, "documents")).drop("frame_ms", "histogram")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "array(source)", (3, 1, 2))
     return out.select("doc_id", "size", "source_size", "target", "taken")
