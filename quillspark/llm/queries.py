@@ -16,6 +16,7 @@ from .license_scan import PHRASES, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .token_files import token_index
+from .warc import archive
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark, table(spark, sf_dir, "documents")).drop("spans")
 
@@ -91,5 +96,18 @@ FROM m GROUP BY doc_id
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST(concat('0x', substr(hex, 1 + 10 * CAST(i // 8 AS INT), 10)) AS BIGINT) >> (5 * (7 - i % 8))) & 31 AS INT), 1)) AS digits FROM d)
+SELECT page_id, payload_bytes, array_to_string(digits, '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_warc": OP5_SQL}

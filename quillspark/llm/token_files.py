@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 MAGIC, TERMINATOR = b"QS8B", b"\n"
-HEAD = struct.Struct("<4sIIIQI")
+HEAD = "<4sIIIQI"
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 
@@ -193,7 +193,7 @@ def _encoded(path: str, end_id: int, block_ids: int):
             n = np.array([len(p) for p in parts])
             words, offsets = pack(np.concatenate(parts).astype(np.uint64), np.cumsum(n) - n)
             null = pd.isna(pd.Series(ids, dtype=object)).to_numpy()
-            body = HEAD.pack(MAGIC, shard, block, len(n), int(n.sum()), len(words))
+            body = struct.pack(HEAD, MAGIC, shard, block, len(n), int(n.sum()), len(words))
             body += np.array([0 if z else int(i) for i, z in zip(ids, null, strict=True)], "<i8").tobytes() + null.astype(np.uint8).tobytes()
             body += n.astype("<u4").tobytes() + offsets.tobytes() + words.tobytes()
             block, held, ids, size = block + 1, [], [], 0
@@ -230,10 +230,10 @@ def blocks_of(data: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndar
     """shard, block, doc_ids, id counts and ids of each block of a file."""
     at = 0
     while at < len(data):
-        magic, shard, block, docs, n, words = HEAD.unpack_from(data, at)
+        magic, shard, block, docs, n, words = struct.unpack_from(HEAD, data, at)
         if magic != MAGIC:
             raise ValueError(f"no block at byte {at}")
-        at += HEAD.size
+        at += struct.calcsize(HEAD)
         arrays = []
         for kind, count in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", docs), ("<u8", words)):
             arrays.append(np.frombuffer(data, kind, count, at))
