@@ -11,6 +11,7 @@ import public_tokenizers
 
 from .chat import format_preferences
 from .common import table
+from .decontaminate import find_leaks, leak_report
 from .gif import media_columns
 from .license_scan import PHRASES, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
@@ -27,6 +28,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(turns)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return leak_report(found)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark, table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
