@@ -108,3 +108,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def with_default(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns: extra columns of the input can't clash with those an operator makes."""
     return df.select(*names)
+
+
+# Hashes of all words of many texts at once: a polynomial over random byte values (fixed by a seed) modulo 2**64, taken
+# from prefix sums, then mixed.
+_RANDOM = np.random.default_rng(20240229)
+_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; kept for the next call."""
+    if len(_POWERS[0]) < n:
+        size = 1 << int(n).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.ones(size, np.uint64)
+            out[1:] = np.uint64(base)
+            _POWERS[i] = np.cumprod(out)
+    return _POWERS[0], _POWERS[1]
+
+
+def hash_words(data: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of each word of data; gap: which of the 256 bytes stand between words."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate((np.zeros(1, np.int8), ~gap[b], np.zeros(1, np.int8))).view(np.int8)
+    step = np.diff(inside)
+    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    power, inverse = _powers(len(b) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)))
+    return mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)), start, stop
+
+
+GAP_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+GAP_32 = np.arange(256) == 32
+
+
+def joined(texts: list[str | None], table_: bytes | None = None) -> tuple[bytes, np.ndarray]:
+    """Texts in UTF-8, each followed by a space, with A-Z lower-cased (or table_ applied), and where each begins."""
+    raw = [(t or "").encode() + b" " for t in texts]
+    begins = np.cumsum([0, *map(len, raw)])
+    data = b"".join(raw)
+    return data.translate(table_) if table_ else data.lower(), begins
+
+
+ALNUM_BYTES = _ALNUM_BYTES

@@ -17,6 +17,7 @@ from .license_scan import PHRASES, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .token_files import token_index
+from .toxicity import fold, with_toxicity
 from .warc import archive
 
 
@@ -54,6 +55,13 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(spark, table(spark, sf_dir, "documents")).drop("frame_ms", "histogram")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = with_toxicity(spark, docs, labels, threshold=0.3)
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "array(source)", (3, 1, 2))
     return out.select("doc_id", "size", "source_size", "target", "taken")
