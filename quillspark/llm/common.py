@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,3 +157,56 @@ def joined(texts: list[str | None], table_: bytes | None = None) -> tuple[bytes,
 
 
 ALNUM_BYTES = _ALNUM_BYTES
+
+
+def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Consecutive texts of about `most` characters in all."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+# Tables of counts of fixed size, gathered over all tasks: each task sends its table in compressed chunks, and these are
+# added in two steps, so no task holds more than its chunks, however many tasks there were.
+CHUNK = 1 << 12
+COUNT_SCHEMA = "tbl int, chunk int, salt int, counts binary"
+
+
+def count_rows(counts: np.ndarray) -> pd.DataFrame:
+    """counts: tables x buckets, of the task that calls."""
+    salt, rows = TaskContext.get().partitionId() % 16, []
+    for t in range(len(counts)):
+        for c in range(0, counts.shape[1], CHUNK):
+            part = counts[t, c : c + CHUNK]
+            if part.any():
+                rows.append((t, c // CHUNK, salt, zlib.compress(part.astype("<i8").tobytes(), 1)))
+    return pd.DataFrame(rows, columns=["tbl", "chunk", "salt", "counts"])
+
+
+def _adder(salted: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for t, c, s, raw in zip(pdf["tbl"].tolist(), pdf["chunk"].tolist(), pdf["salt"].tolist(), pdf["counts"], strict=True):
+                part = np.frombuffer(zlib.decompress(raw), "<i8")
+                key = (t, c, s if salted else 0)
+                sums[key] = sums[key] + part if key in sums else part
+        yield pd.DataFrame([(*k, zlib.compress(v.tobytes(), 1)) for k, v in sums.items()], columns=["tbl", "chunk", "salt", "counts"])
+
+    return run
+
+
+def sum_counts(spark: SparkSession, parts: DataFrame, tables: int, buckets: int) -> np.ndarray:
+    """The sum of the tables that all tasks sent; buckets: a multiple of CHUNK."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(n, "tbl", "chunk", "salt").mapInPandas(_adder(True), COUNT_SCHEMA)
+    parts = parts.repartition(n, "tbl", "chunk").mapInPandas(_adder(False), COUNT_SCHEMA)
+    out = np.zeros((tables, buckets), np.int64)
+    for r in parts.collect():  # as many counts as the table has
+        out[r["tbl"], r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    return out

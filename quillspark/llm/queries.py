@@ -16,6 +16,7 @@ from .gif import media_columns
 from .license_scan import PHRASES, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import Similarity, jaccard_components
 from .token_files import token_index
 from .toxicity import fold, with_toxicity
 from .warc import archive
@@ -62,6 +63,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), Similarity(75, 100, words=5))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "array(source)", (3, 1, 2))
     return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -26,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, GAP_32, hash_words, joined, mix64, small_batches
+from .common import ALNUM_BYTES, COUNT_SCHEMA, GAP_32, count_rows, hash_words, joined, mix64, slices, small_batches, sum_counts
 
-BUCKETS, CHUNK, STEM, DISCOUNT = 1 << 20, 1 << 12, 5, 0.75
+BUCKETS, STEM, DISCOUNT = 1 << 20, 5, 0.75
 #: Counts by table: words and stems of all documents, of ordinary and of toxic ones.
 TABLES = 6
 
@@ -54,18 +53,6 @@ def _document_counts(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.bincount(np.unique(doc * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
-    """Consecutive texts of about `most` characters in all."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def _counter(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
@@ -85,47 +72,15 @@ def _counter(broadcast):
                     if c == 0 or mask.any():
                         counts[2 * c] += _document_counts(word[mask], doc[mask])
                         counts[2 * c + 1] += _document_counts(stem[mask], doc[mask])
-        yield from _rows(counts, TaskContext.get().partitionId() % 16)
-
-    return run
-
-
-def _rows(counts: np.ndarray, salt: int) -> Iterator[pd.DataFrame]:
-    rows = []
-    for t in range(TABLES):
-        for c in range(0, BUCKETS, CHUNK):
-            part = counts[t, c : c + CHUNK]
-            if part.any():
-                rows.append((t, c // CHUNK, salt, zlib.compress(part.astype("<i8").tobytes(), 1)))
-    yield pd.DataFrame(rows, columns=["tbl", "chunk", "salt", "counts"])
-
-
-def _adder(salted: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}  # a task holds its keys' chunks only, whatever the number of rows
-        for pdf in batches:
-            for t, c, s, raw in zip(pdf["tbl"].tolist(), pdf["chunk"].tolist(), pdf["salt"].tolist(), pdf["counts"], strict=True):
-                part = np.frombuffer(zlib.decompress(raw), "<i8")
-                key = (t, c, s if salted else 0)
-                sums[key] = sums[key] + part if key in sums else part
-        yield pd.DataFrame([(*k, zlib.compress(v.tobytes(), 1)) for k, v in sums.items()], columns=["tbl", "chunk", "salt", "counts"])
+        yield count_rows(counts)
 
     return run
 
 
-SCHEMA = "tbl int, chunk int, salt int, counts binary"
-
-
 def corpus_counts(spark: SparkSession, docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """TABLES x BUCKETS counts over all documents."""
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_counter(spark.sparkContext.broadcast(labelled)), SCHEMA)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.repartition(n, "tbl", "chunk", "salt").mapInPandas(_adder(True), SCHEMA)
-    parts = parts.repartition(n, "tbl", "chunk").mapInPandas(_adder(False), SCHEMA)
-    out = np.zeros((TABLES, BUCKETS), np.int64)
-    for r in parts.collect():  # TABLES * BUCKETS counts at most
-        out[r["tbl"], r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    return out
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_counter(spark.sparkContext.broadcast(labelled)), COUNT_SCHEMA)
+    return sum_counts(spark, parts, TABLES, BUCKETS)
 
 
 @dataclass
