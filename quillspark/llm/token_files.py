@@ -142,45 +142,77 @@ def _tokenizer(path: str):
 class WordEncoder:
     """Ids of a text by pieces between white space, remembered: the pre-tokenizer never joins over white space.
 
-    The memory is emptied when it holds `most` pieces, so it is bounded whatever the texts.
+    When the memory holds `most` pieces, those that the present texts don't use are dropped, so it is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.model, self.most, self.seen = _tokenizer(path), most, {}
-        self.kind = np.dtype("<u2" if self.model.get_vocab_size() < 65536 else "<u4")
+        size = self.model.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.stop = {b"."[0]: self._ids(["."])[0], b","[0]: self._ids([","])[0]}
+        # Tokens that end a word, if the vocabulary marks them: several words can then be encoded as one text.
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone, each one piece to the pre-tokenizer."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for own, e in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(cut) == len(own):
+                raw, cut = ids.tobytes(), [0, *cut.tolist()]
+                out += [raw[x:y] for x, y in zip(cut, cut[1:])]
+            else:
+                out += self._ids([w.decode() for w in own])
+        return out
 
     def _learn(self, pieces: set[bytes]) -> None:
-        whole: dict[bytes, tuple[str, bytes]] = {}
+        seen, stopped, letters, other = self.seen, [], set(), []
         for p in pieces:
-            w = p.decode()
-            if w.isascii():
-                w = w.lower()
-            # a letter run and a stop are pieces of their own to the pre-tokenizer
-            whole[p] = (w[:-1], p[-1:]) if p[-1:] in (b".", b",") and w[:-1].isalpha() else (w, b"")
-        new = list({w for w, _ in whole.values()} | {s.decode() for _, s in whole.values() if s})
-        ids: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, self.kind).tobytes()
-        for p, (w, stop) in whole.items():
-            self.seen[p] = ids[w] + (ids[stop.decode()] if stop else b"")
+            if p.isalpha() or p.decode().isalpha():
+                letters.add(p)
+            elif p[-1] in self.stop and (p[:-1].isalpha() or p[:-1].decode().isalpha()):
+                stopped.append(p)  # a letter run and a stop are pieces of their own to the pre-tokenizer
+                if p[:-1] not in seen:
+                    letters.add(p[:-1])
+            else:
+                other.append(p)
+        known = list(letters)
+        seen.update(zip(known, self._letters(known), strict=True))
+        seen.update(zip(other, self._ids([p.decode() for p in other]), strict=True))
+        for p in stopped:
+            seen[p] = seen[p[:-1]] + self.stop[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        new = set(itertools.chain.from_iterable(split)) - self.seen.keys()
+        raw = [t.encode() if t else b"" for t in texts]
+        # the vocabulary is lower case; a special token is special only as it is written
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        used = set(itertools.chain.from_iterable(split))
+        new = used.difference(self.seen)
         if len(self.seen) + len(new) > self.most:
-            self.seen = {}
-            new = set(itertools.chain.from_iterable(split))
+            self.seen = {p: self.seen[p] for p in used.intersection(self.seen)}
         if new:
             self._learn(new)
         get = self.seen.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def _encoded(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = WordEncoder(path)
+        enc = _encoder(path)
         shard, block = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         ids: list = []
