@@ -30,6 +30,8 @@ from .common import Scratch, small_batches
 
 #: Fixed values of the format.
 MAGIC, BREAK, RECORD_END = b"WARC/1.0\r\n", "\r\n", "\r\n\r\n"
+#: Payloads with copies, of about 60 bytes each, that may be broadcast.
+MAX_BROADCAST = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -47,15 +49,16 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.octet_length(payload).cast("long").alias("n"),
     )
     # Copies of one payload may be a third of all rows. What answers for a payload is found by a partial aggregate; only
-    # payloads with copies go on. Those with at least 1/65536 of all pages are 65536 at most and may be broadcast; the
-    # others are joined by shuffle, on ids and digests alone.
+    # payloads with copies go on. If they are MAX_BROADCAST at most they are broadcast, and no page is shuffled. Else those
+    # with at least 1/65536 of all pages, which are 65536 at most, are broadcast, and the others are joined by shuffle.
     slim = own.select("page_id", "hex").filter(F.col("n") >= min_bytes)
     groups = slim.groupBy("hex").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
     groups = groups.filter("copies > 1")
-    hot = F.col("copies") * 65536 >= pages.count()
+    few = groups.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    hot = F.lit(True) if few else F.col("copies") * 65536 >= pages.count()
     a = own.join(F.broadcast(groups.filter(hot).select("hex", F.col("first").alias("hot_first"))), "hex", "left")
     b = groups.filter(~hot).select("hex", F.col("first").alias("cold_first"))
-    own = a.join(b, "hex", "left")
+    own = a.withColumn("cold_first", F.lit(None).cast("long")) if few else a.join(b, "hex", "left")
     first = F.coalesce("hot_first", "cold_first")
     again = first.isNotNull() & ~first.eqNullSafe(F.col("page_id"))
     # A null id never answers for others unless all are null.
