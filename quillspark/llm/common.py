@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -59,8 +61,22 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit("row"), doc_id, F.coalesce(text, F.lit("\x00null")))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: their workers needn't have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_quill_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        out = Path(tempfile.mkdtemp(prefix="quill-")) / "quill_package.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(out))
+        context._quill_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of so many rows at most, so that long texts don't pile up in a Python worker."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
