@@ -13,12 +13,16 @@ all). The order is by the level of a count sketch over all documents, then by ha
 decides how large blocks get, not what is found. The sketch has a fixed size and is broadcast.
 
 1. Equal sets are made one class (fingerprints of 128 bits and the size); one representative goes on.
-2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. Larger blocks
-   give, for a start, the pairs of neighbours in order and of each with the first.
-3. Candidates are bounded by their points, then verified. Links give components.
-4. Larger blocks that still hold several components are joined by an R-tree each. A node pair within one component is
-   left out. For each member and other component the few best bounds are verified, then more, then all that are left:
-   groups of near copies never give all their pairs, and no link between components is lost.
+2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. In larger
+   blocks every member is a candidate with the first. Components of the candidates are clusters: no link leaves one.
+3. The texts of a cluster go to one task once, if they are within `cluster_shingles` in all. There an R-tree is built over
+   its points and joined with itself. Pairs that the bounds leave are verified best first, unless the links found so far
+   connect them already.
+4. A cluster beyond that size stays dealt out by blocks. Its candidates are bounded and verified as pairs; then blocks
+   that still hold several components are joined by an R-tree each. For each member and other component the few best
+   bounds are verified, then all that are left. A node pair within one component is left out.
+
+So groups of near copies never give all their pairs, and no link between components is lost.
 
 Links inside a component are not all listed: the result is the class id of each document (its smallest reachable id).
 A null or empty text has no shingles and no links; a text with fewer words than a shingle is one shingle. A row with a
@@ -85,8 +89,9 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+def point(s: np.ndarray, bits: int = 6) -> np.ndarray:
+    """Counts of the hashes by their first bits."""
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
 def points(raw) -> np.ndarray:
@@ -133,7 +138,7 @@ def _profiles(broadcast, sim: Similarity):
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key. Pairs of small blocks (kind 0), starting pairs (0) and members (1: key, doc) of larger ones."""
+    """Rows sorted by key. Pairs of small blocks (kind 0); pairs with the first (2) and members (1: key, doc) of larger ones."""
     held_k, held = np.empty(0, np.int64), np.empty((0, 2), np.int64)
 
     def emit(k: np.ndarray, docs: np.ndarray) -> pd.DataFrame | None:
@@ -150,12 +155,13 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = own[np.lexsort((own[:, 0], own[:, 1]))]
             low = np.argmin(own[:, 0])
             rest = np.delete(own, low, 0)
-            parts.append((0, np.repeat(own[low : low + 1], m - 1, 0), rest))
-            parts.append((0, own[:-1], own[1:]))
+            parts.append((2, np.repeat(own[low : low + 1], m - 1, 0), rest))
             parts.append((1, np.column_stack((np.full(m, k[begin]), own[:, 1])), own))
         rows = []
         for kind, x, y in parts:
-            if kind == 0:  # no link between sizes so far apart
+            if kind == 2:
+                a, b = x[:, 0], y[:, 0]
+            elif kind == 0:  # no link between sizes so far apart
                 fits = (np.minimum(x[:, 1], y[:, 1]) >= SIZE_RATIO * np.maximum(x[:, 1], y[:, 1])) & (x[:, 0] != y[:, 0])
                 a, b = np.minimum(x[fits, 0], y[fits, 0]), np.maximum(x[fits, 0], y[fits, 0])
             else:
@@ -307,6 +313,64 @@ def _tree_pairs(sim: Similarity, k: int | None):
     return run
 
 
+def join_cluster(docs: list[int], sets: list[np.ndarray], sim: Similarity) -> list[tuple[int, int]]:
+    """doc and component of each distinct member that has a link."""
+    up = list(range(len(docs)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+
+    def try_link(x: int, y: int) -> None:
+        x_, y_ = root(x), root(y)
+        if x_ != y_ and SIZE_RATIO * max(sizes[x], sizes[y]) <= min(sizes[x], sizes[y]):
+            overlap = len(sets[x]) + len(sets[y]) - len(np.unique(np.concatenate((sets[x], sets[y]))))
+            if sim.links(overlap, len(sets[x]), len(sets[y])):
+                up[max(x_, y_)] = min(x_, y_)
+
+    for k in range(4):  # for a start, neighbours in the order of a minimal hash
+        order = np.argsort(np.array([(s * _MULTIPLIERS[k]).min() for s in sets], np.uint64))
+        for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            try_link(x, y)
+    at = np.stack([point(s, 8) for s in sets])  # in one task finer points cost little
+    tree = RTree(at, sizes, np.array([root(x) for x in range(len(docs))]))
+    for x, y, gain in tree.join(sim):
+        for i in np.argsort(-gain, kind="stable").tolist():
+            try_link(int(x[i]), int(y[i]))
+    least: dict[int, int] = {}
+    for x, d in enumerate(docs):
+        r = root(x)
+        least[r] = min(least.get(r, d), d)
+    return [(d, least[root(x)]) for x, d in enumerate(docs) if least[root(x)] != d]
+
+
+def _cluster_links(sim: Similarity):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by cluster."""
+        cluster, docs, sets = None, [], []
+
+        def emit() -> pd.DataFrame:
+            return pd.DataFrame(join_cluster(docs, sets, sim) if len(docs) > 1 else [], columns=["node", "component"], dtype="int64")
+
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            own = [s for part in slices(texts) for s in shingle_sets(texts[part], sim.words)]
+            for c, d, s in zip(pdf["cluster"].tolist(), pdf["doc"].tolist(), own, strict=True):
+                if c != cluster and docs:
+                    yield emit()
+                    docs, sets = [], []
+                cluster = c
+                docs.append(d)
+                sets.append(s)
+        if docs:
+            yield emit()
+
+    return run
+
+
 def _bloom(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((1, 1 << bits), np.int64)
@@ -323,10 +387,10 @@ def _slot(ids: np.ndarray, seed: int, bits: int) -> np.ndarray:
 
 
 class Join:
-    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity):
-        self.spark, self.sim, self.scratch = spark, sim, Scratch(spark, "jaccard")
+    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity, cluster_shingles: int):
+        self.spark, self.sim, self.cluster_shingles, self.scratch = spark, sim, cluster_shingles, Scratch(spark, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.links: DataFrame | None = None
+        self.shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.rounds = 0
 
     def profiles(self) -> DataFrame:
@@ -338,81 +402,106 @@ class Join:
         schema = "doc_id long, n long, f1 long, f2 long, point binary, keys array<long>"
         return self.scratch.stash(self.docs.mapInPandas(_profiles(levels, sim), schema), "profiles")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """pairs: a < b with n_a, n_b, point_a, point_b. Adds those that link to the links."""
-        r = self.rounds = self.rounds + 1
-        pairs = self.scratch.stash(pairs.mapInPandas(_within_bound(self.sim), "a long, b long").distinct(), f"pairs-{r}")
-        if not (n := pairs.count()):
-            return
-        # Only texts of candidates are shuffled: a Bloom filter, of a size fixed by a bound, passes them.
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bits = min(26, max(16, (n * 8).bit_length()))
-        bloom = self.spark.sparkContext.broadcast(np.packbits(sum_counts(self.spark, ids.mapInPandas(_bloom(bits), COUNT_SCHEMA), 1, 1 << bits)[0] > 0))
+    def texts(self, ids: DataFrame, most: int) -> DataFrame:
+        """Texts of the ids (one column, most rows at most), and a few others: only these need to be shuffled. They pass
+        a Bloom filter, whose size is bounded."""
+        bits = min(26, max(16, (most * 8).bit_length()))
+        bloom = self.spark.sparkContext.broadcast(
+            np.packbits(sum_counts(self.spark, ids.toDF("id").mapInPandas(_bloom(bits), COUNT_SCHEMA), 1, 1 << bits)[0] > 0))
 
         def passes(ids: pd.Series) -> pd.Series:
             own = ids.fillna(0).to_numpy(np.int64)
-            kept = ids.notna().to_numpy()
+            kept = ids.notna().to_numpy(copy=True)
             for seed in (1, 2):
                 slot = _slot(own, seed, bits)
                 kept &= (bloom.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
             return pd.Series(kept)
 
         passes.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-        texts = self.scratch.stash(self.docs.filter(F.pandas_udf(passes, "boolean")("doc_id")), f"texts-{r}")
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        links = self.scratch.stash(both.mapInPandas(_verified(self.sim), "a long, b long"), f"links-{r}")
-        self.links = links if self.links is None else self.links.unionByName(links)
+        return self.docs.filter(F.pandas_udf(passes, "boolean")("doc_id"))
 
     def run(self) -> DataFrame:
-        spark, sim, scratch = self.spark, self.sim, self.scratch
+        sim, scratch = self.sim, self.scratch
         profiles = self.profiles()
         kind = ["n", "f1", "f2"]
         real = profiles.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
         classes = scratch.stash(real.groupBy(*kind).agg(F.min("doc_id").alias("rep")), "classes")
-        reps = scratch.stash(
+        reps = (
             profiles.join(classes, [*kind]).filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", *kind])
-            .select(F.col("doc_id").alias("doc"), "n", "point", "keys"), "reps")
+            .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
-        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         blocks = scratch.stash(
-            keyed.repartition(shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks, "kind int, a long, b long"), "blocks")
-        side = lambda s: reps.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"point_{s}"))
+            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks, "kind int, a long, b long"), "blocks")
         pairs = blocks.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times")).filter(F.col("times") >= SHARED).select("a", "b")
-        self.verify(pairs.join(side("a"), "a").join(side("b"), "b"))
-        members = blocks.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"))
-        tested = None
-        for k in (4, 64, None):
-            part = self.components(f"components-{self.rounds}")
-            # Larger blocks with one component have nothing left to find.
-            placed = members.join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            placed = scratch.stash(placed, f"placed-{k}")
-            ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            open_ = placed.join(ends.select("key"), "key", "left_semi")
-            rows = open_.join(reps.select("doc", "n", "point"), "doc").repartition(shuffles, "key").sortWithinPartitions("key")
-            found = rows.mapInPandas(_tree_pairs(sim, k), "a long, b long").distinct()
-            if tested is not None:
-                found = found.join(tested, ["a", "b"], "left_anti")
-            found = scratch.stash(found, f"found-{k}")
-            if found.isEmpty():
-                if tested is None or k is None:
-                    break
-                continue
-            tested = found if tested is None else tested.unionByName(found)
-            self.verify(found.join(side("a"), "a").join(side("b"), "b"))
-        part = self.components("components-last")
+        pairs = scratch.stash(pairs.unionByName(blocks.filter("kind = 2").select("a", "b").distinct()), "pairs")
+        clusters = components(scratch, pairs, "cluster").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+        clusters = scratch.stash(clusters.unionByName(clusters.select(F.col("cluster").alias("doc"), "cluster").distinct()), "clusters")
+        sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"))
+        sizes = scratch.stash(sizes, "sizes")
+        fits = clusters.join(sizes.filter(F.col("shingles") <= self.cluster_shingles), "cluster", "left_semi")
+        texts = self.texts(fits.select("doc"), fits.count()).join(fits, F.col("doc_id") == F.col("doc")).select("cluster", "doc", "text")
+        found = texts.repartition(self.shuffles, "cluster").sortWithinPartitions("cluster").mapInPandas(_cluster_links(sim), "node long, component long")
+        part = scratch.stash(found, "components")
+        large = clusters.join(sizes.filter(F.col("shingles") > self.cluster_shingles), "cluster", "left_semi").select("doc")
+        if not large.isEmpty():
+            part = part.unionByName(Spread(self, reps, blocks, pairs, large).run())
+        part = part.groupBy("node").agg(F.min("component").alias("component"))  # ids that repeat with another text
         rep_of = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("component", "rep").alias("component_id"))
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return profiles.select("doc_id", *kind).join(rep_of, kind, "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
-    def components(self, name: str) -> DataFrame:
-        if self.links is None:
-            return self.spark.createDataFrame([], "node long, component long")
-        return components(self.scratch, self.links, name)
 
+class Spread:
+    """The join of clusters too large for one task, dealt out by pairs and blocks."""
+
+    def __init__(self, join: Join, reps: DataFrame, blocks: DataFrame, pairs: DataFrame, docs: DataFrame):
+        self.join, self.sim, self.scratch = join, join.sim, join.scratch
+        self.reps = self.scratch.stash(reps.select("doc", "n", "point").join(docs, "doc", "left_semi"), "large")
+        self.pairs = pairs.join(docs.toDF("a"), "a", "left_semi")
+        self.members = blocks.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc")).join(docs, "doc", "left_semi")
+        self.links: DataFrame | None = None
+        self.rounds = 0
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the pairs (a < b) that link to the links."""
+        r = self.rounds = self.rounds + 1
+        side = lambda s: self.reps.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"point_{s}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_within_bound(self.sim), "a long, b long").distinct()
+        pairs = self.scratch.stash(pairs, f"verify-{r}")
+        if pairs.isEmpty():
+            return
+        texts = self.join.texts(self.reps.select("doc"), self.reps.count())
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+            texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        links = self.scratch.stash(both.mapInPandas(_verified(self.sim), "a long, b long"), f"links-{r}")
+        self.links = links if self.links is None else self.links.unionByName(links)
+
+    def components(self) -> DataFrame:
+        if self.links is None:
+            return self.join.spark.createDataFrame([], "node long, component long")
+        return components(self.scratch, self.links, f"components-{self.rounds}")
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    def run(self) -> DataFrame:
+        self.verify(self.pairs)
+        tested = self.pairs
+        for k in (4, None):
+            part = self.components().withColumnRenamed("node", "doc")
+            placed = self.members.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            placed = self.scratch.stash(placed, f"placed-{k}")
+            ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+            open_ = placed.join(ends.select("key"), "key", "left_semi").join(self.reps, "doc")
+            rows = open_.repartition(self.join.shuffles, "key").sortWithinPartitions("key")
+            found = rows.mapInPandas(_tree_pairs(self.sim, k), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+            found = self.scratch.stash(found, f"found-{k}")
+            tested = tested.unionByName(found)
+            self.verify(found)
+        return self.components()
+
+
+def jaccard_components(
+    spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity(), cluster_shingles: int = 4_000_000,
+) -> DataFrame:
     """doc_id, text in; doc_id, n_shingles, component_id out, a row for each row."""
     small_batches(spark)
-    return Join(spark, docs, similarity).run()
+    return Join(spark, docs, similarity, cluster_shingles).run()
