@@ -18,16 +18,15 @@ longer than a shard is a shard. Extra columns stay outside. An empty benchmark o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, row_key, small_batches
+from .common import ALNUM_BYTES, alnum_words, row_key, small_batches
 
 SAMPLE = 8
 SCHEMA = "doc_id string, text string, n_words long, spans array<array<long>>, items array<string>"
@@ -306,5 +305,33 @@ def leak_report(found: DataFrame) -> DataFrame:
     )
 
 
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def is_contaminated(spark: SparkSession, benchmark: DataFrame, text: Column, window: int = 10, block_words: int = 1_000_000) -> Column:
+    """Whether a text holds a window, with an index for each Arrow batch: rows stay where they are, whatever columns they
+    have."""
+    small_batches(spark)
+    out = F.lit(False)
+    for phrases in blocks(benchmark, window, block_words):
+        out = out | _holds(spark.sparkContext.broadcast(phrases))(text)
+    return out
+
+
+def _holds(shared):
+    def search(parts):
+        for texts in parts:
+            yield pd.Series([bool(spans) for _, spans, _ in search_shard(texts.tolist(), shared.value)], dtype=bool)
+
+    search.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(search, "boolean")
+
+
+def cut_spans(text: str, spans: list[list[int]]) -> str:
+    """The text without the words of the spans and what stands between them; the rest is as it was."""
+    raw = text.encode()
+    b = np.frombuffer(raw.translate(ALNUM_BYTES), np.uint8) != 32
+    step = np.diff(np.concatenate(([0], b.view(np.int8), [0])))
+    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    out, at = [], 0
+    for a, z in spans:
+        out.append(raw[at : start[a]])
+        at = int(stop[z - 1])
+    return b"".join([*out, raw[at:]]).decode()

@@ -100,17 +100,20 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], max_pa
 
 def mix(
     spark: SparkSession, docs: DataFrame, sources: str = "array(source)", weight_cycle: tuple[int, ...] = (3, 1, 2),
-    share: Fraction = Fraction(3, 2), max_passes: int = 2, seed: int = 11,
+    share: Fraction = Fraction(3, 2), max_passes: int = 2, seed: int = 11, keep_columns: bool = False,
 ) -> DataFrame:
-    """docs: doc_id, text and what `sources` (SQL for an array of source names) reads. Adds to each row: size, sources
-    (sorted), source_size and target (of the first source), taken (words, repeats counted)."""
+    """docs: doc_id, text and what `sources` (SQL for an array of source names) reads. A row for each row: doc_id, size,
+    sources (sorted), source_size and target (of the first source), taken (words, repeats counted), passes (whole ones).
+    With keep_columns the columns of docs come as one struct, doc; what is broadcast places each row where it is, so
+    texts aren't shuffled."""
     scratch = Scratch(spark, "mix")
     mask = (1 << BITS) - 1
-    own = docs.select(
-        "doc_id", F.array_sort(F.array_distinct(F.expr(sources))).alias("members"), space_count(F.col("text")).alias("size"),
+    derived = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id"),
+        F.array_sort(F.array_distinct(F.expr(sources))).alias("members"), space_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"), F.xxhash64(F.lit(seed + 1), F.col("text"), F.col("doc_id")).alias("u2"),
     )
-    own = scratch.stash(own, "sizes")
+    own = scratch.stash(derived.drop("doc"), "sizes")
     seen = own.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(seen) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -134,11 +137,11 @@ def mix(
         quota, "q_members array<string>, source_size long, target double, passes long, rest long"
     ).coalesce(1)
     # At most MAX_PATTERNS rows, so it may be broadcast.
-    rows = own.join(F.broadcast(plan), F.col("members").eqNullSafe(F.col("q_members")), "left").drop("q_members")
+    planned = lambda df: df.join(F.broadcast(plan), F.col("members").eqNullSafe(F.col("q_members")), "left").drop("q_members")
+    rows = planned(own)
 
     # Refine the bucket of the hash in which the rest runs out. Each level reads counts of at most 4096 buckets a pattern.
-    cut = rows.select("members", "rest").limit(0)
-    slot = lambda level: F.shiftrightunsigned("u", 64 - BITS * (level + 1)).bitwiseAND(F.lit(mask if level else (1 << BITS) - 1))
+    slot = lambda level: F.shiftrightunsigned("u", 64 - BITS * (level + 1)).bitwiseAND(F.lit(mask))
     edge = plan.select(F.col("q_members").alias("e_members"), F.col("rest").alias("e_rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         inside = rows.join(F.broadcast(edge), F.col("members").eqNullSafe(F.col("e_members")) & (
@@ -152,20 +155,50 @@ def mix(
         ).collect()  # a row a pattern at most
         edge = spark.createDataFrame([(r["members"], r["left"], r["prefix"]) for r in cut], "e_members array<string>, e_rest long, prefix long").coalesce(1)
     head = F.shiftrightunsigned("u", 64 - BITS * LEVELS)
-    placed = rows.join(F.broadcast(edge), F.col("members").eqNullSafe(F.col("e_members")), "left")
-    whole = F.when((F.col("rest") > 0) & (F.col("prefix").isNull() | (head < F.col("prefix"))), F.col("size")).otherwise(F.lit(0))
+    with_edge = lambda df: df.join(F.broadcast(edge), F.col("members").eqNullSafe(F.col("e_members")), "left")
     at_edge = F.coalesce((head == F.col("prefix")) & (F.col("rest") > 0), F.lit(False))
     order = Window.partitionBy("members").orderBy("u", "u2", "doc_id", "size")
-    # Only documents of the edge's bucket, one in 16.7 million of a pattern, are ordered.
-    edge_rows = (
-        placed.filter(at_edge)
+    # Only documents of the edge's bucket, one in 16.7 million of a pattern and a few at least, are ordered.
+    edge_rows = scratch.stash(
+        with_edge(rows).filter(at_edge)
         .withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("e_rest") - F.col("before"))))
-    )
-    cols = ["doc_id", "members", "size", "source_size", "target", "passes", "u", "u2"]
-    out = placed.filter(~at_edge).select(*cols, whole.alias("extra")).unionByName(edge_rows.select(*cols, "extra"))
-    return out.select(
-        "doc_id", F.col("members").alias("sources"), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
-        F.coalesce("target", F.lit(0.0)).alias("target"),
-        (F.coalesce("passes", F.lit(0)) * F.col("size") + F.col("extra")).cast("long").alias("taken"), "u", "u2",
+        .select("u", "u2", F.greatest(F.lit(0), F.least(F.col("size"), F.col("e_rest") - F.col("before"))).cast("long").alias("edge_extra")),
+        "edge")
+    # Rows that repeat are alike in u and u2; where they meet the edge, each takes one of the shares found for them.
+    repeats = edge_rows.groupBy("u", "u2").agg(F.max("edge_extra").alias("edge_extra"), F.count("*").alias("alike")).filter("alike = 1")
+    final = with_edge(planned(derived if keep_columns else own))
+    if repeats.count() == edge_rows.count():
+        final = final.join(F.broadcast(repeats.select(F.col("u").alias("r_u"), F.col("u2").alias("r_u2"), "edge_extra")), at_edge & (F.col("u") == F.col("r_u")) & (F.col("u2") == F.col("r_u2")), "left")
+    else:
+        nth = Window.partitionBy("u", "u2").orderBy(F.lit(0))
+        numbered = edge_rows.withColumn("nth", F.row_number().over(Window.partitionBy("u", "u2").orderBy(F.desc("edge_extra"))))
+        inside = final.filter(at_edge).withColumn("n_th", F.row_number().over(nth)).join(
+            numbered.select(F.col("u").alias("r_u"), F.col("u2").alias("r_u2"), "nth", "edge_extra"),
+            (F.col("u") == F.col("r_u")) & (F.col("u2") == F.col("r_u2")) & (F.col("n_th") == F.col("nth")), "left").drop("nth", "n_th")
+        final = final.filter(~at_edge).withColumns({"r_u": F.lit(0).cast("long"), "r_u2": F.lit(0).cast("long"), "edge_extra": F.lit(0).cast("long")}).unionByName(inside)
+    whole = F.when((F.col("rest") > 0) & (F.col("prefix").isNull() | (head < F.col("prefix"))), F.col("size")).otherwise(F.lit(0))
+    extra = F.when(at_edge, F.coalesce("edge_extra", F.lit(0))).otherwise(whole)
+    passes = F.coalesce("passes", F.lit(0)).cast("long")
+    return final.select(
+        *(["doc"] if keep_columns else []), "doc_id", F.col("members").alias("sources"), "size",
+        F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
+        (passes * F.col("size") + extra).cast("long").alias("taken"), passes.alias("passes"),
     )
+
+
+def expand(mixed: DataFrame) -> DataFrame:
+    """The documents of a mix with keep_columns, as often as it takes them; one taken in part is cut after its last word.
+    A document without words comes as often as its source has whole passes."""
+    text = F.col("doc.text")
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(F.col("passes")).cast("int")
+    rows = mixed.select("doc", "size", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))).alias("copy"), "taken")
+    left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    cut = (left < F.col("size")) & (F.col("size") > 0)
+    # pieces end where a word does, so the first ones joined are the text up to a word's end, white space as it was
+    part = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(left, F.lit(1))), "")
+    names = [f.name for f in mixed.schema["doc"].dataType]
+    out = {c: F.col(f"doc.`{c}`") for c in names}
+    out["text"] = F.when(cut, part).otherwise(text)
+    if "n_chars" in names:
+        out["n_chars"] = F.when(cut, F.length(part)).otherwise(F.col("doc.n_chars")).cast(mixed.schema["doc"].dataType["n_chars"].dataType)
+    return rows.select(*[out[c].alias(c) for c in names])
