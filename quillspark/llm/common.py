@@ -149,15 +149,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def hash_words(data: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, first byte and end of each word of data; gap: which of the 256 bytes stand between words."""
+_BYTE_2 = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hash_words(data: bytes, gap: np.ndarray, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hash, first byte and end of each word of data (and a second hash); gap: which of the 256 bytes stand between
+    words."""
     b = np.frombuffer(data, np.uint8)
     inside = np.concatenate((np.zeros(1, np.int8), ~gap[b], np.zeros(1, np.int8))).view(np.int8)
     step = np.diff(inside)
     start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     power, inverse = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)))
-    return mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)), start, stop
+
+    def hashed(table_: np.ndarray) -> np.ndarray:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table_[b] * power[: len(b)], dtype=np.uint64)))
+        return mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+
+    return (hashed(_BYTE), start, stop, *([hashed(_BYTE_2)] if twice else []))
 
 
 GAP_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])

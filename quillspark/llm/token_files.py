@@ -2,13 +2,13 @@
 
 Texts are dealt by ranges of doc_id and sorted in them (nulls first, then by text), tokenised, and packed into blocks
 of about `block_ids` ids. A word of 64 bits has a selector in its top 4 bits and as many ids as fit in the other 60; a
-selector of 0 is an escape, whose id is the whole next word. Every document begins with a new word, so a block's
-per-document word offsets let any document be decoded alone and all of them at once, selector by selector.
+selector of 0 is an escape, whose id is the whole next word. Every document, and every SEGMENT ids of one, begin
+with a new word. A block has the word offsets of these segments, so any can be decoded alone and all of them at once,
+selector by selector.
 
-Blocks go to files through Spark's own writer, so a lost task leaves no half files and any store Spark can write will
-do. A file is a sequence of blocks, each followed by TERMINATOR:
-    magic 4s, shard u32, block u32, documents u32, ids u64, words u32,
-    doc_ids i64[documents], null flags u8[documents], id counts u32[documents], word offsets u32[documents], words u64[words]
+Blocks go to files through Spark's own writer, so a lost task leaves no half files and any store Spark can write will do. A file is a sequence of blocks, each followed by TERMINATOR:
+    magic 4s, shard u32, block u32, documents u32, ids u64, words u32, segments u32,
+    doc_ids i64[documents], null flags u8[documents], id counts u32[documents], word offsets u32[segments], words u64[words]
 Shards ascend with doc_id, blocks in a shard too.
 
 A null text is empty: it has the end id alone. Null ids are kept by their flag; repeated ids are ordered by text. A long
@@ -17,7 +17,7 @@ text makes a long block, never a split one. An empty table makes no blocks and n
 
 from __future__ import annotations
 
-import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,10 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import GAP_SPACE, Scratch, hash_words, slices, small_batches
 
+#: Runs of letters, single digits and runs of other signs, in lower-case ASCII.
+RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 MAGIC, TERMINATOR = b"QS8B", b"\n"
-HEAD = "<4sIIIQI"
+HEAD = "<4sIIIQII"
+SEGMENT = 1024
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 
@@ -53,11 +56,20 @@ def bit_lengths(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids: uint64 of all documents of a block; starts: where each begins. The words, and each document's first word."""
+def segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the segments of documents with these id counts begin, and how many ids each has."""
+    n = -(-counts // SEGMENT)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(np.cumsum(counts) - counts, n) + within * SEGMENT
+    return starts, np.minimum(np.repeat(counts, n) - within * SEGMENT, SEGMENT)
+
+
+def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids: uint64 of all documents of a block; counts: ids of each. The words, and each segment's first word."""
     n = len(ids)
+    starts, sizes = segments(counts)
     if not n:
-        return np.empty(0, "<u8"), np.zeros(len(starts), "<u4")
+        return np.empty(0, "<u8"), np.empty(0, "<u4")
     width = bit_lengths(ids)
     # The most ids that a word starting at each place can hold.
     choice = np.zeros(n, np.uint8)
@@ -70,15 +82,17 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             grown[: n - step] = widest[step:] if step < n else 0
             widest, reach = np.maximum(widest, grown), reach + step
         choice[widest <= bits] = sel
-    counts = np.array([1] + [SELECTORS[s][0] for s in range(1, 15)])
-    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    jump = np.minimum(np.arange(n) + counts[choice], ends).tolist()
-    at, i = [], 0
-    put = at.append
-    while i < n:
-        put(i)
-        i = jump[i]
-    at = np.array(at)
+    held = np.array([1] + [SELECTORS[s][0] for s in range(1, 15)])
+    jump = np.arange(n) + held[choice]
+    # All segments are walked at once, a word a step.
+    at, here, stop = [], starts, starts + sizes
+    while len(here):
+        at.append(here)
+        here = jump[here]
+        on = here < stop
+        here, stop = here[on], stop[on]
+    at = np.sort(np.concatenate(at))
+    ends = (starts + sizes)[np.searchsorted(starts, at, side="right") - 1]
     sel = choice[at]
     slot = np.cumsum(1 + (sel == 0)) - 1 - (sel == 0)  # an escape takes two words
     words = np.zeros(len(at) + int((sel == 0).sum()), "<u8")
@@ -87,7 +101,7 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(own):
             continue
         word = np.full(len(own), np.uint64(s) << np.uint64(60))
-        first, end = at[own], ends[at[own]]
+        first, end = at[own], ends[own]
         for k in range(count):
             inside = first + k < end
             if not inside.any():
@@ -96,27 +110,26 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words[slot[own]] = word
     escaped = np.flatnonzero(sel == 0)
     words[slot[escaped] + 1] = ids[at[escaped]]
-    first_word = np.append(slot, len(words))[np.searchsorted(at, starts)]
-    return words, first_word.astype("<u4")
+    return words, slot[np.searchsorted(at, starts)].astype("<u4")
 
 
-def unpack(words: np.ndarray, first_word: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
+def unpack(words: np.ndarray, first_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ids of all documents of a block, one after the other."""
+    starts, sizes = segments(counts)
+    out = np.zeros(int(counts.sum()), np.uint64)
+    if not len(out):
+        return out
     sel = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
     for i in np.flatnonzero(sel == 0):  # what follows an escape is no word, unless the escape is none itself
         if not raw[i]:
             raw[i + 1] = True
-    counts = np.array([1] + [SELECTORS[s][0] for s in range(1, 15)] + [0])
-    holds = np.where(raw, 0, counts[sel])
-    total = int(n_ids.sum())
-    out = np.zeros(total, np.uint64)
-    begin = np.concatenate(([0], np.cumsum(holds)))[:-1]
-    docs = np.flatnonzero(n_ids)
-    own = docs[np.searchsorted(first_word[docs], np.arange(len(words)), side="right") - 1] if len(words) else docs[:0]
-    base = np.concatenate(([0], np.cumsum(n_ids)))
-    at = begin - begin[first_word[own]] + base[own] if len(words) else begin
-    end = base[own + 1] if len(words) else begin
+    held = np.array([1] + [SELECTORS[s][0] for s in range(1, 15)] + [0])
+    holds = np.where(raw, 0, held[sel])
+    begin = np.cumsum(holds) - holds
+    own = np.searchsorted(first_word, np.arange(len(words)), side="right") - 1
+    at = begin - begin[first_word[own]] + starts[own]
+    end = starts[own] + sizes[own]
     for s, (count, bits) in SELECTORS.items():
         mine = np.flatnonzero((sel == s) & ~raw)
         for k in range(count):
@@ -139,108 +152,189 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start[i] .. start[i] + size[i] - 1, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class WordTable:
+    """Ids of words by two 64-bit hashes (128 bits together), in arrays: an open hash table that many words are looked up
+    in at once. Entry 0 is the end id."""
+
+    def __init__(self, kind: np.dtype, end: bytes, bits: int):
+        self.kind, self.bits, self.most = kind, bits, (1 << bits) // 2
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.h, self.g = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
+        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+        self.flat, self.used, self.n = np.zeros(1 << 20, kind), 0, 0
+        self.add(np.array([1], np.uint64), np.array([1], np.uint64), [end])
+
+    def _walk(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each word (-1: none), and the slot where the walk ended."""
+        mask = (1 << self.bits) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        entry = self.slots[slot]
+        open_ = np.flatnonzero((entry >= 0) & ((self.h[entry] != h) | (self.g[entry] != g)))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            e = entry[open_] = self.slots[slot[open_]]
+            open_ = open_[(e >= 0) & ((self.h[e] != h[open_]) | (self.g[e] != g[open_]))]
+        return entry, slot
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return self._walk(h, g)[0]
+
+    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes]) -> None:
+        """New words, each once."""
+        n, new = self.n, len(h)
+        size = np.array([len(i) for i in ids], np.int64) // self.kind.itemsize
+        while self.used + size.sum() > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + size.sum()] = np.frombuffer(b"".join(ids), self.kind)
+        self.h[n : n + new], self.g[n : n + new], self.size[n : n + new] = h, g, size
+        self.begin[n : n + new] = self.used + np.cumsum(size) - size
+        self.used, self.n = self.used + int(size.sum()), n + new
+        left = np.arange(n, n + new)
+        while len(left):  # of words that meet in a slot, one gets it and the others walk on
+            slot = self._walk(self.h[left], self.g[left])[1]
+            self.slots[slot] = left
+            left = left[self.slots[slot] != left]
+
+    def ids(self, entries: np.ndarray) -> np.ndarray:
+        return self.flat[ranges(self.begin[entries], self.size[entries])]
+
+
 class WordEncoder:
-    """Ids of a text by pieces between white space, remembered: the pre-tokenizer never joins over white space.
+    """Ids of texts by pieces between white space, remembered: the pre-tokenizer never joins over white space.
 
-    When the memory holds `most` pieces, those that the present texts don't use are dropped, so it is bounded.
+    The table is emptied when it is full, so it is bounded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        self.model, self.most, self.seen = _tokenizer(path), most, {}
+    def __init__(self, path: str, end_id: int, bits: int = 22):
+        from tokenizers import pre_tokenizers
+
+        self.model = _tokenizer(path)
         size = self.model.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
-        self.stop = {b"."[0]: self._ids(["."])[0], b","[0]: self._ids([","])[0]}
+        self.kind = np.dtype("<u2" if max(size, end_id + 1) <= 65536 else "<u4")
+        self.end, self.bits = np.array([end_id], self.kind).tobytes(), bits
+        self.table = WordTable(self.kind, self.end, bits)
         # Tokens that end a word, if the vocabulary marks them: several words can then be encoded as one text.
         suffix = getattr(self.model.model, "end_of_word_suffix", None)
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
+        # The same model for words of a-z, which its normalizer and byte mapping leave alone.
+        self.plain = type(self.model).from_str(self.model.to_str())
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
+    def _letters(self, words: list[bytes], model) -> list[bytes]:
         """Ids of words of letters alone, each one piece to the pre-tokenizer."""
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
         out: list[bytes] = []
-        for own, e in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        for own, e in zip(groups, model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
             cut = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
             if len(cut) == len(own):
                 raw, cut = ids.tobytes(), [0, *cut.tolist()]
                 out += [raw[x:y] for x, y in zip(cut, cut[1:])]
             else:
-                out += self._ids([w.decode() for w in own])
+                out += self._each(own)
         return out
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        seen, stopped, letters, other = self.seen, [], set(), []
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces in lower case. Runs of letters, digits and runs of other signs are pieces of their own to the
+        pre-tokenizer, but for what an apostrophe begins."""
+        plain, letters, other, made = set(), set(), set(), {}
         for p in pieces:
-            if p.isalpha() or p.decode().isalpha():
+            if p.isascii():
+                if p.isalpha():
+                    plain.add(p)
+                elif b"'" in p or b"<|" in p:
+                    other.add(p)
+                else:
+                    parts = made[p] = RUNS.findall(p)
+                    for x in parts:
+                        (plain if x.isalpha() else other).add(x)
+            elif p.decode().isalpha():
                 letters.add(p)
-            elif p[-1] in self.stop and (p[:-1].isalpha() or p[:-1].decode().isalpha()):
-                stopped.append(p)  # a letter run and a stop are pieces of their own to the pre-tokenizer
-                if p[:-1] not in seen:
-                    letters.add(p[:-1])
+            elif p[-1] in b".," and p[:-1].decode().isalpha():
+                made[p] = (p[:-1], p[-1:])
+                letters.add(p[:-1])
+                other.add(p[-1:])
             else:
-                other.append(p)
-        known = list(letters)
-        seen.update(zip(known, self._letters(known), strict=True))
-        seen.update(zip(other, self._ids([p.decode() for p in other]), strict=True))
-        for p in stopped:
-            seen[p] = seen[p[:-1]] + self.stop[p[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        raw = [t.encode() if t else b"" for t in texts]
+                other.add(p)
+        known = {}
+        for words, encode in ((list(plain), lambda w: self._letters(w, self.plain)), (list(letters), lambda w: self._letters(w, self.model)), (list(other), self._each)):
+            known.update(zip(words, encode(words), strict=True))
+        return [b"".join([known[x] for x in made[p]]) if p in made else known[p] for p in pieces]
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (in UTF-8), each with the end id behind it, and the number of ids of each."""
         # the vocabulary is lower case; a special token is special only as it is written
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        used = set(itertools.chain.from_iterable(split))
-        new = used.difference(self.seen)
-        if len(self.seen) + len(new) > self.most:
-            self.seen = {p: self.seen[p] for p in used.intersection(self.seen)}
-        if new:
-            self._learn(new)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        raw = [b" " if not t else t + b" " if b"<|" in t else t.lower() + b" " for t in texts]
+        begins = np.cumsum([0, *map(len, raw)])
+        data = b"".join(raw)
+        h, start, stop, g = hash_words(data, GAP_SPACE, twice=True)
+        entry = self.table.find(h, g)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            _, first = np.unique(h[miss], return_index=True)
+            if self.table.n + len(first) > self.table.most:
+                self.table = WordTable(self.kind, self.end, max(self.bits, (4 * len(h)).bit_length()))
+                miss = np.arange(len(h))
+                _, first = np.unique(h, return_index=True)
+            new = miss[first]
+            self.table.add(h[new], g[new], self._learn([data[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)]))
+            entry[miss] = self.table.find(h[miss], g[miss])
+            for i in miss[entry[miss] < 0].tolist():  # two words that share one of the two hashes
+                self.table.add(h[i : i + 1], g[i : i + 1], self._learn([data[start[i] : stop[i]]]))
+                entry[i] = self.table.n - 1
+        after = np.searchsorted(start, begins[1:])  # each text's end comes before the first word of the next
+        entry = np.insert(entry, after, 0)
+        sizes = self.table.size[entry]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = upto[after + np.arange(1, len(after) + 1)]
+        return self.table.ids(entry), np.diff(np.concatenate(([0], bounds)))
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, end_id: int) -> WordEncoder:
     """One for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, end_id)
 
 
 def _encoded(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path)
+        enc = _encoder(path, end_id)
         shard, block = TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         ids: list = []
-        size = 0
-        end = np.array([end_id], enc.kind).tobytes()
 
         def flush():
-            nonlocal block, held, ids, size
-            parts = [np.frombuffer(h, enc.kind) for h in held]
-            n = np.array([len(p) for p in parts])
-            words, offsets = pack(np.concatenate(parts).astype(np.uint64), np.cumsum(n) - n)
+            nonlocal block, parts, counts, ids
+            n = np.concatenate(counts)
+            words, offsets = pack(np.concatenate(parts).astype(np.uint64), n)
             null = pd.isna(pd.Series(ids, dtype=object)).to_numpy()
-            body = struct.pack(HEAD, MAGIC, shard, block, len(n), int(n.sum()), len(words))
+            body = struct.pack(HEAD, MAGIC, shard, block, len(n), int(n.sum()), len(words), len(offsets))
             body += np.array([0 if z else int(i) for i, z in zip(ids, null, strict=True)], "<i8").tobytes() + null.astype(np.uint8).tobytes()
             body += n.astype("<u4").tobytes() + offsets.tobytes() + words.tobytes()
-            block, held, ids, size = block + 1, [], [], 0
+            block, parts, counts, ids = block + 1, [], [], []
             return pd.DataFrame({"block": [body]})
 
         for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                for i, e in zip(part["doc_id"].tolist(), enc.encode(part["text"].tolist()), strict=True):
-                    held.append(e + end)
-                    ids.append(i)
-                    size += len(e) // enc.kind.itemsize + 1
-                    if size >= block_ids:
-                        yield flush()
-        if held:
+            texts, names = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            for own in slices(texts):
+                e, n = enc.encode(texts[own])
+                parts.append(e)
+                counts.append(n)
+                ids += names[own]
+                if sum(map(len, parts)) >= block_ids:
+                    yield flush()
+        if parts:
             yield flush()
 
     return run
@@ -253,7 +347,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, read // (16 << 20)))
     keys = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     # the ids go to pandas as objects: a column with nulls would become floats
-    blocks = keys.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_encoded(tokenizer, end_id, block_ids), "block binary")
+    blocks = keys.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_encoded(tokenizer, end_id, block_ids), "block binary")
     (blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite")
      .option("lineSep", TERMINATOR.decode()).option("maxRecordsPerFile", 16).text(path))
 
@@ -262,12 +356,12 @@ def blocks_of(data: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndar
     """shard, block, doc_ids, id counts and ids of each block of a file."""
     at = 0
     while at < len(data):
-        magic, shard, block, docs, n, words = struct.unpack_from(HEAD, data, at)
+        magic, shard, block, docs, n, words, parts = struct.unpack_from(HEAD, data, at)
         if magic != MAGIC:
             raise ValueError(f"no block at byte {at}")
         at += struct.calcsize(HEAD)
         arrays = []
-        for kind, count in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", docs), ("<u8", words)):
+        for kind, count in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", parts), ("<u8", words)):
             arrays.append(np.frombuffer(data, kind, count, at))
             at += arrays[-1].nbytes
         doc_ids, null, counts, offsets, packed = arrays
