@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Hashes fall into GROUPS groups; the numbers of a set's
-hashes by group are its point. The overlap of two sets is at most the sum of the smaller coordinates, and that of any two
+A document's set is its distinct word shingles, as 64-bit hashes. Hashes fall into groups by their first bits; the numbers
+of a set's hashes by group are its point. Large sets have finer groups (2 to 4 hashes each), which nest in coarser ones. The overlap of two sets is at most the sum of the smaller coordinates, and that of any two
 sets below two tree nodes at most the same sum over the nodes' upper corners: pairs of nodes that can't reach the overlap
 that the similarity asks for are left out, and surviving pairs are verified with their whole sets.
 
@@ -13,8 +13,9 @@ all). The order is by the level of a count sketch over all documents, then by ha
 decides how large blocks get, not what is found. The sketch has a fixed size and is broadcast.
 
 1. Equal sets are made one class (fingerprints of 128 bits and the size); one representative goes on.
-2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. In larger
-   blocks every member is a candidate with the first. Components of the candidates are clusters: no link leaves one.
+2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. A larger
+   block is joined with itself by an R-tree over its points; of the pairs that the bounds leave, a spanning forest goes
+   on. Components of all these candidates are clusters: no link leaves one.
 3. The texts of a cluster go to one task once, if they are within `cluster_shingles` in all. There an R-tree is built over
    its points and joined with itself. Pairs that the bounds leave are verified best first, unless the links found so far
    connect them already.
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, count_rows, hash_words, joined, mix64, slices, small_batches, sum_counts
 from .components import components
 
-GROUPS, SMALL, LEAF, SHARED = 64, 8, 16, 3
+SMALL, LEAF, SHARED = 8, 16, 3
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -64,6 +65,10 @@ class Similarity:
         """Whether sets of sizes a and b whose overlap is at most bound can link; elementwise."""
         return (self.den + self.num) * bound >= self.num * (a + b)
 
+    def sizes_fit(self, a, b):
+        """Whether sets of these sizes can link; elementwise."""
+        return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
+
     def prefix(self, n: int) -> int:
         return min(n, n - math.ceil(self.num * n / self.den) + SHARED)
 
@@ -89,13 +94,19 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def point(s: np.ndarray, bits: int = 6) -> np.ndarray:
-    """Counts of the hashes by their first bits."""
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts of the hashes by their first bits, 2 to 4 a group: a few groups for small sets, many for large ones."""
+    bits = min(16, max(4, (max(1, len(s) - 1) >> 2).bit_length()))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
-def points(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2").astype(np.int64)
+
+
+def coarse(p: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's counts by fewer groups."""
+    return p if len(p) == groups else p.reshape(groups, -1).sum(1)
 
 
 def _sketch(bits: int, words: int):
@@ -129,7 +140,7 @@ def _profiles(broadcast, sim: Similarity):
                     order = s if not level.any() else s[np.argsort(level, kind="stable")]
                     keys = order[: sim.prefix(len(s))] if len(s) >= SHARED else s[:0]
                     a, b = mix64(s ^ np.uint64(0x5851F42D4C957F2D)), mix64(s + np.uint64(0x14057B7EF767814F))
-                    rows.append((len(s), int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64)), point(s).astype("<u4").tobytes(), keys.view(np.int64)))
+                    rows.append((len(s), int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64)), point(s).astype("<u2").tobytes(), keys.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "point", "keys"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
@@ -137,59 +148,56 @@ def _profiles(broadcast, sim: Similarity):
     return run
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key. Pairs of small blocks (kind 0); pairs with the first (2) and members (1: key, doc) of larger ones."""
-    held_k, held = np.empty(0, np.int64), np.empty((0, 2), np.int64)
-
-    def emit(k: np.ndarray, docs: np.ndarray) -> pd.DataFrame | None:
-        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        sizes = np.diff(cut)
-        parts = []
-        for m in range(2, SMALL + 1):
-            begin = cut[:-1][sizes == m]
-            if len(begin):
-                i, j = np.triu_indices(m, 1)
-                parts.append((0, docs[begin[:, None] + i].reshape(-1, 2), docs[begin[:, None] + j].reshape(-1, 2)))
-        for begin, m in zip(cut[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            own = docs[begin : begin + m]
-            own = own[np.lexsort((own[:, 0], own[:, 1]))]
-            low = np.argmin(own[:, 0])
-            rest = np.delete(own, low, 0)
-            parts.append((2, np.repeat(own[low : low + 1], m - 1, 0), rest))
-            parts.append((1, np.column_stack((np.full(m, k[begin]), own[:, 1])), own))
-        rows = []
-        for kind, x, y in parts:
-            if kind == 2:
-                a, b = x[:, 0], y[:, 0]
-            elif kind == 0:  # no link between sizes so far apart
-                fits = (np.minimum(x[:, 1], y[:, 1]) >= SIZE_RATIO * np.maximum(x[:, 1], y[:, 1])) & (x[:, 0] != y[:, 0])
-                a, b = np.minimum(x[fits, 0], y[fits, 0]), np.maximum(x[fits, 0], y[fits, 0])
-            else:
-                a, b = x[:, 0], y[:, 0]
-            rows.append(pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b}))
-        return pd.concat(rows, ignore_index=True) if rows else None
-
-    for pdf in batches:
-        k = np.concatenate((held_k, pdf["key"].to_numpy()))
-        docs = np.concatenate((held, pdf[["doc", "n"]].to_numpy(np.int64)))
-        stop = np.searchsorted(k, k[-1]) if len(k) else 0  # the last block may go on
-        if stop and (out := emit(k[:stop], docs[:stop])) is not None:
-            yield out
-        held_k, held = k[stop:], docs[stop:]
-    if len(held_k) and (out := emit(held_k, held)) is not None:
-        yield out
+def _blocks(sim: Similarity):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by key. Pairs of small blocks (kind 0) and members (1: name of the block, doc) of larger ones."""
+        held_k, held = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+
+        def emit(k: np.ndarray, docs: np.ndarray) -> pd.DataFrame | None:
+            cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+            sizes = np.diff(cut)
+            parts = []
+            for m in range(2, SMALL + 1):
+                begin = cut[:-1][sizes == m]
+                if len(begin):
+                    i, j = np.triu_indices(m, 1)
+                    parts.append((0, docs[begin[:, None] + i].reshape(-1, 2), docs[begin[:, None] + j].reshape(-1, 2)))
+            for begin, m in zip(cut[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                own = np.ascontiguousarray(docs[begin : begin + m])
+                # named by its members: blocks of the same members are one
+                name = mix64(mix64(own[:, 0].astype(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(m)).view(np.int64)
+                parts.append((1, np.column_stack((np.repeat(name, m), own[:, 1])), own))
+            rows = []
+            for kind, x, y in parts:
+                if kind == 0:  # no link between sizes so far apart
+                    fits = sim.sizes_fit(x[:, 1], y[:, 1]) & (x[:, 0] != y[:, 0])
+                    a, b = np.minimum(x[fits, 0], y[fits, 0]), np.maximum(x[fits, 0], y[fits, 0])
+                else:
+                    a, b = x[:, 0], y[:, 0]
+                rows.append(pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b}))
+            return pd.concat(rows, ignore_index=True) if rows else None
 
+        for pdf in batches:
+            k = np.concatenate((held_k, pdf["key"].to_numpy()))
+            docs = np.concatenate((held, pdf[["doc", "n"]].to_numpy(np.int64)))
+            stop = np.searchsorted(k, k[-1]) if len(k) else 0  # the last block may go on
+            if stop and (out := emit(k[:stop], docs[:stop])) is not None:
+                yield out
+            held_k, held = k[stop:], docs[stop:]
+        if len(held_k) and (out := emit(held_k, held)) is not None:
+            yield out
 
-#: Sizes of linked sets have this ratio at least, for any similarity from 0.75 on.
-SIZE_RATIO = 0.75
+    return run
 
 
 def _within_bound(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                bound = np.minimum(points(pdf["point_a"]), points(pdf["point_b"])).sum(1)
-                yield pdf.loc[sim.may_link(bound, pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()), ["a", "b"]]
+            bound = []
+            for p, q in zip(map(read_point, pdf["point_a"]), map(read_point, pdf["point_b"]), strict=True):
+                groups = min(len(p), len(q))
+                bound.append(np.minimum(coarse(p, groups), coarse(q, groups)).sum())
+            yield pdf.loc[sim.may_link(np.array(bound, np.int64), pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()), ["a", "b"]]
 
     return run
 
@@ -264,6 +272,21 @@ class RTree:
                 todo += [(a, cb[0]), (a, cb[1])]
 
 
+def tree_join(at: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What RTree.join yields, over points of different numbers of groups: a tree for each number, with the points that
+    have it and those up to `span` doublings finer, which all sets are that can link with its own."""
+    groups = np.array([len(p) for p in at])
+    span = math.ceil(math.log2(sim.den / sim.num))
+    for g in np.unique(groups):
+        rows = np.flatnonzero((groups >= g) & (groups <= g << span))
+        if len(rows) > 1:
+            tree = RTree(np.stack([coarse(at[i], int(g)) for i in rows]), sizes[rows], component[rows])
+            for x, y, gain in tree.join(sim):
+                x, y = rows[x], rows[y]
+                own = (groups[x] == g) | (groups[y] == g)
+                yield x[own], y[own], gain[own]
+
+
 def best(x: np.ndarray, y: np.ndarray, other: np.ndarray, gain: np.ndarray, k: int | None) -> np.ndarray:
     """Which pairs are among the k best of their x and the component of y."""
     if k is None:
@@ -274,45 +297,76 @@ def best(x: np.ndarray, y: np.ndarray, other: np.ndarray, gain: np.ndarray, k: i
     return by[np.arange(len(by)) - start < k]
 
 
-def _tree_pairs(sim: Similarity, k: int | None):
+def _by_block(emit):
+    """emit: from the rows of a block to pairs; rows come sorted by key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def emit(block: pd.DataFrame) -> pd.DataFrame | None:
-            docs, component = block["doc"].to_numpy(), block["component"].to_numpy()
-            numbers = np.unique(component, return_inverse=True)[1]
-            found = list(RTree(points(block["point"]), block["n"].to_numpy(), numbers).join(sim))
-            if not found:
-                return None
-            x, y, gain = (np.concatenate(c) for c in zip(*found, strict=True))
-            # of the two, the one whose component is smaller in this block looks for the other
-            weight = np.bincount(numbers)
-            swap = weight[numbers[x]] > weight[numbers[y]]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            own = best(x, y, numbers[y], gain, k)
-            a, b = docs[x[own]], docs[y[own]]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
         for pdf in batches:
             if not len(pdf):
                 continue
             held.append(pdf)
-            if pdf["key"].iloc[0] == pdf["key"].iloc[-1] == held[0]["key"].iloc[0]:
+            if pdf["key"].iloc[-1] == held[0]["key"].iloc[0]:
                 continue
             rows = pd.concat(held, ignore_index=True)
             last = rows["key"].iloc[-1]
             held = [rows[rows["key"] == last]]
             for _, block in rows[rows["key"] != last].groupby("key", sort=False):
-                if (out := emit(block)) is not None:
-                    yield out
+                yield emit(block)
         if held:
             for _, block in pd.concat(held, ignore_index=True).groupby("key", sort=False):
-                if (out := emit(block)) is not None:
-                    yield out
+                yield emit(block)
 
     return run
 
 
+def _pair_frame(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _tree_forest(sim: Similarity):
+    """Of the pairs that the bounds leave, as many as connect what all of them connect."""
+
+    def emit(block: pd.DataFrame) -> pd.DataFrame:
+        docs, up, found = block["doc"].to_numpy(), list(range(len(block))), []
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        at = [read_point(p) for p in block["point"]]
+        for x, y, _ in tree_join(at, block["n"].to_numpy(), np.arange(len(block)), sim):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if (a := root(i)) != (b := root(j)):
+                    up[b] = a
+                    found.append((i, j))
+        found = np.array(found, np.int64).reshape(-1, 2)
+        return _pair_frame(docs[found[:, 0]], docs[found[:, 1]])
+
+    return _by_block(emit)
+
+
+def _tree_pairs(sim: Similarity, k: int | None):
+    """Pairs of different components that the bounds leave; k: the best for each member and other component."""
+
+    def emit(block: pd.DataFrame) -> pd.DataFrame:
+        docs, component = block["doc"].to_numpy(), block["component"].to_numpy()
+        numbers = np.unique(component, return_inverse=True)[1]
+        found = list(tree_join([read_point(p) for p in block["point"]], block["n"].to_numpy(), numbers, sim))
+        if not found:
+            return _pair_frame(docs[:0], docs[:0])
+        x, y, gain = (np.concatenate(c) for c in zip(*found, strict=True))
+        # of the two, the one whose component is smaller in this block looks for the other
+        weight = np.bincount(numbers)
+        swap = weight[numbers[x]] > weight[numbers[y]]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        own = best(x, y, numbers[y], gain, k)
+        return _pair_frame(docs[x[own]], docs[y[own]])
+
+    return _by_block(emit)
+
+
 def join_cluster(docs: list[int], sets: list[np.ndarray], sim: Similarity) -> list[tuple[int, int]]:
     """doc and component of each distinct member that has a link."""
     up = list(range(len(docs)))
@@ -326,7 +380,7 @@ def join_cluster(docs: list[int], sets: list[np.ndarray], sim: Similarity) -> li
 
     def try_link(x: int, y: int) -> None:
         x_, y_ = root(x), root(y)
-        if x_ != y_ and SIZE_RATIO * max(sizes[x], sizes[y]) <= min(sizes[x], sizes[y]):
+        if x_ != y_ and sim.sizes_fit(sizes[x], sizes[y]):
             overlap = len(sets[x]) + len(sets[y]) - len(np.unique(np.concatenate((sets[x], sets[y]))))
             if sim.links(overlap, len(sets[x]), len(sets[y])):
                 up[max(x_, y_)] = min(x_, y_)
@@ -335,9 +389,7 @@ def join_cluster(docs: list[int], sets: list[np.ndarray], sim: Similarity) -> li
         order = np.argsort(np.array([(s * _MULTIPLIERS[k]).min() for s in sets], np.uint64))
         for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
             try_link(x, y)
-    at = np.stack([point(s, 8) for s in sets])  # in one task finer points cost little
-    tree = RTree(at, sizes, np.array([root(x) for x in range(len(docs))]))
-    for x, y, gain in tree.join(sim):
+    for x, y, gain in tree_join([point(s) for s in sets], sizes, np.array([root(x) for x in range(len(docs))]), sim):
         for i in np.argsort(-gain, kind="stable").tolist():
             try_link(int(x[i]), int(y[i]))
     least: dict[int, int] = {}
@@ -431,9 +483,12 @@ class Join:
             .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
         blocks = scratch.stash(
-            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks, "kind int, a long, b long"), "blocks")
+            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks(sim), "kind int, a long, b long"), "blocks")
         pairs = blocks.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times")).filter(F.col("times") >= SHARED).select("a", "b")
-        pairs = scratch.stash(pairs.unionByName(blocks.filter("kind = 2").select("a", "b").distinct()), "pairs")
+        members = scratch.stash(blocks.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct(), "members")
+        rows = members.join(reps.select("doc", "n", "point"), "doc").repartition(self.shuffles, "key").sortWithinPartitions("key")
+        trees = rows.mapInPandas(_tree_forest(sim), "a long, b long").distinct()
+        pairs = scratch.stash(pairs.unionByName(trees), "pairs")
         clusters = components(scratch, pairs, "cluster").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
         clusters = scratch.stash(clusters.unionByName(clusters.select(F.col("cluster").alias("doc"), "cluster").distinct()), "clusters")
         sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"))
@@ -444,7 +499,7 @@ class Join:
         part = scratch.stash(found, "components")
         large = clusters.join(sizes.filter(F.col("shingles") > self.cluster_shingles), "cluster", "left_semi").select("doc")
         if not large.isEmpty():
-            part = part.unionByName(Spread(self, reps, blocks, pairs, large).run())
+            part = part.unionByName(Spread(self, reps, members, pairs, large).run())
         part = part.groupBy("node").agg(F.min("component").alias("component"))  # ids that repeat with another text
         rep_of = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("component", "rep").alias("component_id"))
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -455,11 +510,11 @@ class Join:
 class Spread:
     """The join of clusters too large for one task, dealt out by pairs and blocks."""
 
-    def __init__(self, join: Join, reps: DataFrame, blocks: DataFrame, pairs: DataFrame, docs: DataFrame):
+    def __init__(self, join: Join, reps: DataFrame, members: DataFrame, pairs: DataFrame, docs: DataFrame):
         self.join, self.sim, self.scratch = join, join.sim, join.scratch
         self.reps = self.scratch.stash(reps.select("doc", "n", "point").join(docs, "doc", "left_semi"), "large")
         self.pairs = pairs.join(docs.toDF("a"), "a", "left_semi")
-        self.members = blocks.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc")).join(docs, "doc", "left_semi")
+        self.members = members.join(docs, "doc", "left_semi")
         self.links: DataFrame | None = None
         self.rounds = 0
 
