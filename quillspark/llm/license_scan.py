@@ -46,8 +46,8 @@ def _grams(spark: SparkSession) -> DataFrame:
     for kind, group in ((1, PHRASES), (0, TEMPLATES)):
         for label, text in group:
             words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
-            n = len(words) - K + 1
-            rows += [(len(rows) - i, label, kind, i, n, *words[i : i + K]) for i in range(n)]
+            n, number = len(words) - K + 1, len(rows)
+            rows += [(number, label, kind, i, n, *words[i : i + K]) for i in range(n)]
     names = "tpl int, label string, phrase int, tpos int, n_grams int, t0 string, t1 string, t2 string"
     return spark.createDataFrame(rows, names).withColumn("th", F.xxhash64("t0", "t1", "t2"))
 
