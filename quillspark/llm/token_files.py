@@ -274,7 +274,8 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (in UTF-8), each with the end id behind it, and the number of ids of each."""
         # the vocabulary is lower case; a special token is special only as it is written
-        raw = [b" " if not t else t + b" " if b"<|" in t else t.lower() + b" " for t in texts]
+        lower = lambda t: b" ".join([w if b"<|" in w else w.lower() for w in t.split()]) if b"<|" in t else t.lower()
+        raw = [lower(t) + b" " if t else b" " for t in texts]
         begins = np.cumsum([0, *map(len, raw)])
         data = b"".join(raw)
         h, start, stop, g = hash_words(data, GAP_SPACE, twice=True)
