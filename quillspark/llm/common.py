@@ -208,19 +208,30 @@ def count_rows(counts: np.ndarray) -> pd.DataFrame:
         for c in range(0, counts.shape[1], CHUNK):
             part = counts[t, c : c + CHUNK]
             if part.any():
-                rows.append((t, c // CHUNK, salt, zlib.compress(part.astype("<i8").tobytes(), 1)))
+                rows.append((t, c // CHUNK, salt, pack_counts(part)))
     return pd.DataFrame(rows, columns=["tbl", "chunk", "salt", "counts"])
 
 
+def pack_counts(part: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold the largest, Huffman-coded."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(part.max(initial=0)) < 1 << (8 * w))
+    coder = zlib.compressobj(9, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY if part.all() or width == 1 else zlib.Z_DEFAULT_STRATEGY)
+    return bytes((width,)) + coder.compress(part.astype(f"<u{width}").tobytes()) + coder.flush()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(raw)[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
 def _adder(salted: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for t, c, s, raw in zip(pdf["tbl"].tolist(), pdf["chunk"].tolist(), pdf["salt"].tolist(), pdf["counts"], strict=True):
-                part = np.frombuffer(zlib.decompress(raw), "<i8")
+                part = unpack_counts(raw)
                 key = (t, c, s if salted else 0)
                 sums[key] = sums[key] + part if key in sums else part
-        yield pd.DataFrame([(*k, zlib.compress(v.tobytes(), 1)) for k, v in sums.items()], columns=["tbl", "chunk", "salt", "counts"])
+        yield pd.DataFrame([(*k, pack_counts(v)) for k, v in sums.items()], columns=["tbl", "chunk", "salt", "counts"])
 
     return run
 
@@ -232,5 +243,5 @@ def sum_counts(spark: SparkSession, parts: DataFrame, tables: int, buckets: int)
     parts = parts.repartition(n, "tbl", "chunk").mapInPandas(_adder(False), COUNT_SCHEMA)
     out = np.zeros((tables, buckets), np.int64)
     for r in parts.collect():  # as many counts as the table has
-        out[r["tbl"], r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+        out[r["tbl"], r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpack_counts(bytes(r["counts"]))
     return out

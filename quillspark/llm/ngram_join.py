@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, count_rows, hash_words, joined, mix64, slices, small_batches, sum_counts
+from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts
 from .components import components
 
 SMALL, LEAF, SHARED = 8, 16, 3
@@ -100,8 +100,7 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
-def read_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2").astype(np.int64)
+read_point = unpack_counts
 
 
 def coarse(p: np.ndarray, groups: int) -> np.ndarray:
@@ -140,7 +139,7 @@ def _profiles(broadcast, sim: Similarity):
                     order = s if not level.any() else s[np.argsort(level, kind="stable")]
                     keys = order[: sim.prefix(len(s))] if len(s) >= SHARED else s[:0]
                     a, b = mix64(s ^ np.uint64(0x5851F42D4C957F2D)), mix64(s + np.uint64(0x14057B7EF767814F))
-                    rows.append((len(s), int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64)), point(s).astype("<u2").tobytes(), keys.view(np.int64)))
+                    rows.append((len(s), int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64)), pack_counts(point(s)), keys.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "point", "keys"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
