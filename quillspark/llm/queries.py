@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,5 +129,71 @@ FROM b
 """
 
 
+def _alnum(column: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), {UPPER_LOWER}), '{WORDS}')"
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_alnum('text')} AS w FROM documents),
+b AS (SELECT item_id, {_alnum('text')} AS w FROM benchmark),
+n AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+g AS (
+  SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM n))),
+h AS (SELECT g.doc_id, g.k, g.size, n.item_id FROM g JOIN n ON g.gram = n.gram AND g.size = n.size),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(len(i.items), 0) AS n_items,
+  sha256(coalesce(array_to_string(list_sort(i.items), ','), '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+_GRAMS = ",\n  ".join(
+    f"({number}, '{label}', {kind}, {i}, {len(words) - 2}, '{' '.join(words[i : i + 3])}')"
+    for number, (kind, label, words) in enumerate(
+        (kind, label, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) for kind, group in ((1, PHRASES), (0, TEMPLATES)) for label, text in group
+    )
+    for i in range(len(words) - 2)
+)
+OP6_SQL = f"""
+WITH t(tpl, label, phrase, tpos, n, gram) AS (VALUES
+  {_GRAMS}),
+d AS (SELECT doc_id, {_alnum('text')} AS w FROM documents),
+g AS (SELECT doc_id, k - 1 AS pos, array_to_string(w[k:k + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+v AS (SELECT doc_id, tpl, label, phrase, n, pos - tpos AS diag, list(DISTINCT tpos) AS hits FROM g JOIN t ON g.gram = t.gram GROUP BY ALL),
+s AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS span FROM (
+    SELECT *, CASE WHEN phrase = 1 OR diag - lag(diag) OVER (PARTITION BY doc_id, tpl ORDER BY diag) > 3 THEN 1 ELSE 0 END AS new FROM v)),
+m AS (
+  SELECT doc_id, tpl, label, phrase, n, span, len(list_distinct(flatten(list(hits)))) AS votes,
+    min(diag + list_min(hits)) AS first, max(diag + list_max(hits) + 2) AS last
+  FROM s GROUP BY ALL),
+f AS (
+  SELECT *, votes / n AS cover FROM m
+  WHERE CASE WHEN phrase = 1 THEN votes = n ELSE votes / n >= 0.6 AND last - first + 1 <= 1.5 * (n + 3) END),
+a AS (
+  SELECT doc_id, count(*) FILTER (phrase = 1) AS n_base, min(first) FILTER (phrase = 1) AS first_word, max(first) FILTER (phrase = 1) AS last_word,
+    list_sort(list(DISTINCT label) FILTER (phrase = 1)) AS base, list_sort(list(DISTINCT label)) AS labels, max(cover) AS score
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_ngram_join": OP9_SQL}
