@@ -15,7 +15,8 @@ decides how large blocks get, not what is found. The sketch has a fixed size and
 1. Equal sets are made one class (fingerprints of 128 bits and the size); one representative goes on.
 2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. A larger
    block is joined with itself by an R-tree over its points; of the pairs that the bounds leave, a spanning forest goes
-   on. Components of all these candidates are clusters: no link leaves one.
+   on. In a block of more than `large`, all are candidates with one of them. Components of all these candidates are
+   clusters: no link leaves one.
 3. The texts of a cluster go to one task once, if they are within `cluster_shingles` in all. There an R-tree is built over
    its points and joined with itself. Pairs that the bounds leave are verified best first, unless the links found so far
    connect them already.
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts
 from .components import components
 
-SMALL, LEAF, SHARED = 8, 16, 3
+SMALL, LARGE, LEAF, SHARED = 8, 512, 16, 3
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -147,15 +148,25 @@ def _profiles(broadcast, sim: Similarity):
     return run
 
 
-def _blocks(sim: Similarity):
+def _blocks(sim: Similarity, large: int, most: int = 100_000):
+    """large: blocks beyond it get no tree; most: rows of a block that a task holds."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by key. Pairs of small blocks (kind 0) and members (1: name of the block, doc) of larger ones."""
-        held_k, held = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        """Rows sorted by key. Pairs of small blocks (kind 0); members of larger ones (1: name of the block, doc); members
+        of the largest (2), which are candidates with one of them (3) without a look at their points."""
+        held_k, held, passing = np.empty(0, np.int64), np.empty((0, 2), np.int64), None
+
+        def frame(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b})
+
+        def largest(name: int, anchor: int, own: np.ndarray) -> list[pd.DataFrame]:
+            others = own[own != anchor]
+            return [frame(2, np.full(len(own), name), own), frame(3, np.minimum(others, anchor), np.maximum(others, anchor))]
 
         def emit(k: np.ndarray, docs: np.ndarray) -> pd.DataFrame | None:
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
             sizes = np.diff(cut)
-            parts = []
+            parts, rows = [], []
             for m in range(2, SMALL + 1):
                 begin = cut[:-1][sizes == m]
                 if len(begin):
@@ -165,24 +176,35 @@ def _blocks(sim: Similarity):
                 own = np.ascontiguousarray(docs[begin : begin + m])
                 # named by its members: blocks of the same members are one
                 name = mix64(mix64(own[:, 0].astype(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(m)).view(np.int64)
-                parts.append((1, np.column_stack((np.repeat(name, m), own[:, 1])), own))
-            rows = []
+                if m > large:
+                    rows += largest(int(name[0]), int(own[:, 0].min()), own[:, 0])
+                else:
+                    parts.append((1, np.column_stack((np.repeat(name, m), own[:, 1])), own))
             for kind, x, y in parts:
                 if kind == 0:  # no link between sizes so far apart
                     fits = sim.sizes_fit(x[:, 1], y[:, 1]) & (x[:, 0] != y[:, 0])
                     a, b = np.minimum(x[fits, 0], y[fits, 0]), np.maximum(x[fits, 0], y[fits, 0])
                 else:
                     a, b = x[:, 0], y[:, 0]
-                rows.append(pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b}))
+                rows.append(frame(kind, a, b))
             return pd.concat(rows, ignore_index=True) if rows else None
 
         for pdf in batches:
             k = np.concatenate((held_k, pdf["key"].to_numpy()))
             docs = np.concatenate((held, pdf[["doc", "n"]].to_numpy(np.int64)))
+            if passing is not None and len(k):  # more of a block that is too large to hold
+                key, anchor = passing
+                go = int(np.searchsorted(k, key, side="right"))
+                yield from largest(key, anchor, docs[:go, 0])
+                passing, k, docs = passing if go == len(k) else None, k[go:], docs[go:]
             stop = np.searchsorted(k, k[-1]) if len(k) else 0  # the last block may go on
             if stop and (out := emit(k[:stop], docs[:stop])) is not None:
                 yield out
             held_k, held = k[stop:], docs[stop:]
+            if len(held) > most:
+                passing = int(held_k[0]), int(held[0, 0])
+                yield from largest(*passing, held[:, 0])
+                held_k, held = held_k[:0], held[:0]
         if len(held_k) and (out := emit(held_k, held)) is not None:
             yield out
 
@@ -438,8 +460,8 @@ def _slot(ids: np.ndarray, seed: int, bits: int) -> np.ndarray:
 
 
 class Join:
-    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity, cluster_shingles: int):
-        self.spark, self.sim, self.cluster_shingles, self.scratch = spark, sim, cluster_shingles, Scratch(spark, "jaccard")
+    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity, cluster_shingles: int, large: int):
+        self.spark, self.sim, self.cluster_shingles, self.large, self.scratch = spark, sim, cluster_shingles, large, Scratch(spark, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.rounds = 0
@@ -482,12 +504,12 @@ class Join:
             .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
         blocks = scratch.stash(
-            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks(sim), "kind int, a long, b long"), "blocks")
+            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks(sim, self.large), "kind int, a long, b long"), "blocks")
         pairs = blocks.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times")).filter(F.col("times") >= SHARED).select("a", "b")
-        members = scratch.stash(blocks.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct(), "members")
-        rows = members.join(reps.select("doc", "n", "point"), "doc").repartition(self.shuffles, "key").sortWithinPartitions("key")
+        members = scratch.stash(blocks.filter("kind IN (1, 2)").select("kind", F.col("a").alias("key"), F.col("b").alias("doc")).distinct(), "members")
+        rows = members.filter("kind = 1").drop("kind").join(reps.select("doc", "n", "point"), "doc").repartition(self.shuffles, "key").sortWithinPartitions("key")
         trees = rows.mapInPandas(_tree_forest(sim), "a long, b long").distinct()
-        pairs = scratch.stash(pairs.unionByName(trees), "pairs")
+        pairs = scratch.stash(pairs.unionByName(trees).unionByName(blocks.filter("kind = 3").select("a", "b").distinct()), "pairs")
         clusters = components(scratch, pairs, "cluster").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
         clusters = scratch.stash(clusters.unionByName(clusters.select(F.col("cluster").alias("doc"), "cluster").distinct()), "clusters")
         sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"))
@@ -513,7 +535,7 @@ class Spread:
         self.join, self.sim, self.scratch = join, join.sim, join.scratch
         self.reps = self.scratch.stash(reps.select("doc", "n", "point").join(docs, "doc", "left_semi"), "large")
         self.pairs = pairs.join(docs.toDF("a"), "a", "left_semi")
-        self.members = members.join(docs, "doc", "left_semi")
+        self.members = members.drop("kind").join(docs, "doc", "left_semi")
         self.links: DataFrame | None = None
         self.rounds = 0
 
@@ -543,8 +565,9 @@ class Spread:
             part = self.components().withColumnRenamed("node", "doc")
             placed = self.members.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
             placed = self.scratch.stash(placed, f"placed-{k}")
-            ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            open_ = placed.join(ends.select("key"), "key", "left_semi").join(self.reps, "doc")
+            parts = placed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(
+                F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+            open_ = self.cells(placed.join(parts.filter("parts > 1"), "key")).join(self.reps, "doc")
             rows = open_.repartition(self.join.shuffles, "key").sortWithinPartitions("key")
             found = rows.mapInPandas(_tree_pairs(self.sim, k), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
             found = self.scratch.stash(found, f"found-{k}")
@@ -553,9 +576,30 @@ class Spread:
         return self.components()
 
 
+    def cells(self, rows: DataFrame) -> DataFrame:
+        """Blocks of several components, cut to cells of at most about twice `large` rows. Pairs within the main component
+        need no look. So its members are dealt over cells, each with a piece of the others, and pieces of the others meet
+        each other."""
+        large = self.join.large
+        others = F.col("all") - F.col("main.size")
+        chunks, pieces = (F.ceil(c / large).cast("int") for c in (F.col("main.size"), others))
+        hashed = F.xxhash64(F.lit(3), "doc")
+        chunk, piece = F.pmod(hashed, chunks).cast("int"), F.pmod(hashed, pieces).cast("int")
+        cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        zero = F.lit(0)
+        at = (
+            F.when(F.col("all") <= 2 * large, F.array(cell(0, zero, zero)))
+            .when(F.col("component") == F.col("main.component"), F.transform(upto(pieces), lambda p: cell(1, chunk, p)))
+            .otherwise(F.concat(
+                F.transform(upto(chunks), lambda c: cell(1, c, piece)),
+                F.transform(upto(pieces), lambda p: cell(2, F.least(p, piece), F.greatest(p, piece))))))
+        return rows.select("key", "doc", "component", F.explode(at).alias("cell")).select(F.xxhash64("key", "cell").alias("key"), "doc", "component")
+
+
 def jaccard_components(
-    spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity(), cluster_shingles: int = 4_000_000,
+    spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity(), cluster_shingles: int = 4_000_000, large: int = LARGE,
 ) -> DataFrame:
     """doc_id, text in; doc_id, n_shingles, component_id out, a row for each row."""
     small_batches(spark)
-    return Join(spark, docs, similarity, cluster_shingles).run()
+    return Join(spark, docs, similarity, cluster_shingles, large).run()

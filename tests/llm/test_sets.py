@@ -62,11 +62,11 @@ def near_copies(seed, n=120):
     return out
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_ngram_join(spark, limit):
+@pytest.mark.parametrize(("limit", "large"), [(4_000_000, 512), (0, 512), (4_000_000, 10), (0, 10)])
+def test_ngram_join(spark, limit, large):
     pairs = near_copies(1) + [(2000, None), (2001, ""), (2002, " \t\n"), (2003, "A b"), (2004, "a  B"), (2005, "w1 " * 9000)]
     data = [(i, t, 1, "k") for i, t in [*pairs, (None, pairs[0][1]), pairs[3]]]
-    got = rows(jaccard_components(spark, spark.createDataFrame(data, "doc_id long, text string, n int, key string"), Similarity(), limit))
+    got = rows(jaccard_components(spark, spark.createDataFrame(data, "doc_id long, text string, n int, key string"), Similarity(), limit, large))
     want = brute_components(pairs)
     assert got == sorted([(i, *want[i]) for i, _ in [*pairs, pairs[3]]] + [(None, len(shingles(pairs[0][1])), None)], key=repr)
 
@@ -88,6 +88,21 @@ def test_ngram_join_of_near_group(spark):
     assert jaccard_components(spark, df.limit(0)).count() == 0
 
 
+def test_blocks_too_large_to_hold():
+    import pandas as pd
+
+    from quillspark.llm.ngram_join import _blocks
+
+    keys = [1] * 2 + [5] * 40 + [6] * 3 + [9] * 25
+    data = pd.DataFrame({"key": keys, "doc": range(100, 100 + len(keys)), "n": 10})
+    for step in (1, 7, 100):
+        parts = [data.iloc[i : i + step] for i in range(0, len(data), step)]
+        out = pd.concat(_blocks(Similarity(), 20, 22)(iter(parts)))
+        assert len(out[out.kind == 0]) == 1 + 3
+        assert sorted(out[out.kind == 2].b) == [*range(102, 142), *range(145, 170)]
+        assert sorted(out[out.kind == 3].b) == [*range(103, 142), *range(146, 170)] and set(out[out.kind == 3].a) == {102, 145}
+
+
 def test_rtree_loses_no_pair():
     r, sim = np.random.default_rng(4), Similarity()
     for _ in range(20):
