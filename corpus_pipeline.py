@@ -26,8 +26,9 @@ MAX_BROADCAST = 1_000_000
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    scored = with_toxicity(spark, docs, table(spark, sf_dir, "labels"), threshold=0.3)
-    return scored.filter("toxic_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    names = [f"__{n}_{len(docs.columns)}" for n in ("score", "predicted")]
+    scored = with_toxicity(spark, docs, table(spark, sf_dir, "labels"), 0.3, score_column=names[0], predicted_column=names[1])
+    return scored.filter(F.col(names[1]) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     while before[0]:
         i += 1
         edges = scratch.stash(_star(_star(edges, True), False), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
         now = mark(edges)
         if now == before:
             break

@@ -110,7 +110,7 @@ def mix(
     mask = (1 << BITS) - 1
     derived = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id"),
-        F.array_sort(F.array_distinct(F.expr(sources))).alias("members"), space_count(F.col("text")).alias("size"),
+        F.array_sort(F.array_distinct(F.expr(sources).cast("array<string>"))).alias("members"), space_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"), F.xxhash64(F.lit(seed + 1), F.col("text"), F.col("doc_id")).alias("u2"),
     )
     own = scratch.stash(derived.drop("doc"), "sizes")

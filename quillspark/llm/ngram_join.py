@@ -512,6 +512,7 @@ class Join:
         pairs = scratch.stash(pairs.unionByName(trees).unionByName(blocks.filter("kind = 3").select("a", "b").distinct()), "pairs")
         clusters = components(scratch, pairs, "cluster").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
         clusters = scratch.stash(clusters.unionByName(clusters.select(F.col("cluster").alias("doc"), "cluster").distinct()), "clusters")
+        scratch.drop("blocks")
         sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"))
         sizes = scratch.stash(sizes, "sizes")
         fits = clusters.join(sizes.filter(F.col("shingles") <= self.cluster_shingles), "cluster", "left_semi")

@@ -188,11 +188,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     return model
 
 
-def with_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 60_000) -> DataFrame:
-    """Adds toxic_score and toxic_predicted to the columns of docs."""
+def with_toxicity(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 60_000,
+    score_column: str = "toxic_score", predicted_column: str = "toxic_predicted",
+) -> DataFrame:
+    """Adds a score and a prediction to the columns of docs, whose names must be others."""
+    if {score_column, predicted_column} & set(docs.columns):
+        raise ValueError(f"docs has a column {score_column} or {predicted_column}; name others")
     model = train(spark, docs, labels, max_rows)
     if model is None:
-        scored = docs.withColumn("toxic_score", F.lit(0.0))
+        scored = docs.withColumn(score_column, F.lit(0.0))
     else:
         shared = spark.sparkContext.broadcast(model)
 
@@ -201,5 +206,5 @@ def with_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thres
                 yield pd.Series(shared.value.score(texts.tolist()), dtype=float)
 
         score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        scored = docs.withColumn("toxic_score", F.pandas_udf(score, "double")("text"))
-    return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+        scored = docs.withColumn(score_column, F.pandas_udf(score, "double")("text"))
+    return scored.withColumn(predicted_column, (F.col(score_column) >= threshold).cast("int"))
