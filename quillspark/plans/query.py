@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import AliasError, QueryError
 from ..functions import registry
-from ..functions.text import Expr, as_expr, bind, forbid_aggregates, tokens
+from ..functions.text import Expr, as_expr, forbid_aggregates
 from ..operators import joins, sets, writing
 from ..operators.grouping import Grouping
 from ..operators.scope import Scope
@@ -68,13 +68,17 @@ class Query:
     memoized: bool = False
     compat_pushdown: bool = False
     frozen: bool = False
+    bound: tuple = ()
 
     # building
 
-    def _with(self, *clause) -> Query:
+    def _change(self, **fields) -> Query:
         if self.frozen:
             raise QueryError("the statement is final")
-        return replace(self, clauses=(*self.clauses, clause))
+        return replace(self, **fields)
+
+    def _with(self, *clause) -> Query:
+        return self._change(clauses=(*self.clauses, clause))
 
     def _has(self, *names: str) -> bool:
         return any(c[0] in names for c in self.clauses)
@@ -130,12 +134,10 @@ class Query:
         at = [i for i, c in enumerate(self.clauses) if c[0] == "join"]
         if not at:
             raise QueryError("on needs a join before it")
-        if self.frozen:
-            raise QueryError("the statement is final")
         _, relations, kind, on = self.clauses[at[-1]]
         clauses = list(self.clauses)
         clauses[at[-1]] = ("join", relations, kind, (*on, e))
-        return replace(self, clauses=tuple(clauses))
+        return self._change(clauses=tuple(clauses))
 
     def where(self, predicate, *values) -> Query:
         e = as_expr(predicate, values)
@@ -157,7 +159,7 @@ class Query:
     def _last_key(self, change: Callable[[SortKey], SortKey]) -> Query:
         if not self.clauses or self.clauses[-1][0] != "order_by":
             raise QueryError("a direction needs order_by before it")
-        return replace(self, clauses=(*self.clauses[:-1], ("order_by", change(self.clauses[-1][1]))))
+        return self._change(clauses=(*self.clauses[:-1], ("order_by", change(self.clauses[-1][1]))))
 
     def order(self, sign: int) -> Query:
         return self._last_key(lambda k: k.directed(sign))
@@ -196,7 +198,7 @@ class Query:
     @property
     def memoize(self) -> Query:
         """Evaluated once in an execution, however often it is used."""
-        return replace(self, memoized=True)
+        return self._change(memoized=True)
 
     def into(self, store: Store) -> Query:
         if self.target is not None:
@@ -209,24 +211,28 @@ class Query:
             raise QueryError("a statement writes into a store")
         if any(a == "this" for c in self.clauses if c[0] in ("from", "join") for a, _ in c[1]):
             raise AliasError("alias used twice: this")
-        return replace(self, target=store)
+        return self._change(target=store)
 
     def returning(self, *args, **named) -> Query:
         if self.back is not None:
             raise QueryError("returning was called already")
         if self.kind == "select":
             raise QueryError("a select returns its rows")
-        return replace(self, back=_items(args, named))
+        return self._change(back=_items(args, named))
 
     def compat(self) -> Query:
         """Places predicates of outer and anti joins as the older, non-ANSI rule has it: ON terms over the left side alone
         filter the left rows, and WHERE comparisons over the right side alone act within the join."""
-        return replace(self, compat_pushdown=True)
+        return self._change(compat_pushdown=True)
 
     def finalize(self) -> Query:
         self._check()
         return replace(self, frozen=True)
 
+    def partial(self, **params) -> Query:
+        """The statement with some of its parameters given; an execution may still give others, or these anew."""
+        return replace(self, bound=(*self.bound, *params.items()))
+
     def _check(self) -> None:
         if self.kind in ("insert", "upsert", "update", "delete") and self.target is None:
             raise QueryError(f"{self.kind} needs into")
@@ -270,7 +276,7 @@ class Query:
 
     def __call__(self, params: Mapping | None = None, txn: Transaction | None = None, **named) -> DataFrame:
         self._check()
-        ctx = Context({**(params or {}), **named}, txn)
+        ctx = Context({**dict(self.bound), **(params or {}), **named}, txn)
         self._count_uses(ctx)
         registry.install(session())
         if self.kind == "select":
@@ -304,6 +310,8 @@ class Query:
                 q._count_uses(ctx)
 
     def _memo_or_run(self, ctx: Context) -> DataFrame:
+        if self.bound:  # a sub-query's own parameters, where the execution gives none
+            ctx = replace(ctx, params={**dict(self.bound), **ctx.params})
         if not self.memoized:
             return self._run(ctx)
         if id(self) not in ctx.memo:
@@ -319,7 +327,7 @@ class Query:
                 raise QueryError("only a query can be read from")
             df = r._memo_or_run(ctx)
         else:
-            df = ctx.txn.df(r) if ctx.txn else r.df
+            df = _visible(r, ctx)
         if mark:
             df = df.withColumn(PRESENT, F.lit(True))
         return Scope(df.alias(alias), {alias: df.columns})
@@ -378,8 +386,8 @@ class Query:
             elif c[0] == "select":
                 selector = c[1]
             elif c[0] == "union":
-                left = close().df
-                right = c[2]._memo_or_run(ctx) if isinstance(c[2], Query) else c[2].df
+                left = close().df.drop(PK)
+                right = c[2]._memo_or_run(ctx) if isinstance(c[2], Query) else _visible(c[2], ctx).drop(PK)
                 scope, selector, orders = Scope(sets.union(left, right, c[1] == "union")), None, []
             else:
                 raise QueryError(f"{c[0]} can't follow group_by or a union")
@@ -444,6 +452,11 @@ class Query:
         return scope.select(self.back, ctx.params)
 
 
+def _visible(store: Store, ctx: Context) -> DataFrame:
+    """The store's rows as the transaction sees them."""
+    return ctx.txn.df(store) if ctx.txn else store.df
+
+
 def _unpersist(df: DataFrame) -> None:
     try:
         df.unpersist()
@@ -502,4 +515,4 @@ def delete_from(store: Store) -> Query:
     return Query("delete").into(store)
 
 
-__all__ = ["Context", "Query", "bind", "delete_from", "insert", "select", "tokens", "update", "upsert", "Column"]
+__all__ = ["Context", "Query", "delete_from", "insert", "select", "update", "upsert"]

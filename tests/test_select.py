@@ -172,6 +172,17 @@ def test_tree_collect_and_stream(spark, thing):
     assert seen == ["Cake", "Banana"]
 
 
+def test_partial_and_final(thing):
+    q = select(n="a.name").from_(a=thing).where("a.id = :x OR a.id = :y").partial(x=1)
+    assert rows(q(y=2)) == [("Apple",), ("Banana",)] and rows(q(x=3, y=3)) == [("Cake",)]
+    assert rows(select(n="s.n").from_(s=q)(y=3)) == [("Apple",), ("Cake",)]
+    final = q.order_by("a.id").finalize()
+    for change in (lambda: final.desc, lambda: final.memoize, lambda: final.compat(), lambda: final.where("1 = 1"), lambda: final.union(q)):
+        with pytest.raises(QueryError, match="final"):
+            change()
+    assert len(rows(final(y=1))) == 1
+
+
 def test_streaming_source(spark, tmp_path):
     from quillspark.streaming import start
 

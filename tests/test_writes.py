@@ -103,6 +103,10 @@ def test_transactions(book):
     with pytest.raises(KeyError_):
         insert("b").into(book).from_(b=book)(txn=t)
     assert t.state == "aborted"
+    with transaction() as t:
+        delete_from(book).where("this.isbn = 123456")(txn=t)
+        assert select("b").from_(b=book).union_all(book)(txn=t).count() == 4  # both sides see the transaction's rows
+        t.abort()
     with transaction() as t:
         insert(isbn="1", title="'one'").into(book)(txn=t)
         update(title="concat(this.title, '!')").into(book).where("this.isbn = 1")(txn=t)
