@@ -8,6 +8,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -80,6 +81,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Other Arrow batches for what is run inside: large ones for narrow rows."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; a temporary one where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -183,7 +195,7 @@ def joined(texts: list[str | None], table_: bytes | None = None) -> tuple[bytes,
 ALNUM_BYTES = _ALNUM_BYTES
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[slice]:
     """Consecutive texts of about `most` characters in all."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts
+from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, batch_rows, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts
 from .components import components
 
 SMALL, LARGE, LEAF, SHARED = 8, 512, 16, 3
@@ -111,7 +111,7 @@ def coarse(p: np.ndarray, groups: int) -> np.ndarray:
 
 def _sketch(bits: int, words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((1, 1 << bits), np.int64)
+        counts = np.zeros((1, 1 << bits), np.int32)
         for pdf in batches:
             texts = pdf["text"].tolist()
             for part in slices(texts):
@@ -446,7 +446,7 @@ def _cluster_links(sim: Similarity):
 
 def _bloom(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((1, 1 << bits), np.int64)
+        counts = np.zeros((1, 1 << bits), np.int8)
         for pdf in batches:
             for seed in (1, 2):
                 counts[0, _slot(pdf["id"].to_numpy(), seed, bits)] = 1
@@ -503,8 +503,9 @@ class Join:
             profiles.join(classes, [*kind]).filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", *kind])
             .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
-        blocks = scratch.stash(
-            keyed.repartition(self.shuffles, "key").sortWithinPartitions("key").mapInPandas(_blocks(sim, self.large), "kind int, a long, b long"), "blocks")
+        keyed = keyed.repartition(self.shuffles, "key").sortWithinPartitions("key")
+        with batch_rows(self.spark, 20_000):
+            blocks = scratch.stash(keyed.mapInPandas(_blocks(sim, self.large), "kind int, a long, b long"), "blocks")
         pairs = blocks.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times")).filter(F.col("times") >= SHARED).select("a", "b")
         members = scratch.stash(blocks.filter("kind IN (1, 2)").select("kind", F.col("a").alias("key"), F.col("b").alias("doc")).distinct(), "members")
         rows = members.filter("kind = 1").drop("kind").join(reps.select("doc", "n", "point"), "doc").repartition(self.shuffles, "key").sortWithinPartitions("key")
