@@ -49,14 +49,15 @@ def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return (h & mask).astype(np.int64), (mix64(stem) & mask).astype(np.int64), np.searchsorted(begins, start, side="right") - 1
 
 
-def _document_counts(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return np.bincount(np.unique(doc * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+def _once(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Buckets of the distinct words of each document."""
+    return np.unique(doc * BUCKETS + bucket) % BUCKETS
 
 
 def _counter(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
-        counts = np.zeros((TABLES, BUCKETS), np.int64)
+        counts = np.zeros((TABLES, BUCKETS), np.int32)
         for pdf in batches:
             texts = pdf["text"].tolist()
             known = pd.to_numeric(pdf["doc_id"]).fillna(-1).to_numpy(np.int64) if len(ids) else np.zeros(0, np.int64)
@@ -70,8 +71,8 @@ def _counter(broadcast):
                 own = label[part][doc]
                 for c, mask in ((0, slice(None)), (1, own == 0), (2, own == 1)):
                     if c == 0 or mask.any():
-                        counts[2 * c] += _document_counts(word[mask], doc[mask])
-                        counts[2 * c + 1] += _document_counts(stem[mask], doc[mask])
+                        np.add.at(counts[2 * c], _once(word[mask], doc[mask]), 1)
+                        np.add.at(counts[2 * c + 1], _once(stem[mask], doc[mask]), 1)
         yield count_rows(counts)
 
     return run
