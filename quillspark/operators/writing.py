@@ -119,17 +119,17 @@ def update_where(store: Store, state: DataFrame, where: Column, values: dict[str
     kinds = {f.name: f.dataType for f in state.schema}
     hit = F.coalesce(where, F.lit(False))
     base = state.alias("this")
-    columns = [
-        F.when(hit, values[c].cast(kinds[c])).otherwise(F.col(f"this.`{c}`")).alias(c) if c in values else F.col(f"this.`{c}`") for c in state.columns
-    ] + [F.when(hit, v).alias(c) for c, v in values.items() if c not in kinds]
-    new = stash(base.select(*columns, hit.alias("__hit")), "updated")
-    return Written(new.drop("__hit"), new.filter("__hit").drop("__hit"))
+    columns = [values[c].cast(kinds[c]).alias(c) if c in values else F.col(f"this.`{c}`") for c in state.columns]
+    columns += [v.alias(c) for c, v in values.items() if c not in kinds]
+    rows = stash(base.filter(hit).select(*columns), "updated")
+    kept = base.filter(~hit).select(*[F.col(f"this.`{c}`") for c in state.columns])
+    return Written(kept.unionByName(rows, allowMissingColumns=True), rows)
 
 
 def delete_where(store: Store, state: DataFrame, where: Column | None) -> Written:
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tagged = stash(state.alias("this").select("this.*", hit.alias("__hit")), "deleted")
-    return Written(tagged.filter("NOT __hit").drop("__hit"), tagged.filter("__hit").drop("__hit"))
+    base = state.alias("this")
+    return Written(base.filter(~hit).select("this.*"), stash(base.filter(hit).select("this.*"), "deleted"))
 
 
 def delete_keys(store: Store, state: DataFrame, matched: DataFrame) -> Written:
