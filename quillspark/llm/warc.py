@@ -78,7 +78,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return own.select(F.concat(head, body).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = 5_000) -> None:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = 1_000) -> None:
     records(pages, min_bytes).write.mode("overwrite").option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).text(path)
 
 
