@@ -71,8 +71,8 @@ def _counter(broadcast):
                 own = label[part][doc]
                 for c, mask in ((0, slice(None)), (1, own == 0), (2, own == 1)):
                     if c == 0 or mask.any():
-                        np.add.at(counts[2 * c], _once(word[mask], doc[mask]), 1)
-                        np.add.at(counts[2 * c + 1], _once(stem[mask], doc[mask]), 1)
+                        np.add.at(counts[2 * c], _once(word[mask], doc[mask]), np.int32(1))
+                        np.add.at(counts[2 * c + 1], _once(stem[mask], doc[mask]), np.int32(1))
         yield count_rows(counts)
 
     return run
