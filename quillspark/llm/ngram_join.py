@@ -116,7 +116,7 @@ def _sketch(bits: int, words: int):
             texts = pdf["text"].tolist()
             for part in slices(texts):
                 sets = shingle_sets(texts[part], words)
-                np.add.at(counts[0], (np.concatenate(sets) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+                np.add.at(counts[0], (np.concatenate(sets) & np.uint64((1 << bits) - 1)).astype(np.int64), np.int32(1))
         yield count_rows(counts)
 
     return run
