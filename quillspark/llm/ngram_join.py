@@ -1,9 +1,10 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Hashes fall into groups by their first bits; the numbers
-of a set's hashes by group are its point. Large sets have finer groups (2 to 4 hashes each), which nest in coarser ones. The overlap of two sets is at most the sum of the smaller coordinates, and that of any two
-sets below two tree nodes at most the same sum over the nodes' upper corners: pairs of nodes that can't reach the overlap
-that the similarity asks for are left out, and surviving pairs are verified with their whole sets.
+of a set's hashes by group are its point. Large sets have finer groups (2 to 4 hashes each), which nest in coarser ones.
+The overlap of two sets is at most the sum of the smaller coordinates, and that of any two sets below two tree nodes at
+most the same sum over the nodes' upper corners: pairs of nodes that can't reach the overlap that the similarity asks for
+are left out, and surviving pairs are verified with their whole sets.
 
 One tree over all documents would compare each document with most others of its size (points of unrelated documents of
 500 words lie within the bound at few dimensions, and at many a tree has no small nodes), so trees are built for blocks:
@@ -142,8 +143,7 @@ def _profiles(broadcast, sim: Similarity):
                     a, b = mix64(s ^ np.uint64(0x5851F42D4C957F2D)), mix64(s + np.uint64(0x14057B7EF767814F))
                     rows.append((len(s), int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64)), pack_counts(point(s)), keys.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "point", "keys"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
-            yield out
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy(), known=pdf["known"].to_numpy())
 
     return run
 
@@ -464,7 +464,6 @@ class Join:
         self.spark, self.sim, self.cluster_shingles, self.large, self.scratch = spark, sim, cluster_shingles, large, Scratch(spark, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rounds = 0
 
     def profiles(self) -> DataFrame:
         spark, sim = self.spark, self.sim
@@ -472,8 +471,10 @@ class Join:
         bits = min(24, max(16, int(n * 16).bit_length()))
         counts = sum_counts(spark, self.docs.select("text").mapInPandas(_sketch(bits, sim.words), COUNT_SCHEMA), 1, 1 << bits)[0]
         levels = spark.sparkContext.broadcast(levels_of(counts))
-        schema = "doc_id long, n long, f1 long, f2 long, point binary, keys array<long>"
-        return self.scratch.stash(self.docs.mapInPandas(_profiles(levels, sim), schema), "profiles")
+        # ids without nulls, which pandas would turn to floats
+        whole = self.docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+        made = whole.mapInPandas(_profiles(levels, sim), "n long, f1 long, f2 long, point binary, keys array<long>, doc_id long, known boolean")
+        return self.scratch.stash(made.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"), "profiles")
 
     def texts(self, ids: DataFrame, most: int) -> DataFrame:
         """Texts of the ids (one column, most rows at most), and a few others: only these need to be shuffled. They pass
@@ -483,15 +484,14 @@ class Join:
             np.packbits(sum_counts(self.spark, ids.toDF("id").mapInPandas(_bloom(bits), COUNT_SCHEMA), 1, 1 << bits)[0] > 0))
 
         def passes(ids: pd.Series) -> pd.Series:
-            own = ids.fillna(0).to_numpy(np.int64)
-            kept = ids.notna().to_numpy(copy=True)
+            own, kept = ids.to_numpy(np.int64), np.ones(len(ids), bool)
             for seed in (1, 2):
                 slot = _slot(own, seed, bits)
                 kept &= (bloom.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
             return pd.Series(kept)
 
         passes.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-        return self.docs.filter(F.pandas_udf(passes, "boolean")("doc_id"))
+        return self.docs.filter(F.col("doc_id").isNotNull() & F.pandas_udf(passes, "boolean")(F.coalesce("doc_id", F.lit(0))))
 
     def run(self) -> DataFrame:
         sim, scratch = self.sim, self.scratch
@@ -499,8 +499,9 @@ class Join:
         kind = ["n", "f1", "f2"]
         real = profiles.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
         classes = scratch.stash(real.groupBy(*kind).agg(F.min("doc_id").alias("rep")), "classes")
+        # joined by id too, so that a class of many copies is no hot key
         reps = (
-            profiles.join(classes, [*kind]).filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", *kind])
+            profiles.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *kind], "left_semi").dropDuplicates(["doc_id", *kind])
             .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
         keyed = keyed.repartition(self.shuffles, "key").sortWithinPartitions("key")

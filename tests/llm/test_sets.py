@@ -88,6 +88,14 @@ def test_ngram_join_of_near_group(spark):
     assert jaccard_components(spark, df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_large_ids(spark):
+    pairs = [(2**60 + i, "a b c d e f g h i j " * 3 + "x" * (i % 2) + f" tail{i // 2}") for i in range(6)]
+    df = spark.createDataFrame([*pairs, (None, pairs[0][1])], "doc_id long, text string").coalesce(1)
+    want = brute_components(pairs)
+    for limit in (4_000_000, 0):
+        assert {x.doc_id: x.component_id for x in jaccard_components(spark, df, Similarity(), limit).collect() if x.doc_id} == {i: c for i, (_, c) in want.items()}
+
+
 def test_blocks_too_large_to_hold():
     import pandas as pd
 
