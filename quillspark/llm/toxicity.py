@@ -60,12 +60,12 @@ def _counter(broadcast):
         counts = np.zeros((TABLES, BUCKETS), np.int32)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            known = pd.to_numeric(pdf["doc_id"]).fillna(-1).to_numpy(np.int64) if len(ids) else np.zeros(0, np.int64)
-            at = np.searchsorted(ids, known)
-            found = np.zeros(len(texts), bool)
+            label = np.full(len(texts), -1)
             if len(ids):
-                found = (ids[np.minimum(at, len(ids) - 1)] == known) & pdf["doc_id"].notna().to_numpy()
-            label = np.where(found, toxic[np.minimum(at, len(ids) - 1)], -1) if len(ids) else np.full(len(texts), -1)
+                own = pdf["doc_id"].to_numpy(np.int64)
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                found = (ids[at] == own) & pdf["known"].to_numpy(bool)
+                label[found] = toxic[at[found]]
             for part in slices(texts):
                 word, stem, doc = buckets_of(texts[part])
                 own = label[part][doc]
@@ -80,7 +80,8 @@ def _counter(broadcast):
 
 def corpus_counts(spark: SparkSession, docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """TABLES x BUCKETS counts over all documents."""
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_counter(spark.sparkContext.broadcast(labelled)), COUNT_SCHEMA)
+    own = F.col("doc_id").cast("long")  # without nulls, which pandas would turn to floats
+    parts = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNotNull().alias("known"), "text").mapInPandas(_counter(spark.sparkContext.broadcast(labelled)), COUNT_SCHEMA)
     return sum_counts(spark, parts, TABLES, BUCKETS)
 
 
