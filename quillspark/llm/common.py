@@ -225,9 +225,9 @@ def count_rows(counts: np.ndarray) -> pd.DataFrame:
 
 
 def pack_counts(part: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each that hold the largest, Huffman-coded."""
+    """Counts in the fewest bytes each that hold the largest, with runs and Huffman codes (no search for matches)."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(part.max(initial=0)) < 1 << (8 * w))
-    coder = zlib.compressobj(9, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY if part.all() or width == 1 else zlib.Z_DEFAULT_STRATEGY)
+    coder = zlib.compressobj(9, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
     return bytes((width,)) + coder.compress(part.astype(f"<u{width}").tobytes()) + coder.flush()
 
 
