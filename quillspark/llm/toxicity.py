@@ -5,13 +5,17 @@ It is discounted, and what the discount leaves goes to the class's counts of wor
 from these, discounted again, to counts that both classes share, taken over all documents of the corpus, labelled or
 not. So a rare expression leans on its stem, and one that no labelled document has on counts that favour neither class.
 
-Counts are kept by hash in tables of BUCKETS entries, so a model has one size for any corpus and may be broadcast; all
-tasks' tables are summed. A document's features are the log-likelihood ratio a word (length-normalised), the largest
-ratio, the sum of the three largest, the sum of large ratios, and the length. A logistic fit turns them into a score.
+Counts are kept by 64-bit hash of the word (stems by their bytes) in a table that grows with the vocabulary; from it
+comes a table of log-likelihood ratios of the words and stems that labelled documents hold. Its most frequent entries, MAX_HOT
+words and stems each at most, are broadcast. What is beyond them is looked up by shuffle: documents send their words that
+are not broadcast, and get sums and largest ratios back by the hash of their text. The result is that of one table.
 
-Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. At most `max_rows` labelled rows of each class,
-picked by a seeded hash, fit the models (remainders 0 and 1) and the logistic function (remainder 3): a
-documented bound that sizes what is broadcast; all other counts cover all documents.
+A document's features are the log-likelihood ratio a word (length-normalised), the largest ratio, the sum of the three
+largest, the sum of large ratios, and the length. A logistic fit turns them into a score.
+
+Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. All labelled rows of remainders 0 and 1 are counted;
+their ids are broadcast if they are MAX_LABELS at most, else joined by shuffle. The logistic function, of six parameters, is
+fitted on remainder 3, of each class on at most `max_rows` rows picked by a seeded hash.
 
 A null or empty text has score 0. Rows with null doc_id are scored and counted but can't be labelled; several labels of
 a document count as toxic if one does; null labels are none. With no toxic or no other label to learn from, every score
@@ -20,117 +24,264 @@ is 0. Equal texts get equal scores. Very long texts are counted whole. Extra col
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, COUNT_SCHEMA, GAP_32, count_rows, hash_words, joined, mix64, slices, small_batches, sum_counts
-
-BUCKETS, STEM, DISCOUNT = 1 << 20, 5, 0.75
-#: Counts by table: words and stems of all documents, of ordinary and of toxic ones.
-TABLES = 6
-
-
-def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word and of its stem, and the text that it stands in."""
+from .common import ALNUM_BYTES, GAP_32, Scratch, batch_rows, hash_words, joined, slices, small_batches
+
+STEM, DISCOUNT = 5, 0.75
+#: Words, and stems, whose ratios may be broadcast, of 16 bytes each.
+MAX_HOT = 2_000_000
+#: Labelled ids of 9 bytes that may be broadcast.
+MAX_LABELS = 4_000_000
+#: Rows of 40 bytes that may be broadcast to join them.
+MAX_BROADCAST = 500_000
+#: Rows of counts that a task holds before it merges or sends them.
+MAX_HELD = 1_000_000
+WORD, STEMS = 0, 1
+COUNTS = "kind int, key long, stem long, n long, n0 long, n1 long"
+#: Sums of ratios of words looked up by shuffle are exact, so their order doesn't matter.
+UNIT = float(1 << 32)
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, its stem as a number below 2**40, and the text that it stands in."""
     data, begins = joined(texts, ALNUM_BYTES)
     h, start, stop = hash_words(data, GAP_32)
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    stem = np.zeros(len(h), np.uint64)
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    stem = np.zeros(len(h), np.int64)
     for k in range(STEM):
         at = start + k
-        stem = stem << np.uint64(8) | np.where(at < stop, raw[np.minimum(at, len(raw) - 1)] if len(raw) else np.uint64(0), np.uint64(0))
-    mask = np.uint64(BUCKETS - 1)
-    return (h & mask).astype(np.int64), (mix64(stem) & mask).astype(np.int64), np.searchsorted(begins, start, side="right") - 1
+        stem = stem << 8 | np.where(at < stop, raw[np.minimum(at, len(raw) - 1)] if len(raw) else 0, 0)
+    return h.view(np.int64), stem, np.searchsorted(begins, start, side="right") - 1
+
 
+def _tally(kind: int, key: np.ndarray, stem: np.ndarray, doc: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Documents that hold each key: all, ordinary and toxic ones."""
+    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+    pair = np.unique(doc * max(1, len(keys)) + at)
+    held, own = pair % max(1, len(keys)), label[pair // max(1, len(keys))]
+    n, n0, n1 = (np.bincount(held[mask], minlength=len(keys)) for mask in (slice(None), own == 0, own == 1))
+    return pd.DataFrame({"kind": kind, "key": keys, "stem": stem[first], "n": n, "n0": n0, "n1": n1})
 
-def _once(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Buckets of the distinct words of each document."""
-    return np.unique(doc * BUCKETS + bucket) % BUCKETS
+
+def _merge(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts).groupby(["kind", "key", "stem"], sort=False, as_index=False).sum()
 
 
 def _counter(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
-        counts = np.zeros((TABLES, BUCKETS), np.int32)
+        parts: list[pd.DataFrame] = []
+        size = 0
         for pdf in batches:
             texts = pdf["text"].tolist()
-            label = np.full(len(texts), -1)
+            label = pdf["label"].to_numpy(np.int64).copy()
             if len(ids):
                 own = pdf["doc_id"].to_numpy(np.int64)
                 at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
                 found = (ids[at] == own) & pdf["known"].to_numpy(bool)
                 label[found] = toxic[at[found]]
             for part in slices(texts):
-                word, stem, doc = buckets_of(texts[part])
-                own = label[part][doc]
-                for c, mask in ((0, slice(None)), (1, own == 0), (2, own == 1)):
-                    if c == 0 or mask.any():
-                        np.add.at(counts[2 * c], _once(word[mask], doc[mask]), np.int32(1))
-                        np.add.at(counts[2 * c + 1], _once(stem[mask], doc[mask]), np.int32(1))
-        yield count_rows(counts)
+                word, stem, doc = words_of(texts[part])
+                for new in (_tally(WORD, word, stem, doc, label[part]), _tally(STEMS, stem, stem, doc, label[part])):
+                    parts.append(new)
+                    size += len(new)
+                if size > MAX_HELD:
+                    parts = [_merge(parts)]
+                    size = len(parts[0])
+                    if size > MAX_HELD // 2:
+                        yield parts.pop()
+                        size = 0
+        if parts:
+            yield _merge(parts)
 
     return run
 
 
-def corpus_counts(spark: SparkSession, docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """TABLES x BUCKETS counts over all documents."""
+def corpus_counts(spark: SparkSession, docs: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """Counts (COUNTS) of words and stems over all documents; labelled: doc_id, toxic."""
     own = F.col("doc_id").cast("long")  # without nulls, which pandas would turn to floats
-    parts = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNotNull().alias("known"), "text").mapInPandas(_counter(spark.sparkContext.broadcast(labelled)), COUNT_SCHEMA)
-    return sum_counts(spark, parts, TABLES, BUCKETS)
+    known = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNotNull().alias("known"), "text")
+    if labelled.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
+        pdf = _gathered(spark, labelled.select(F.col("doc_id").alias("key"), F.col("toxic").cast("double").alias("value")))
+        ids, known = (pdf[0], pdf[1].astype(np.int8)), known.withColumn("label", F.lit(-1))
+    else:
+        toxic = labelled.select("doc_id", F.lit(True).alias("known"), F.col("toxic").alias("label"))
+        ids, known = (np.zeros(0, np.int64),) * 2, known.join(toxic, ["doc_id", "known"], "left").fillna(-1, ["label"])
+    parts = known.mapInPandas(_counter(spark.sparkContext.broadcast(ids)), COUNTS)
+    sums = [F.sum(c).alias(c) for c in ("n", "n0", "n1")]
+    return scratch.stash(parts.groupBy("kind", "key").agg(F.min("stem").alias("stem"), *sums), "counts")
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"k": [pdf["key"].to_numpy(np.int64).tobytes()], "v": [pdf["value"].to_numpy(np.float64).tobytes()]})
+
+
+def _gathered(spark: SparkSession, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Columns key and value of a table known to be small, by key."""
+    with batch_rows(spark, 100_000):
+        got = df.select("key", "value").mapInPandas(_packed, "k binary, v binary").collect()
+    keys = np.frombuffer(b"".join(bytes(r["k"]) for r in got), np.int64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float64)[order]
+
+
+def ratios(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float] | None:
+    """kind, key, n, value: log-likelihood ratio of each word and stem that a labelled document holds; and that of others."""
+    c = [F.sum("n").alias("n"), F.count("*").alias("all")]
+    c += [f(x).alias(name) for x in ("n0", "n1") for f, name in ((F.sum, x), (lambda x: F.sum((F.col(x) > 0).cast("long")), f"kinds_{x}"))]
+    of = {r["kind"]: r for r in counts.groupBy("kind").agg(*c).collect()}
+    if WORD not in of or not of[WORD]["n0"] or not of[WORD]["n1"]:
+        return None
+    share = lambda kind: (F.col("n") + 0.5) / F.lit(of[kind]["n"] + 0.5 * of[kind]["all"])
+    left = {(k, x): DISCOUNT * of[k][f"kinds_{x}"] / of[k][x] for k in of for x in ("n0", "n1")}
+    kept = lambda kind, x: F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.lit(float(of[kind][x]))
+    seen = counts.filter("n0 + n1 > 0")
+    stems = seen.filter(F.col("kind") == STEMS).select(
+        F.col("key").alias("stem"), F.col("n").alias("s_n"), share(STEMS).alias("s_share"),
+        *[(kept(STEMS, x) + F.lit(left[STEMS, x]) * share(STEMS)).alias(f"s_{x}") for x in ("n0", "n1")],
+    )
+    words = seen.filter(F.col("kind") == WORD)
+    if of[STEMS]["all"] <= MAX_BROADCAST:
+        both = words.join(F.broadcast(stems), "stem")
+    else:  # stems of at least 1/65536 of the words, which are 65536 at most, are broadcast
+        hot = words.groupBy("stem").count().filter(F.col("count") * 65536 >= of[WORD]["all"]).select("stem")
+        both = words.join(F.broadcast(stems.join(F.broadcast(hot), "stem", "left_semi")), "stem")
+        both = both.unionByName(words.join(F.broadcast(hot), "stem", "left_anti").join(stems, "stem"))
+    within = share(WORD) / F.col("s_share")
+    p = [F.log(kept(WORD, x) + F.lit(left[WORD, x]) * F.col(f"s_{x}") * within) for x in ("n0", "n1")]
+    rest = math.log(left[WORD, "n1"]) - math.log(left[WORD, "n0"])
+    out = both.select("kind", "key", "n", (p[1] - p[0]).alias("value")).unionByName(
+        stems.select(F.lit(STEMS).alias("kind"), F.col("stem").alias("key"), F.col("s_n").alias("n"), (F.log("s_n1") - F.log("s_n0") + rest).alias("value"))
+    )
+    return scratch.stash(out, "ratios"), rest + math.log(left[STEMS, "n1"]) - math.log(left[STEMS, "n0"])
 
 
 @dataclass
 class Model:
-    """Discounted word and stem probabilities of the classes, ready to interpolate, and the logistic fit."""
+    """Ratios that are broadcast, by kind; whether there are others; the logistic fit."""
 
-    word: np.ndarray  # class, bucket: max(count - discount, 0) / all
-    left: np.ndarray  # class: what the discount leaves
-    stem: np.ndarray  # class, bucket: interpolated with the shared counts
-    share: np.ndarray  # bucket: shared probability of a word
-    stem_share: np.ndarray  # bucket: shared probability of a stem
+    hot: list[tuple[np.ndarray, np.ndarray]]
+    more: list[bool]
+    rest: float
+    cold: list[DataFrame] = field(default_factory=list, repr=False)
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
 
+    def __getstate__(self):
+        return self.__dict__ | {"cold": []}
+
     @classmethod
-    def of(cls, counts: np.ndarray) -> Model:
-        share = ((counts[0] + 0.5) / (counts[0].sum() + 0.5 * BUCKETS)).astype(np.float32)
-        stem_share = ((counts[1] + 0.5) / (counts[1].sum() + 0.5 * BUCKETS)).astype(np.float32)
-        word, left, stem = [], [], []
-        for c in (1, 2):
-            w, s = counts[2 * c], counts[2 * c + 1]
-            word.append(np.maximum(w - DISCOUNT, 0) / max(1, w.sum()))
-            left.append(DISCOUNT * (w > 0).sum() / max(1, w.sum()))
-            rest = DISCOUNT * (s > 0).sum() / max(1, s.sum())
-            stem.append(np.maximum(s - DISCOUNT, 0) / max(1, s.sum()) + rest * stem_share)
-        return cls(np.array(word, np.float32), np.array(left, np.float32), np.array(stem, np.float32), share, stem_share)
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def of(cls, spark: SparkSession, table: DataFrame, rest: float) -> Model:
+        """Entries of each kind whose counts have so many bits that they are MAX_HOT at most are hot."""
+        bits = F.length(F.bin("n"))
+        levels = table.groupBy("kind", bits.alias("bits")).count().collect()
+        hot, more, cold = [], [], []
+        for kind in (WORD, STEMS):
+            least, total = 64, 0
+            own = sorted(((r["bits"], r["count"]) for r in levels if r["kind"] == kind), reverse=True)
+            for b, n in own:
+                total += n
+                if total > MAX_HOT:
+                    break
+                least = b
+            mine = table.filter(F.col("kind") == kind)
+            hot.append(_gathered(spark, mine.filter(bits >= least)))
+            more.append(total > MAX_HOT)
+            cold.append(mine.filter(bits < least).select("key", "value"))
+        return cls(hot, more, rest, cold)
+
+    def _find(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = self.hot[kind]
+        if not len(keys):
+            return np.zeros(len(key), bool), np.full(len(key), self.rest)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        found = keys[at] == key
+        return found, np.where(found, values[at], self.rest)
+
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Of each word: hash, stem, text, ratio as far as the hot entries tell, whether others must be asked, and for the stem."""
+        word, stem, doc = words_of(texts)
+        known, value = self._find(WORD, word)
+        has, stem_value = self._find(STEMS, stem)
+        ask_stem = ~known & ~has & self.more[STEMS]
+        return word, stem, doc, np.where(known, value, stem_value), ~known & self.more[WORD] | ask_stem, ask_stem
+
+    def asked(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("text_key")
+            texts, keys = pdf["text"].tolist(), pdf["text_key"].to_numpy(np.int64)
+            for part in slices(texts):
+                word, stem, doc, value, ask, ask_stem = self.look_up(texts[part])
+                # A stem that is known already becomes a number that is no stem's and is spread over tasks.
+                stem = np.where(ask_stem, stem, -1 - (word & ((1 << 62) - 1)))
+                own = pd.DataFrame({"text_key": keys[part][doc], "word": word, "stem": stem, "value": value})[ask]
+                yield own.groupby(["text_key", "word", "stem", "value"], as_index=False, sort=False).size().rename(columns={"size": "times"})
+
+    def answers(self, docs: DataFrame) -> DataFrame:
+        """Of docs' text_key and text, by text_key: total, large and top of the words that hot entries don't tell."""
+        rows = docs.mapInPandas(self.asked, "text_key long, word long, stem long, value double, times long")
+        words, stems = (c.select(F.col("key").alias(n), F.col("value").alias(f"{n}_value")) for c, n in zip(self.cold, ("word", "stem"), strict=True))
+        for own, kind in ((words, WORD), (stems, STEMS)):
+            rows = rows.join(own, own.columns[0], "left") if self.more[kind] else rows.withColumn(own.columns[1], F.lit(None).cast("double"))
+        rows = rows.select("text_key", "word", "times", F.coalesce("word_value", "stem_value", "value").alias("value"))
+        rows = rows.repartition("text_key").groupBy("text_key", "word").agg(F.max("value").alias("value"), F.max("times").alias("times"))  # rows may share a text
+        unit = lambda c: F.sum(F.round(c * F.lit(UNIT)).cast("long") * F.col("times"))
+        largest = F.flatten(F.collect_list(F.array_repeat(F.col("value"), F.least("times", F.lit(3)).cast("int"))))
+        return rows.groupBy("text_key").agg(
+            unit(F.col("value")).alias("total"), unit(F.greatest(F.col("value") - 2, F.lit(0.0))).alias("large"),
+            F.slice(F.sort_array(largest, asc=False), 1, 3).alias("top"),
+        )
+
+    def completed(self, docs: DataFrame, name: str) -> DataFrame:
+        """Adds a column: struct of the text and what the shuffle answers for it."""
+        key = F.xxhash64("text")
+        if not any(self.more):
+            none = F.lit(None)
+            return docs.withColumn(name, F.struct("text", none.cast("long").alias("total"), none.cast("long").alias("large"), none.cast("array<double>").alias("top")))
+        found = self.answers(docs.select(key.alias("text_key"), "text"))
+        found = found.select(F.col("text_key").alias(f"{name}_key"), F.struct("total", "large", "top").alias(f"{name}_found"))
+        both = docs.withColumn(name, key).join(found, F.col(name) == F.col(f"{name}_key"), "left")
+        parts = [F.col(f"{name}_found.{c}").alias(c) for c in ("total", "large", "top")]
+        return both.withColumn(name, F.struct("text", *parts)).drop(f"{name}_key", f"{name}_found")
+
+    def features(self, pdf: pd.DataFrame) -> np.ndarray:
+        """pdf: text, total, large, top."""
+        texts = pdf["text"].tolist()
         out = np.zeros((len(texts), 5))
         for part in slices(texts):
-            word, stem, doc = buckets_of(texts[part])
+            _, _, doc, ratio, ask, _ = self.look_up(texts[part])
             if not len(doc):
                 continue
-            within = self.share[word] / self.stem_share[stem]
-            logs = [np.log(self.word[c][word] + self.left[c] * self.stem[c][stem] * within) for c in (0, 1)]
-            ratio = (logs[1] - logs[0]).astype(np.float64)
-            n = np.bincount(doc, minlength=len(texts[part]))
-            first = np.cumsum(n) - n
-            has = np.flatnonzero(n)
-            ratio = ratio[np.lexsort((-ratio, doc))]
+            rows = len(texts[part])
+            n = np.bincount(doc, minlength=rows)
+            total, large = (np.nan_to_num(pdf[c].iloc[part].to_numpy(float)) / UNIT for c in ("total", "large"))
+            top = [t if isinstance(t, (list, np.ndarray)) else () for t in pdf["top"].iloc[part]]
+            extra = np.repeat(np.arange(rows), [len(t) for t in top])
+            doc, ratio = doc[~ask], ratio[~ask]
+            total += np.bincount(doc, weights=ratio, minlength=rows)
+            large += np.bincount(doc, weights=np.maximum(ratio - 2, 0), minlength=rows)
+            doc = np.concatenate((doc, extra))
+            ratio = np.concatenate((ratio, *map(np.asarray, top))) if len(extra) else ratio
+            order = np.lexsort((-ratio, doc))
+            ratio, m = ratio[order], np.bincount(doc, minlength=rows)
+            first, has = np.cumsum(m) - m, np.flatnonzero(m)
             own = out[part]
-            own[:, 0] = np.bincount(doc, weights=ratio, minlength=len(n)) / np.maximum(n, 1)
+            own[:, 0] = total / np.maximum(n, 1)
             own[has, 1] = ratio[first[has]]
             for k in range(3):
-                more = has[n[has] > k]
-                own[more, 2] += ratio[first[more] + k]
-            own[:, 3] = np.log1p(np.bincount(doc, weights=np.maximum(ratio - 2, 0), minlength=len(n)))
+                deep = has[m[has] > k]
+                own[deep, 2] += ratio[first[deep] + k]
+            own[:, 3] = np.log1p(large)
             own[:, 4] = np.log1p(n)
         return out
 
@@ -145,8 +296,8 @@ class Model:
             w += np.linalg.solve(hessian, z.T @ (y - p) - 0.5 * w)
         self.weights = w
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        x = self.features(texts)
+    def score(self, pdf: pd.DataFrame) -> np.ndarray:
+        x = self.features(pdf)
         z = self.weights[0] + ((x - self.center) / self.scale) @ self.weights[1:]
         return np.where(x[:, 4] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
@@ -158,10 +309,18 @@ def fold(doc_id: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 60_000, seed: int = 5) -> Model | None:
     """The fitted model, or None if there is nothing to learn from."""
     small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .filter(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+    rows = scratch.stash(rows, "labels")
+    counts = corpus_counts(spark, docs, rows.filter(fold(F.col("doc_id")) < 2), scratch)
+    found = ratios(spark, counts, scratch)
+    if found is None:
+        return None
+    model = Model.of(spark, *found)
+    rows = rows.filter(fold(F.col("doc_id")) == 3)
     # Of a class beyond the bound, the rows whose hash is below the share that the bound is of it: no sort, and within one
     # in 50 of the bound (the chance to exceed it is below 1e-6 from 60,000 on).
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32))
@@ -169,25 +328,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     below = F.lit(False)
     for toxic, share in shares.items():
         below = below | ((F.col("toxic") == toxic) & (part < F.lit(int(share * (1 << 32)))))
-    picked = rows.filter(below).toPandas()
-    own = np.array([zlib.crc32(str(i).encode()) % 4 for i in picked["doc_id"]], np.int64)
-    ids, toxic = picked["doc_id"].to_numpy(np.int64), picked["toxic"].to_numpy(np.int64)
-    order = np.argsort(ids[own < 2], kind="stable")
-    counts = corpus_counts(spark, docs, (ids[own < 2][order], toxic[own < 2][order]))
-    if not counts[2].any() or not counts[4].any():
-        return None
-    model = Model.of(counts)
-    rest = spark.createDataFrame(pd.DataFrame({"l_id": ids[own == 3], "l_toxic": toxic[own == 3]}), "l_id long, l_toxic long").coalesce(1)
+    rest = rows.filter(below).select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for pdf in batches:
-            x = shared.value.features(pdf["text"].tolist())
-            yield pd.DataFrame(np.column_stack((x, pdf["l_toxic"])), columns=[*"abcdey"])
+            yield pd.DataFrame(np.column_stack((shared.value.features(pdf), pdf["l_toxic"])), columns=[*"abcdey"])
 
     # 2 * max_rows rows at most on either side of this join's broadcast and in the result.
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rest), F.col("doc_id") == F.col("l_id"))
-    xy = seen.select("text", "l_toxic").mapInPandas(run, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
+    seen = model.completed(seen.select("text", "l_toxic"), "x").select("x.*", "l_toxic")
+    xy = seen.mapInPandas(run, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
     if not len(xy):
         return None
     xy = xy[np.lexsort(xy.T)]  # the same order, and so the same sums, in every run
@@ -208,10 +359,11 @@ def with_toxicity(
     else:
         shared = spark.sparkContext.broadcast(model)
 
-        def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                yield pd.Series(shared.value.score(texts.tolist()), dtype=float)
+        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for pdf in parts:
+                yield pd.Series(shared.value.score(pdf), dtype=float)
 
-        score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        scored = docs.withColumn(score_column, F.pandas_udf(score, "double")("text"))
+        score.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+        # The struct takes the score column's name until the score does.
+        scored = model.completed(docs, score_column).withColumn(score_column, F.pandas_udf(score, "double")(score_column))
     return scored.withColumn(predicted_column, (F.col(score_column) >= threshold).cast("int"))

@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from quillspark.llm import toxicity
 from quillspark.llm.chat import format_preferences
 from quillspark.llm.decontaminate import Phrases, cut_spans, find_leaks, is_contaminated, leak_report, search_shard, sorted_suffixes
 from quillspark.llm.license_scan import scan_licenses
@@ -203,3 +204,29 @@ def test_toxicity(spark):
     assert train(spark, docs, marks.filter("toxic = 0")) is None
     assert with_toxicity(spark, docs, marks.limit(0)).filter("toxic_score > 0").count() == 0
     assert with_toxicity(spark, docs_of(spark, []), marks).count() == 0
+
+
+def test_toxicity_counts_each_word(spark, tmp_path):
+    """No two words share counts, also where there are more than 2**20."""
+    texts = [" ".join(f"x{i}y{k}" for i in range(11_000)) for k in range(100)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    counts = toxicity.corpus_counts(spark, docs, none, toxicity.Scratch(spark, "test")).filter(F.col("kind") == toxicity.WORD)
+    assert counts.agg(F.count("*"), F.max("n"), F.sum("n")).first() == (1_100_000, 1, 1_100_000)
+
+
+def test_toxicity_by_shuffle(spark, monkeypatch):
+    """Words, stems and labels beyond what may be broadcast give the same scores."""
+    r = random.Random(8)
+    pairs = [(i, " ".join(r.choice(["scum", "vile", "so"] if i % 5 == 0 else ["so", "fine"]) + str(r.randrange(60)) for _ in range(r.randint(1, 30)))) for i in range(600)]
+    pairs += [(700, pairs[5][1]), (None, pairs[5][1]), (701, None), (702, ""), (703, "new words")]
+    docs, marks = docs_of(spark, pairs), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = []
+    for hot, ids, few in ((10**6, 10**6, 10**6), (20, 0, 0), (0, 0, 0)):
+        monkeypatch.setattr(toxicity, "MAX_HOT", hot)
+        monkeypatch.setattr(toxicity, "MAX_LABELS", ids)
+        monkeypatch.setattr(toxicity, "MAX_BROADCAST", few)
+        got.append(sorted((x.doc_id or -1, x.text or "", x.toxic_score) for x in with_toxicity(spark, docs, marks).collect()))
+    for other in got[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in got[0]] and [x[2] for x in other] == pytest.approx([x[2] for x in got[0]], abs=1e-6)
+    assert len({x[2] for x in got[0]}) > 100
