@@ -15,7 +15,8 @@ largest, the sum of large ratios, and the length. A logistic fit turns them into
 
 Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. All labelled rows of remainders 0 and 1 are counted;
 their ids are broadcast if they are MAX_LABELS at most, else joined by shuffle. The logistic function, of six parameters, is
-fitted on remainder 3, of each class on at most `max_rows` rows picked by a seeded hash.
+fitted on remainder 3, of each class on at most `max_rows` rows picked by a seeded hash; each row weighs as many as it was
+picked from, so the ratio of the classes is that of all labels.
 
 A null or empty text has score 0. Rows with null doc_id are scored and counted but can't be labelled; several labels of
 a document count as toxic if one does; null labels are none. With no toxic or no other label to learn from, every score
@@ -285,15 +286,16 @@ class Model:
             own[:, 4] = np.log1p(n)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton's method with a small ridge."""
-        self.center, self.scale = x.mean(0), x.std(0) + 1e-9
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression by Newton's method with a small ridge; weight: labelled rows that each row stands for."""
+        self.center = np.average(x, 0, weight)
+        self.scale = np.sqrt(np.average((x - self.center) ** 2, 0, weight)) + 1e-9
         z = np.column_stack((np.ones(len(x)), (x - self.center) / self.scale))
         w = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            hessian = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * 0.5
-            w += np.linalg.solve(hessian, z.T @ (y - p) - 0.5 * w)
+            hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * 0.5
+            w += np.linalg.solve(hessian, z.T @ (weight * (y - p)) - 0.5 * w)
         self.weights = w
 
     def score(self, pdf: pd.DataFrame) -> np.ndarray:
@@ -342,7 +344,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     if not len(xy):
         return None
     xy = xy[np.lexsort(xy.T)]  # the same order, and so the same sums, in every run
-    model.fit(xy[:, :-1], xy[:, -1])
+    y = xy[:, -1].astype(int)
+    model.fit(xy[:, :-1], y, np.array([1 / shares.get(c, 1.0) for c in (0, 1)])[y])
     return model
 
 

@@ -230,3 +230,13 @@ def test_toxicity_by_shuffle(spark, monkeypatch):
     for other in got[1:]:
         assert [x[:2] for x in other] == [x[:2] for x in got[0]] and [x[2] for x in other] == pytest.approx([x[2] for x in got[0]], abs=1e-6)
     assert len({x[2] for x in got[0]}) > 100
+
+
+def test_toxicity_bound_keeps_class_ratio(spark):
+    """A bound on the rows of each class leaves the scores at the ratio of all labels."""
+    r = random.Random(9)
+    toxic = [i % 8 == 0 for i in range(4000)]
+    pairs = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(12)) + (" doubtful" if r.random() < (0.6 if t else 0.2) else "")) for i, t in enumerate(toxic)]
+    docs, marks = docs_of(spark, pairs), spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    whole, bounded = (np.array([x.toxic_score for x in with_toxicity(spark, docs, marks, max_rows=n).collect()]).mean() for n in (60_000, 100))
+    assert whole == pytest.approx(0.125, abs=0.03) and bounded == pytest.approx(whole, abs=0.06)
