@@ -5,7 +5,7 @@ its line separator, so files are plain WARC/1.0, in any store Spark can write, a
 records with equal payloads of `min_bytes` or more, that of the largest page_id is a response, the others are revisits
 of it without the payload; smaller ones are all responses.
 
-Reading: every place in a file where the version line stands is a candidate record; its header gives the place of its
+Reading: every place where the version line stands after a record end (or at a file's start) is a candidate record; its header gives the place of its
 successor. Candidates are a table (file, offset, successor, fields). Pointer jumping from the start of each file keeps
 those that can be reached: places inside payloads that look like records are never anyone's successor from there.
 
@@ -30,6 +30,8 @@ from .common import Scratch, small_batches
 
 #: Fixed values of the format.
 MAGIC, BREAK, RECORD_END = b"WARC/1.0\r\n", "\r\n", "\r\n\r\n"
+#: What a record but a file's first stands after, and its version line.
+START = RECORD_END.encode() + MAGIC
 #: Payloads with copies, of about 60 bytes each, that may be broadcast.
 MAX_BROADCAST = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -84,8 +86,12 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_records: in
 
 def _header(data: bytes, at: int, what: bytes) -> tuple[dict[bytes, bytes], int]:
     """Fields by lower-case name, and where the body begins; -1 if there is no header here."""
-    end = data.find(b"\r\n\r\n", at, at + 65536)
-    if end < 0 or not data.startswith(what, at):
+    if not data.startswith(what, at):
+        return {}, -1
+    # A version line is no field, so a header ends before the next one: no byte is searched again and again.
+    after = data.find(b"\r\n" + MAGIC, at)
+    end = data.find(b"\r\n\r\n", at, after + 2 if after >= 0 else len(data))
+    if end < 0:
         return {}, -1
     lines = data[at:end].split(b"\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}, end + 4
@@ -98,8 +104,9 @@ def _page(urn: bytes) -> str | None:
 
 def candidates(data: bytes) -> Iterator[tuple]:
     """offset, successor, page_id, payload_bytes, payload_digest, record_type, refers_to of whatever looks like a record."""
-    at = data.find(MAGIC)
+    at = 0 if data.startswith(MAGIC) else data.find(START)
     while at >= 0:
+        at += 4 if at else 0
         fields, body = _header(data, at, b"WARC/1.0")
         size = fields.get(b"content-length", b"")
         if body >= 0 and size.isdigit() and body + int(size) <= len(data):
@@ -113,17 +120,21 @@ def candidates(data: bytes) -> Iterator[tuple]:
                 digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("utf-8", "replace")
                 n = int(x) if (x := http.get(b"content-length", b"")).isdigit() else 0
             yield at, stop + 4, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, _page(fields.get(b"warc-refers-to", b""))
-        at = data.find(MAGIC, at + 1)
+        at = data.find(START, at + 1)
 
 
 FIELDS = ["file", "offset", "successor", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 SCHEMA = "file string, offset long, successor long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+SIZED = f"{SCHEMA}, size long"
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for name, data in zip(pdf["path"], pdf["content"], strict=True):
-            yield pd.DataFrame([(name, *c) for c in candidates(data)], columns=FIELDS)
+            found = pd.DataFrame([(name, *c, len(data)) for c in candidates(data)], columns=[*FIELDS, "size"])
+            if data and not len(found):
+                raise ValueError(f"{name} holds no record")
+            yield found
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -147,14 +158,18 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("offset", ignore_index=True)
-    return pdf[reachable(pdf["offset"].to_numpy(), pdf["successor"].to_numpy())]
+    met = pdf[reachable(pdf["offset"].to_numpy(), pdf["successor"].to_numpy())]
+    end, size = int(met["successor"].max()) if len(met) else 0, int(pdf["size"].iloc[0])
+    if end != size:
+        raise ValueError(f"the records of {pdf['file'].iloc[0]} end at byte {end} of {size}")
+    return met[FIELDS]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record that the chain from its file's start reaches."""
+    """A row for each record that the chain from its file's start reaches; an error if a chain doesn't end with its file."""
     small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    found = files.select("path", "content").mapInPandas(_candidates, SCHEMA)
+    found = files.select("path", "content").mapInPandas(_candidates, SIZED)
     return found.groupBy("file").applyInPandas(_chain, SCHEMA)
 
 

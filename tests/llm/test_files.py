@@ -101,6 +101,19 @@ def test_warc_shuffled_copies(spark, monkeypatch):
     assert {x.page_id: x.refers_to for x in warc.archive(spark, df).collect()} == {i: None if i > 5 else 6 + i % 3 for i in range(9)}
 
 
+def test_warc_long_urls(spark, tmp_path):
+    urls = {i: "http://x/" + ("a" * 100_000 if i in (3, 7) else str(i)) for i in range(12)}
+    df = spark.createDataFrame([(i, u, f"page {i} WARC/1.0\r\nWARC/1.0\r\n") for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    out = str(tmp_path / "files")
+    assert sorted(x.page_id for x in warc.archive(spark, df, path=out).collect()) == list(urls)
+    file = next((tmp_path / "files").glob("part-*"))
+    (tmp_path / "cut").mkdir()
+    for data in (file.read_bytes()[:-300], b"no record", b"x" + file.read_bytes()):
+        (tmp_path / "cut" / "part-0").write_bytes(data)
+        with pytest.raises(Exception, match="records of|no record"):
+            warc.read_warc(spark, str(tmp_path / "cut")).collect()
+
+
 def test_reachable():
     r = random.Random(2)
     for _ in range(200):
