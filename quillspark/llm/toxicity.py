@@ -1,6 +1,6 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models of single words, discounted as in Kneser-Ney; no word n-grams (see the README).
 
-A word's count in a class is the number of the class's documents that hold it (a continuation count: distinct contexts).
+A word's count in a class is the number of the class's documents that hold it.
 It is discounted, and what the discount leaves goes to the class's counts of word stems (the first STEM bytes), and
 from these, discounted again, to counts that both classes share, taken over all documents of the corpus, labelled or
 not. So a rare expression leans on its stem, and one that no labelled document has on counts that favour neither class.
