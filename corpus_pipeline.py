@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, table
+from quillspark.llm.common import Scratch, row_key, table
 from quillspark.llm.decontaminate import is_contaminated
 from quillspark.llm.mixing import expand, mix
 from quillspark.llm.ngram_join import Similarity, jaccard_components
@@ -32,16 +32,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, that of the smallest doc_id stays; of rows that repeat a document, one."""
+    """Of each group of linked documents, that of the smallest doc_id stays; of rows that repeat a document, one. Rows of one
+    doc_id with other texts are other documents."""
     scratch = Scratch(spark, "near")
+    columns, key = [f"`{c}`" for c in docs.columns], f"__key_{len(docs.columns)}"
     repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not repeated.isEmpty():
+    unique = repeated.isEmpty()
+    if unique:
+        docs = docs.withColumn(key, F.col("doc_id"))
+    else:
         once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         docs = scratch.stash(docs.join(repeated, "doc_id", "left_anti").unionByName(once), "once")
-    found = jaccard_components(spark, docs.select("doc_id", "text"), Similarity(75, 100, words=5))
-    gone = scratch.stash(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+        docs = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), row_key(F.col("doc_id"), F.col("text"))))
+    found = jaccard_components(spark, docs.select(F.col(key).alias("doc_id"), "text"), Similarity(75, 100, words=5))
+    linked = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key), "component_id").distinct()
+    if not unique:  # the smallest key isn't that of the smallest doc_id
+        linked = scratch.stash(linked, "linked")
+        members = linked.unionByName(linked.select(F.col("component_id").alias(key), "component_id").distinct())
+        members = members.join(docs.select(key, "doc_id"), key)
+        first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+        linked = members.join(first, "component_id").filter(F.col(key) != F.col(f"first.{key}"))
+    gone = scratch.stash(linked.select(key), "gone")
     few = gone.count() <= MAX_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

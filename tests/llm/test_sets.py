@@ -254,6 +254,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert full.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == full.agg(F.sum("n_tokens")).first()[0]
 
 
+def test_pipeline_repeated_ids(spark):
+    """Of two texts of one id, the one that links to a smaller id goes and the other stays."""
+    copy, own = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, own), (2, own), (5, own + " end"), (6, "x y z"), (None, copy)], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, copy), (2, own), (6, "x y z"), (None, copy)], key=repr)
+
+
 CONTRACT = {
     2: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], 3: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     4: ["doc_id", "start", "n_tokens", "ids_crc32"], 5: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
