@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_ALNUM_BYTES).split() if text else []
 
 
-def space_words(text: str | None) -> list[bytes]:
-    """The words of the white-space rule after lower-casing A-Z, in UTF-8."""
-    return text.encode().lower().split() if text else []
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -57,11 +53,30 @@ def space_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SPACE)), F.lit(0)).cast("long")
 
 
+#: Columns that name a row: its id and 128 bits of its id and text.
+ROW = ["__row_id", "__row_1", "__row_2"]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds ROW; df: doc_id, text. Rows equal in both have one key and count as one document."""
+    text = F.coalesce(F.col("text"), F.lit("\x00null"))
+    return df.withColumns({
+        ROW[0]: F.col("doc_id"), ROW[1]: F.xxhash64(F.lit("row"), "doc_id", text), ROW[2]: F.xxhash64(F.lit(17), text, "doc_id"),
+    })
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
-    """64-bit key of a row from its id and text: rows equal in both count as the same document."""
+    """64-bit number of a row from its id and text, where a number is needed."""
     return F.xxhash64(F.lit("row"), doc_id, F.coalesce(text, F.lit("\x00null")))
 
 
+def join_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Joins by ROW, null ids too; the right side's ROW goes."""
+    other = right.withColumnsRenamed({c: f"{c}_r" for c in ROW})
+    same = F.col(ROW[0]).eqNullSafe(F.col(f"{ROW[0]}_r")) & (F.col(ROW[1]) == F.col(f"{ROW[1]}_r")) & (F.col(ROW[2]) == F.col(f"{ROW[2]}_r"))
+    return left.join(other, same, how).drop(*[f"{c}_r" for c in ROW])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context: their workers needn't have it installed."""
     context = spark.sparkContext
@@ -75,10 +90,12 @@ def ship_package(spark: SparkSession) -> None:
         context._quill_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that long texts don't pile up in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most (or one row), so that long texts don't pile up in a Python worker.
+    Plans read this when they run, so it stays set in the session."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 @contextmanager
@@ -93,11 +110,14 @@ def batch_rows(spark: SparkSession, rows: int):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, as the cluster names it. Where it is unset, local mode takes a temporary
+    folder; on a cluster that would lose data, so it is an error."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_quill_root", None)
     if not root:
-        root = getattr(spark.sparkContext, "_quill_root", None) or "file://" + tempfile.mkdtemp(prefix="quill-")
-        spark.sparkContext._quill_root = root
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = context._quill_root = "file://" + tempfile.mkdtemp(prefix="quill-")
     return root.rstrip("/")
 
 
@@ -137,47 +157,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def with_default(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns: extra columns of the input can't clash with those an operator makes."""
-    return df.select(*names)
-
-
-# Hashes of all words of many texts at once: a polynomial over random byte values (fixed by a seed) modulo 2**64, taken
-# from prefix sums, then mixed.
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# Hashes of all words of many texts at once: a word's length and its blocks of 8 bytes go one by one through a mixer that
+# is a bijection, so words of 8 bytes or fewer and of one length never share a hash, and others do as random values
+# would: with a probability of 2**-64 a pair. Words beyond LONG bytes take a hash of xxhash's.
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG = 64
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least; kept for the next call."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.ones(size, np.uint64)
-            out[1:] = np.uint64(base)
-            _POWERS[i] = np.cumprod(out)
-    return _POWERS[0], _POWERS[1]
+def word_blocks(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place on, as numbers; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
 
 
-_BYTE_2 = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def blocks_at(blocks: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Blocks of which only the first `left` bytes count."""
+    return blocks[at] & _FIRST[np.minimum(left, 8)]
 
 
-def hash_words(data: bytes, gap: np.ndarray, twice: bool = False) -> tuple[np.ndarray, ...]:
-    """64-bit hash, first byte and end of each word of data (and a second hash); gap: which of the 256 bytes stand between
-    words."""
-    b = np.frombuffer(data, np.uint8)
-    inside = np.concatenate((np.zeros(1, np.int8), ~gap[b], np.zeros(1, np.int8))).view(np.int8)
+def word_bounds(data: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; gap: which of the 256 bytes stand between words."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~gap[np.frombuffer(data, np.uint8)]
     step = np.diff(inside)
-    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    power, inverse = _powers(len(b) + 1)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-    def hashed(table_: np.ndarray) -> np.ndarray:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table_[b] * power[: len(b)], dtype=np.uint64)))
-        return mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
 
-    return (hashed(_BYTE), start, stop, *([hashed(_BYTE_2)] if twice else []))
+def hash_words(data: bytes, gap: np.ndarray, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hash, first byte and end of each word of data (and a second hash)."""
+    start, stop = word_bounds(data, gap)
+    size, blocks = stop - start, word_blocks(data)
+    hashes = [mix64(size.astype(np.uint64) + np.uint64(s)) for s in _SEEDS[: 1 + twice]]
+    live = np.flatnonzero(size <= LONG)
+    at, left = start[live], size[live]
+    while len(live):
+        block = blocks_at(blocks, at, left)
+        for h in hashes:
+            h[live] = mix64(h[live] ^ block)
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        word = data[start[i] : stop[i]]
+        for h, s in zip(hashes, _SEEDS, strict=False):
+            h[i] = xxhash.xxh3_64_intdigest(word, s)
+    return (hashes[0], start, stop, *hashes[1:])
 
 
 GAP_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -207,6 +230,63 @@ def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def xxhash_longs(*columns: np.ndarray) -> np.ndarray:
+    """What F.xxhash64 gives for columns of longs."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = h + _P[4] + np.uint64(8)
+        h = h ^ (turn(c.view(np.uint64) * _P[1], 31) * _P[0])
+        h = turn(h, 27) * _P[0] + _P[3]
+        h = (h ^ (h >> np.uint64(33))) * _P[1]
+        h = (h ^ (h >> np.uint64(29))) * _P[2]
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+class Bloom:
+    """A filter over long hashes, of 16 bits a hash and 2**MOST at most (64 MB): beyond that it lets more pass, never less.
+    Spark's bitmap functions build it, so what comes to the driver is its bits alone."""
+
+    MOST, BUCKET = 29, 1 << 15
+
+    def __init__(self, hashes: DataFrame, n: int):
+        self.bits = min(self.MOST, max(16, (16 * n).bit_length()))
+        h = F.col(hashes.columns[0])
+        slots = F.array(*[F.shiftrightunsigned(F.shiftleft(h, k), 64 - self.bits) + 1 for k in (0, 32)])
+        rows = hashes.select(F.explode(slots).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
+        self.data = np.zeros(1 << (self.bits - 3), np.uint8)
+        for r in rows.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).toLocalIterator():
+            at = (r["bucket"] - 1) * (self.BUCKET >> 3)
+            self.data[at : at + (self.BUCKET >> 3)] = np.frombuffer(r["bits"], np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """False only for hashes that were not given."""
+        out = np.ones(len(hashes), bool)
+        for k in (0, 32):
+            slot = ((hashes.view(np.uint64) << np.uint64(k)) >> np.uint64(64 - self.bits)).astype(np.int64)
+            out &= (self.data[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def gathered(spark: SparkSession, df: DataFrame) -> tuple[np.ndarray, ...]:
+    """Columns (long or double) of a table known to be small, in the order of the first."""
+    names, kinds = df.columns, [np.int64 if k == "bigint" else np.float64 for _, k in df.dtypes]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({c: [pdf[c].to_numpy(k).tobytes()] for c, k in zip(names, kinds, strict=True)})
+
+    with batch_rows(spark, 100_000):
+        got = df.mapInPandas(packed, ", ".join(f"`{c}` binary" for c in names)).collect()
+    out = [np.frombuffer(b"".join(bytes(r[i]) for r in got), k) for i, k in enumerate(kinds)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
 # Tables of counts of fixed size, gathered over all tasks: each task sends its table in compressed chunks, and these are
 # added in two steps, so no task holds more than its chunks, however many tasks there were.
 CHUNK = 1 << 12

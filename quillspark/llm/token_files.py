@@ -11,13 +11,16 @@ Blocks go to files through Spark's own writer, so a lost task leaves no half fil
     doc_ids i64[documents], null flags u8[documents], id counts u32[documents], word offsets u32[segments], words u64[words]
 Shards ascend with doc_id, blocks in a shard too.
 
+Ids are the tokenizer's own. Pieces between white space are asked for one by one where its normalizer and pre-tokenizer
+allow it, and kept in a table of bounded size (WordEncoder); tests hold this against the library.
+
 A null text is empty: it has the end id alone. Null ids are kept by their flag; repeated ids are ordered by text. A long
 text makes a long block, never a split one. An empty table makes no blocks and no rows.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP_SPACE, Scratch, hash_words, slices, small_batches
+from .common import GAP_SPACE, LONG, Scratch, blocks_at, hash_words, slices, small_batches, word_blocks, word_bounds
 
-#: Runs of letters, single digits and runs of other signs, in lower-case ASCII.
-RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 MAGIC, TERMINATOR = b"QS8B", b"\n"
 HEAD = "<4sIIIQII"
 SEGMENT = 1024
+#: Text that a task encodes, on average.
+SHARD_BYTES = 16 << 20
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 
@@ -158,147 +161,191 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of words by two 64-bit hashes (128 bits together), in arrays: an open hash table that many words are looked up
-    in at once. Entry 0 is the end id."""
+    """Ids of words of LONG bytes at most, in arrays: an open hash table in which many words are looked up at once. A hash
+    only says where to look; words are compared byte by byte. Entry 0 is the end id. It is full when it holds `most` words,
+    or `room` ids or blocks of 8 bytes."""
 
-    def __init__(self, kind: np.dtype, end: bytes, bits: int):
-        self.kind, self.bits, self.most = kind, bits, (1 << bits) // 2
+    def __init__(self, kind: np.dtype, end: bytes, bits: int, room: int = 1 << 23):
+        self.kind, self.bits, self.most, self.room = kind, bits, (1 << bits) // 2, room
         self.slots = np.full(1 << bits, -1, np.int32)
-        self.h, self.g = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
-        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
-        self.flat, self.used, self.n = np.zeros(1 << 20, kind), 0, 0
-        self.add(np.array([1], np.uint64), np.array([1], np.uint64), [end])
+        self.arrays = {"h": np.zeros(1024, np.uint64), "length": np.zeros(1024, np.int64), "block": np.zeros(1024, np.int64), "begin": np.zeros(1024, np.int64), "size": np.zeros(1024, np.int64)}
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.blocks, self.held, self.n = np.zeros(1 << 16, np.uint64), 0, 0
+        self.append(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64), [end])
+
+    def full(self, words: int) -> bool:
+        return self.n + words > self.most or max(self.used, self.held) > self.room
+
+    @staticmethod
+    def _grown(a: np.ndarray, n: int) -> np.ndarray:
+        return a if len(a) >= n else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
 
-    def _walk(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entry of each word (-1: none), and the slot where the walk ended."""
+    def append(self, h: np.ndarray, length: np.ndarray, blocks: np.ndarray, ids: list[bytes]) -> None:
+        """Entries that no slot leads to yet; blocks: those of all the words, one word after the other."""
+        n, new = self.n, len(h)
+        size = np.array([len(i) for i in ids], np.int64) // self.kind.itemsize
+        count = -(-length // 8)
+        values = {"h": h, "length": length, "block": self.held + np.cumsum(count) - count, "begin": self.used + np.cumsum(size) - size, "size": size}
+        for name, v in values.items():
+            self.arrays[name] = self._grown(self.arrays[name], n + new)
+            self.arrays[name][n : n + new] = v
+        used, held = self.used + int(size.sum()), self.held + len(blocks)
+        self.flat, self.blocks = self._grown(self.flat, used), self._grown(self.blocks, held)
+        self.flat[self.used : used] = np.frombuffer(b"".join(ids), self.kind)
+        self.blocks[self.held : held] = blocks
+        self.used, self.held, self.n = used, held, n + new
+
+    def _same(self, entry: np.ndarray, h: np.ndarray, start: np.ndarray, length: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Which entries hold the words at these places of a text's blocks."""
+        own = self.arrays
+        same = (own["h"][entry] == h) & (own["length"][entry] == length)
+        live = np.flatnonzero(same & (length > 0))
+        at, left, mine = start[live], length[live], own["block"][entry[live]]
+        while len(live):
+            equal = self.blocks[mine] == blocks_at(blocks, at, left)
+            same[live[~equal]] = False
+            on = equal & (left > 8)
+            live, at, left, mine = live[on], at[on] + 8, left[on] - 8, mine[on] + 1
+        return same
+
+    def find(self, h: np.ndarray, start: np.ndarray, length: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Entry of each word; -1: none."""
         mask = (1 << self.bits) - 1
         slot = (h & np.uint64(mask)).astype(np.int64)
-        entry = self.slots[slot]
-        open_ = np.flatnonzero((entry >= 0) & ((self.h[entry] != h) | (self.g[entry] != g)))
+        entry = self.slots[slot].astype(np.int64)
+        open_ = np.flatnonzero(entry >= 0)
         while len(open_):
+            e = entry[open_]
+            open_ = open_[~self._same(e, h[open_], start[open_], length[open_], blocks)]
             slot[open_] = (slot[open_] + 1) & mask
-            e = entry[open_] = self.slots[slot[open_]]
-            open_ = open_[(e >= 0) & ((self.h[e] != h[open_]) | (self.g[e] != g[open_]))]
-        return entry, slot
-
-    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return self._walk(h, g)[0]
+            entry[open_] = self.slots[slot[open_]]
+            open_ = open_[entry[open_] >= 0]
+        return entry
 
-    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes]) -> None:
-        """New words, each once."""
-        n, new = self.n, len(h)
-        size = np.array([len(i) for i in ids], np.int64) // self.kind.itemsize
-        while self.used + size.sum() > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + size.sum()] = np.frombuffer(b"".join(ids), self.kind)
-        self.h[n : n + new], self.g[n : n + new], self.size[n : n + new] = h, g, size
-        self.begin[n : n + new] = self.used + np.cumsum(size) - size
-        self.used, self.n = self.used + int(size.sum()), n + new
-        left = np.arange(n, n + new)
-        while len(left):  # of words that meet in a slot, one gets it and the others walk on
-            slot = self._walk(self.h[left], self.g[left])[1]
-            self.slots[slot] = left
-            left = left[self.slots[slot] != left]
+    def place(self, first: int) -> None:
+        """Slots for the entries from the first one on, which are new words, each once."""
+        mask = (1 << self.bits) - 1
+        left = np.arange(first, self.n)
+        slot = (self.arrays["h"][left] & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of words that meet in a free slot, one gets it and the others walk on
+            on = self.slots[slot] != left
+            left, slot = left[on], (slot[on] + 1) & mask
+
+    def cut(self, n: int, used: int, held: int) -> None:
+        """Forgets entries that got no slot."""
+        self.n, self.used, self.held = n, used, held
 
     def ids(self, entries: np.ndarray) -> np.ndarray:
-        return self.flat[ranges(self.begin[entries], self.size[entries])]
+        return self.flat[ranges(self.arrays["begin"][entries], self.arrays["size"][entries])]
 
 
 class WordEncoder:
-    """Ids of texts by pieces between white space, remembered: the pre-tokenizer never joins over white space.
+    """Ids of texts by pieces between ASCII white space, remembered.
 
-    The table is emptied when it is full, so it is bounded.
+    A tokenizer may be asked piece by piece if its normalizer and its pre-tokenizer don't look over white space. That holds
+    for the steps named in LOCAL, which is checked; others get whole texts. Pieces are encoded by the tokenizer as they
+    are; only ASCII ones are lower-cased first if the normalizer does so, as their table is then smaller. Texts in which an
+    added token is written go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, end_id: int, bits: int = 22):
-        from tokenizers import pre_tokenizers
+    #: Steps of normalizers that act within a piece.
+    LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Replace"}
 
+    def __init__(self, path: str, end_id: int, bits: int = 22):
         self.model = _tokenizer(path)
-        size = self.model.get_vocab_size()
-        self.kind = np.dtype("<u2" if max(size, end_id + 1) <= 65536 else "<u4")
+        size = max(self.model.get_vocab_size(), end_id + 1)
+        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
         self.end, self.bits = np.array([end_id], self.kind).tobytes(), bits
         self.table = WordTable(self.kind, self.end, bits)
-        # Tokens that end a word, if the vocabulary marks them: several words can then be encoded as one text.
-        suffix = getattr(self.model.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(size, bool)
-        if suffix:
-            self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
-        # The same model for words of a-z, which its normalizer and byte mapping leave alone.
-        self.plain = type(self.model).from_str(self.model.to_str())
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-
-    def _each(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _letters(self, words: list[bytes], model) -> list[bytes]:
-        """Ids of words of letters alone, each one piece to the pre-tokenizer."""
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        made = json.loads(self.model.to_str())
+        steps = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+        normal, split = steps(made["normalizer"], "normalizers"), steps(made["pre_tokenizer"], "pretokenizers")
+        spaces = [n for n in normal if n["type"] == "Replace"]
+        cuts = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and self._drops_space()
+        self.by_piece = cuts and {n["type"] for n in normal} <= self.LOCAL and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in spaces)
+        self.lower = any(n["type"] == "Lowercase" for n in normal)
+        self.added = [t["content"].encode() for t in made["added_tokens"]]
+
+    def _drops_space(self) -> bool:
+        """Whether a piece of the pre-tokenizer ends at each ASCII white space."""
+        probe = [a + s + b for s in " \t\n\x0b\x0c\r" for a in ("a", "1", ".", "'", "é") for b in ("a", "1", ".", "'s", "é")]
+        return all([p for p, _ in self.model.pre_tokenizer.pre_tokenize_str(t)] == [p for x in t.split() for p, _ in self.model.pre_tokenizer.pre_tokenize_str(x)] for t in probe)
+
+    def _each(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for own, e in zip(groups, model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
-            if len(cut) == len(own):
-                raw, cut = ids.tobytes(), [0, *cut.tolist()]
-                out += [raw[x:y] for x, y in zip(cut, cut[1:])]
-            else:
-                out += self._each(own)
+        for i in range(0, len(texts), 2000):
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts[i : i + 2000]], add_special_tokens=False)]
         return out
 
-    def _learn(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces in lower case. Runs of letters, digits and runs of other signs are pieces of their own to the
-        pre-tokenizer, but for what an apostrophe begins."""
-        plain, letters, other, made = set(), set(), set(), {}
-        for p in pieces:
-            if p.isascii():
-                if p.isalpha():
-                    plain.add(p)
-                elif b"'" in p or b"<|" in p:
-                    other.add(p)
-                else:
-                    parts = made[p] = RUNS.findall(p)
-                    for x in parts:
-                        (plain if x.isalpha() else other).add(x)
-            elif p.decode().isalpha():
-                letters.add(p)
-            elif p[-1] in b".," and p[:-1].decode().isalpha():
-                made[p] = (p[:-1], p[-1:])
-                letters.add(p[:-1])
-                other.add(p[-1:])
-            else:
-                other.add(p)
-        known = {}
-        for words, encode in ((list(plain), lambda w: self._letters(w, self.plain)), (list(letters), lambda w: self._letters(w, self.model)), (list(other), self._each)):
-            known.update(zip(words, encode(words), strict=True))
-        return [b"".join([known[x] for x in made[p]]) if p in made else known[p] for p in pieces]
+    def _whole(self, text: bytes) -> bool:
+        return not self.by_piece or any(t in text for t in self.added)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (in UTF-8), each with the end id behind it, and the number of ids of each."""
-        # the vocabulary is lower case; a special token is special only as it is written
-        lower = lambda t: b" ".join([w if b"<|" in w else w.lower() for w in t.split()]) if b"<|" in t else t.lower()
-        raw = [lower(t) + b" " if t else b" " for t in texts]
-        begins = np.cumsum([0, *map(len, raw)])
-        data = b"".join(raw)
-        h, start, stop, g = hash_words(data, GAP_SPACE, twice=True)
-        entry = self.table.find(h, g)
+        raw = [t or b"" for t in texts]
+        whole = [i for i, t in enumerate(raw) if t and self._whole(t)]
+        if not whole:
+            return self._by_piece(raw)
+        parts = dict(zip(whole, self._each([raw[i] for i in whole]), strict=True))
+        ids, counts = self._by_piece([b"" if i in parts else t for i, t in enumerate(raw)])
+        cut = np.split(ids, np.cumsum(counts)[:-1])
+        cut = [np.frombuffer(parts[i] + self.end, self.kind) if i in parts else c for i, c in enumerate(cut)]
+        return np.concatenate(cut), np.array([len(c) for c in cut])
+
+    def _by_piece(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.cumsum([0, *(len(t) + 1 for t in raw)])
+        data = b" ".join([*raw, b""])
+        if self.lower:
+            data = self._lowered(data)
+        h, start, stop = hash_words(data, GAP_SPACE)
+        length, blocks, table = stop - start, word_blocks(data), self.table
+        entry = np.where(length <= LONG, table.find(h, start, length, blocks), -1)
         miss = np.flatnonzero(entry < 0)
+        if len(miss) and table.full(len(miss)):
+            table = self.table = WordTable(self.kind, self.end, max(self.bits, (4 * len(h)).bit_length()))
+            entry[:] = -1
+            miss = np.arange(len(h))
+        if len(miss):
+            numbers: dict[bytes, int] = {}
+            which = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(start[miss].tolist(), stop[miss].tolist(), strict=True)], np.int64)
+            first = miss[np.unique(which, return_index=True)[1]]
+            ids = self._each(list(numbers))
+            short, long = np.flatnonzero(length[first] <= LONG), np.flatnonzero(length[first] > LONG)
+            place, n = np.empty(len(first), np.int64), table.n
+            place[short], place[long] = n + np.arange(len(short)), n + len(short) + np.arange(len(long))
+            at, size = first[short], length[first[short]]
+            count = -(-size // 8)
+            offset = 8 * ranges(np.zeros(len(at), np.int64), count)
+            own = blocks_at(blocks, np.repeat(start[at], count) + offset, np.repeat(size, count) - offset)
+            table.append(h[at], size, own, [ids[i] for i in short.tolist()])
+            table.place(n)
+        mark = table.n, table.used, table.held
         if len(miss):
-            _, first = np.unique(h[miss], return_index=True)
-            if self.table.n + len(first) > self.table.most:
-                self.table = WordTable(self.kind, self.end, max(self.bits, (4 * len(h)).bit_length()))
-                miss = np.arange(len(h))
-                _, first = np.unique(h, return_index=True)
-            new = miss[first]
-            self.table.add(h[new], g[new], self._learn([data[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)]))
-            entry[miss] = self.table.find(h[miss], g[miss])
-            for i in miss[entry[miss] < 0].tolist():  # two words that share one of the two hashes
-                self.table.add(h[i : i + 1], g[i : i + 1], self._learn([data[start[i] : stop[i]]]))
-                entry[i] = self.table.n - 1
+            table.append(h[first[long]], np.zeros(len(long), np.int64), own[:0], [ids[i] for i in long.tolist()])
+            entry[miss] = place[which]
         after = np.searchsorted(start, begins[1:])  # each text's end comes before the first word of the next
         entry = np.insert(entry, after, 0)
-        sizes = self.table.size[entry]
-        upto = np.concatenate(([0], np.cumsum(sizes)))
+        upto = np.concatenate(([0], np.cumsum(table.arrays["size"][entry])))
         bounds = upto[after + np.arange(1, len(after) + 1)]
-        return self.table.ids(entry), np.diff(np.concatenate(([0], bounds)))
+        out = table.ids(entry)
+        table.cut(*mark)
+        return out, np.diff(np.concatenate(([0], bounds)))
+
+    @staticmethod
+    def _lowered(data: bytes) -> bytes:
+        """data with its ASCII words in lower case."""
+        b = np.frombuffer(data, np.uint8)
+        if data.isascii():
+            return data.lower()
+        start, stop = word_bounds(data, GAP_SPACE)
+        upto = np.concatenate(([0], np.cumsum(b >= 128)))
+        other = np.flatnonzero(upto[stop] > upto[start])
+        out = np.frombuffer(data.lower(), np.uint8).copy()
+        at = ranges(start[other], stop[other] - start[other])
+        out[at] = b[at]
+        return out.tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -344,8 +391,8 @@ def _encoded(path: str, end_id: int, block_ids: int):
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 500_000) -> None:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, read // (16 << 20)))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     keys = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     # the ids go to pandas as objects: a column with nulls would become floats
     blocks = keys.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_encoded(tokenizer, end_id, block_ids), "block binary")

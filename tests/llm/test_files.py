@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillspark.llm import gif, warc
+from quillspark.llm import gif, token_files, warc
+from quillspark.llm.common import GAP_SPACE, word_blocks, word_bounds
 from quillspark.llm.token_files import SEGMENT, WordEncoder, pack, read_token_files, token_index, unpack, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +53,41 @@ def test_word_encoder_is_exact():
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def same_ids(enc, model, texts):
+    ids, counts = enc.encode([None if t is None else t.encode() for t in texts])
+    want = [[*e.ids, 2] for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_word_encoder_of_all_scripts():
+    """Letters with marks, composed and not, of many scripts; words whose polynomial hashes agree; words beyond the table."""
+    model, r, enc = Tokenizer.from_file(PATH), random.Random(3), WordEncoder(PATH, 2, bits=10)
+    assert enc.by_piece
+    spans = ((32, 127), (0xA0, 0x530), (0x5D0, 0x6FF), (0x900, 0x97F), (0x1100, 0x1200), (0x1E00, 0x2070), (0x3040, 0x30FF), (0xAC00, 0xAC80), (0x1F600, 0x1F650), (0x1C, 0x21))
+    pool = [chr(c) for a, b in spans for c in range(a, b)] + ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "I\u0307\u0339", "'s", "'LL", " ", "\n", " \t", "<|endoftext|>", "<|", "the "] * 20
+    thue = ["".join("AB"[i.bit_count() % 2] for i in range(1024)), "".join("BA"[i.bit_count() % 2] for i in range(1024))]
+    for _ in range(400):
+        same_ids(enc, model, ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(50)])
+    same_ids(enc, model, [*thue, " ".join(thue), "x" * 70 + " " + "y" * 64 + " z" * 3, "\x00 \x00\x00 a\x00", "no" * 5000 + "日本語" * 2000, None, "", " "])
+    small = WordEncoder(PATH, 2, bits=10)
+    small.table.room = 500  # full by ids before it is full by words
+    for k in range(20):
+        same_ids(small, model, [" ".join(f"word{r.randrange(3000)}" for _ in range(80))] * 2)
+
+
+def test_word_table_compares_bytes():
+    """Words of one hash keep their own ids."""
+    table = token_files.WordTable(np.dtype("<u2"), b"\2\0", 6)
+    data = b"first second a-word-of-more-than-eight first- "
+    start, stop = word_bounds(data, GAP_SPACE)
+    blocks, length, h = word_blocks(data), stop - start, np.full(4, 7, np.uint64)
+    for k in range(3):
+        n = -(-length[k] // 8)
+        table.append(h[:1], length[k : k + 1], np.array([int.from_bytes(data[start[k] + 8 * i : min(stop[k], start[k] + 8 * i + 8)], "little") for i in range(n)], np.uint64), [bytes((k, 0))])
+        table.place(table.n - 1)
+    assert table.find(h, start, length, blocks).tolist() == [1, 2, 3, -1]
+
+
 def test_token_files(spark, tmp_path):
     pairs = [(i * 3 % 50, t) for i, t in enumerate(TEXTS * 4)] + [(None, "null id"), (None, None), (7, "the " * 30_000), (-5, "minus"), (10**15, "far")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in pairs], "doc_id long, text string, start int, shard int")
