@@ -1,26 +1,32 @@
-"""Toxicity by class-conditional models of single words, discounted as in Kneser-Ney; no word n-grams (see the README).
-
-A word's count in a class is the number of the class's documents that hold it.
-It is discounted, and what the discount leaves goes to the class's counts of word stems (the first STEM bytes), and
-from these, discounted again, to counts that both classes share, taken over all documents of the corpus, labelled or
-not. So a rare expression leans on its stem, and one that no labelled document has on counts that favour neither class.
-
-Counts are kept by 64-bit hash of the word (stems by their bytes) in a table that grows with the vocabulary; from it
-comes a table of log-likelihood ratios of the words and stems that labelled documents hold. Its most frequent entries, MAX_HOT
-words and stems each at most, are broadcast. What is beyond them is looked up by shuffle: documents send their words that
-are not broadcast, and get sums and largest ratios back by the hash of their text. The result is that of one table.
-
-A document's features are the log-likelihood ratio a word (length-normalised), the largest ratio, the sum of the three
-largest, the sum of large ratios, and the length. A logistic fit turns them into a score.
+"""Toxicity by class-conditional Kneser-Ney models: word pairs, backed off to words, backed off to shared counts.
+
+For each class c (toxic or not), over its labelled documents:
+    P_c(w | v) = (n_c(v w) - D + d_c(v) P_c(w)) / c_c(v)        n_c: documents that hold the pair; c_c: their sum over w
+    P_c(w) = (k_c(w) - D' + e_c P(w)) / K_c                     k_c: distinct words before w (continuation count), K_c: their sum
+    P(w) = (n(w) + 1/2) / (N + V / 2)                           n: documents of the whole corpus that hold w, labelled or not
+D and D' are the discounts below, by count, d_c(v) and e_c what they leave over: so each is a distribution. A rare
+expression leans on its words, and a rare word on counts that the classes share and that favour neither.
+A document's length-normalised log-likelihoods under both classes are compared at both orders: the difference a word. As a
+document is mostly ordinary prose around a few expressions, the largest difference of a place and the logarithm of the sum
+of differences beyond LARGE are compared too. A logistic fit over these six numbers and the logarithm of the length gives the score.
+
+Counting: a task counts words, contexts and pairs of its documents and sends merged rows; pairs are summed by a shuffle,
+which gives continuation counts and the pairs that go on. Places where the models can differ from their back-off need few
+entries: pairs of n_c of 3 or more and their contexts (smaller counts are discounted whole), their words and those with
+k_c of 2 or more. The
+tables grow with the corpus. Their most frequent entries, as many as MAX_HOT says, are broadcast; what is beyond them is
+looked up by shuffle: documents send the places where a filter says that other entries may be, and get sums and maxima back
+by the hash of their text. The result is that of one table.
 
 Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. All labelled rows of remainders 0 and 1 are counted;
-their ids are broadcast if they are MAX_LABELS at most, else joined by shuffle. The logistic function, of six parameters, is
-fitted on remainder 3, of each class on at most `max_rows` rows picked by a seeded hash; each row weighs as many as it was
-picked from, so the ratio of the classes is that of all labels.
+their ids are broadcast if they are MAX_LABELS at most, else joined by shuffle (ids that are no integers by 64-bit hash).
+The logistic function, of eight parameters, is fitted on remainder 3, of each class on at most `max_rows` rows picked by a
+seeded hash; each row weighs as many as it was picked from, so the ratio of the classes is that of all labels.
 
 A null or empty text has score 0. Rows with null doc_id are scored and counted but can't be labelled; several labels of
 a document count as toxic if one does; null labels are none. With no toxic or no other label to learn from, every score
-is 0. Equal texts get equal scores. Very long texts are counted whole. Extra columns stay as they are.
+is 0. Equal texts get equal scores. Very long texts are counted whole. Extra columns stay as they are; one that has the
+name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -33,257 +39,346 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import ALNUM_BYTES, GAP_32, Scratch, batch_rows, hash_words, joined, slices, small_batches
+from .common import ALNUM_BYTES, GAP_32, Bloom, Scratch, batch_rows, gathered, hash_words, joined, slices, small_batches, xxhash_longs
 
-STEM, DISCOUNT = 5, 0.75
-#: Words, and stems, whose ratios may be broadcast, of 16 bytes each.
-MAX_HOT = 2_000_000
+#: Discounts of counts of 1, 2, and 3 or more.
+WORD_DISCOUNTS, PAIR_DISCOUNTS = (1.0, 1.3, 1.5), (1.0, 2.0, 1.5)
+#: What is larger than this, as the logarithm of a ratio, counts as large.
+LARGE = 2.0
+#: Entries that may be broadcast: words of 24 bytes, contexts of 24, pairs of 16.
+MAX_HOT = {"word": 1_000_000, "context": 1_000_000, "pair": 2_000_000}
 #: Labelled ids of 9 bytes that may be broadcast.
 MAX_LABELS = 4_000_000
-#: Rows of 40 bytes that may be broadcast to join them.
-MAX_BROADCAST = 500_000
 #: Rows of counts that a task holds before it merges or sends them.
 MAX_HELD = 1_000_000
-WORD, STEMS = 0, 1
-COUNTS = "kind int, key long, stem long, n long, n0 long, n1 long"
-#: Sums of ratios of words looked up by shuffle are exact, so their order doesn't matter.
+WORD, PAIR, CONTINUED = 0, 1, 2
+COUNTS = "kind int, left long, word long, n long, n0 long, n1 long"
+#: The context of a text's first word.
+BEGIN = 0x5DEECE66D
+#: Sums of what is looked up by shuffle are exact, so their order doesn't matter.
 UNIT = float(1 << 32)
+FEATURES = 7
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, its stem as a number below 2**40, and the text that it stands in."""
+    """Hash of each word, of the one before it, and the text that it stands in."""
     data, begins = joined(texts, ALNUM_BYTES)
-    h, start, stop = hash_words(data, GAP_32)
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
-    stem = np.zeros(len(h), np.int64)
-    for k in range(STEM):
-        at = start + k
-        stem = stem << 8 | np.where(at < stop, raw[np.minimum(at, len(raw) - 1)] if len(raw) else 0, 0)
-    return h.view(np.int64), stem, np.searchsorted(begins, start, side="right") - 1
-
-
-def _tally(kind: int, key: np.ndarray, stem: np.ndarray, doc: np.ndarray, label: np.ndarray) -> pd.DataFrame:
-    """Documents that hold each key: all, ordinary and toxic ones."""
-    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-    pair = np.unique(doc * max(1, len(keys)) + at)
-    held, own = pair % max(1, len(keys)), label[pair // max(1, len(keys))]
-    n, n0, n1 = (np.bincount(held[mask], minlength=len(keys)) for mask in (slice(None), own == 0, own == 1))
-    return pd.DataFrame({"kind": kind, "key": keys, "stem": stem[first], "n": n, "n0": n0, "n1": n1})
-
-
-def _merge(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(parts).groupby(["kind", "key", "stem"], sort=False, as_index=False).sum()
+    h, start, _ = hash_words(data, GAP_32)
+    word, doc = h.view(np.int64), np.searchsorted(begins, start, side="right") - 1
+    left = np.roll(word, 1)
+    left[np.concatenate(([True], doc[1:] != doc[:-1]))[: len(doc)]] = BEGIN
+    return word, left, doc
+
+
+def _summed(kind: int, left: np.ndarray, word: np.ndarray, **counts: np.ndarray) -> pd.DataFrame:
+    """Rows of COUNTS, equal keys added up."""
+    order = np.lexsort((word, left))
+    left, word = left[order], word[order]
+    first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (word[1:] != word[:-1])))) if len(word) else np.empty(0, np.int64)
+    out = pd.DataFrame({"kind": np.full(len(first), kind, np.int32), "left": left[first], "word": word[first]})
+    for c in ("n", "n0", "n1"):
+        out[c] = np.add.reduceat(counts[c][order].astype(np.int64), first) if c in counts and len(first) else np.zeros(len(first), np.int64)
+    return out
+
+
+def _distinct(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The first place of each key in each document."""
+    order = np.lexsort((*keys, doc))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (doc, *keys):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    return order[new]
+
+
+def _tally(word: np.ndarray, left: np.ndarray, doc: np.ndarray, label: np.ndarray) -> list[pd.DataFrame]:
+    """Of some texts: documents by word; by context and class, how many pairs documents hold; documents by pair and class."""
+    one = _distinct(doc, word)
+    zero = np.zeros(len(one), np.int64)
+    mine = np.flatnonzero(label[doc] >= 0)
+    pair = mine[_distinct(doc[mine], left[mine], word[mine])]
+    own = label[doc[pair]]
+    n0, n1, none = (own == 0).astype(np.int64), (own == 1).astype(np.int64), np.zeros(len(pair), np.int64)
+    words = _summed(
+        WORD, np.zeros(len(one) + len(pair), np.int64), np.concatenate((word[one], left[pair])),
+        n=np.concatenate((zero + 1, none)), n0=np.concatenate((zero, n0)), n1=np.concatenate((zero, n1)))
+    return [words, _summed(PAIR, left[pair], word[pair], n0=n0, n1=n1)]
+
+
+def _merge(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+    """Frames of one kind each."""
+    out = []
+    for kind in {int(p["kind"].iloc[0]) for p in parts if len(p)}:
+        own = pd.concat([p for p in parts if len(p) and p["kind"].iloc[0] == kind])
+        out.append(_summed(kind, *(own[c].to_numpy() for c in ("left", "word")), **{c: own[c].to_numpy() for c in ("n", "n0", "n1")}))
+    return out
+
+
+class _Held:
+    """Rows of COUNTS held by a task: merged when there are MAX_HELD, sent if that doesn't halve them."""
+
+    def __init__(self):
+        self.parts: list[pd.DataFrame] = []
+        self.size = 0
+
+    def add(self, new: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        self.parts += new
+        self.size += sum(map(len, new))
+        if self.size > MAX_HELD:
+            self.parts = _merge(self.parts)
+            self.size = sum(map(len, self.parts))
+            if self.size > MAX_HELD // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        yield from _merge(self.parts)
+        self.parts, self.size = [], 0
 
 
 def _counter(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
-        parts: list[pd.DataFrame] = []
-        size = 0
+        held = _Held()
         for pdf in batches:
             texts = pdf["text"].tolist()
             label = pdf["label"].to_numpy(np.int64).copy()
             if len(ids):
-                own = pdf["doc_id"].to_numpy(np.int64)
+                own = pdf["id"].to_numpy(np.int64)
                 at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
                 found = (ids[at] == own) & pdf["known"].to_numpy(bool)
                 label[found] = toxic[at[found]]
             for part in slices(texts):
-                word, stem, doc = words_of(texts[part])
-                for new in (_tally(WORD, word, stem, doc, label[part]), _tally(STEMS, stem, stem, doc, label[part])):
-                    parts.append(new)
-                    size += len(new)
-                if size > MAX_HELD:
-                    parts = [_merge(parts)]
-                    size = len(parts[0])
-                    if size > MAX_HELD // 2:
-                        yield parts.pop()
-                        size = 0
-        if parts:
-            yield _merge(parts)
+                yield from held.add(_tally(*words_of(texts[part]), label[part]))
+        yield from held.rest()
 
     return run
 
 
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summed rows: words go on; of pairs, those counted 3 times or more in a class do, and all are counted for their word."""
+    held = _Held()
+    for pdf in batches:
+        pairs = pdf[pdf["kind"] == PAIR]
+        n0, n1 = pairs["n0"].to_numpy(), pairs["n1"].to_numpy()
+        yield pd.concat((pdf[pdf["kind"] == WORD], pairs[(n0 > 2) | (n1 > 2)]))
+        yield from held.add([_summed(CONTINUED, np.zeros(len(pairs), np.int64), pairs["word"].to_numpy(), n0=n0 > 0, n1=n1 > 0)])
+    yield from held.rest()
+
+
+def id_key(docs: DataFrame) -> Column:
+    """doc_id as a long: itself, or its hash if it is no integer."""
+    c = F.col("doc_id")
+    return c.cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+
+
 def corpus_counts(spark: SparkSession, docs: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """Counts (COUNTS) of words and stems over all documents; labelled: doc_id, toxic."""
-    own = F.col("doc_id").cast("long")  # without nulls, which pandas would turn to floats
-    known = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNotNull().alias("known"), "text")
+    """Rows of COUNTS as _reduced leaves them; labelled: id, toxic."""
+    own = id_key(docs)  # without nulls, which pandas would turn to floats
+    known = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("known"), "text")
     if labelled.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
-        pdf = _gathered(spark, labelled.select(F.col("doc_id").alias("key"), F.col("toxic").cast("double").alias("value")))
-        ids, known = (pdf[0], pdf[1].astype(np.int8)), known.withColumn("label", F.lit(-1))
+        ids = gathered(spark, labelled.select("id", F.col("toxic").cast("long")))
+        ids, known = (ids[0], ids[1].astype(np.int8)), known.withColumn("label", F.lit(-1))
     else:
-        toxic = labelled.select("doc_id", F.lit(True).alias("known"), F.col("toxic").alias("label"))
-        ids, known = (np.zeros(0, np.int64),) * 2, known.join(toxic, ["doc_id", "known"], "left").fillna(-1, ["label"])
+        toxic = labelled.select("id", F.lit(True).alias("known"), F.col("toxic").alias("label"))
+        ids, known = (np.zeros(0, np.int64),) * 2, known.join(toxic, ["id", "known"], "left").fillna(-1, ["label"])
     parts = known.mapInPandas(_counter(spark.sparkContext.broadcast(ids)), COUNTS)
-    sums = [F.sum(c).alias(c) for c in ("n", "n0", "n1")]
-    return scratch.stash(parts.groupBy("kind", "key").agg(F.min("stem").alias("stem"), *sums), "counts")
-
+    sums = parts.groupBy("kind", "left", "word").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
+    with batch_rows(spark, 50_000):
+        return scratch.stash(sums.mapInPandas(_reduced, COUNTS), "counts")
+
+
+def discounted(n: Column, discounts: tuple[float, float, float]) -> Column:
+    return F.when(n >= 3, n - discounts[2]).when(n == 2, n - discounts[1]).when(n == 1, n - discounts[0]).otherwise(0.0)
+
+
+def tables(counts: DataFrame, scratch: Scratch) -> tuple[dict[str, DataFrame], float] | None:
+    """By name: key, n (how frequent) and values of words (P_0, P_1), contexts (c_0, c_1 and the shares that the discounts
+    leave) and pairs (what the discounts leave of n_0, n_1); and e_1 / K_1 over e_0 / K_0, as a logarithm."""
+    only = lambda kind, c: F.when(F.col("kind") == kind, F.col(c)).otherwise(0)
+    words = scratch.stash(
+        counts.filter(F.col("kind") != PAIR).groupBy(F.col("word").alias("key")).agg(
+            F.sum("n").alias("n"), *[F.sum(only(WORD, f"n{c}")).alias(f"c{c}") for c in "01"], *[F.sum(only(CONTINUED, f"n{c}")).alias(f"k{c}") for c in "01"]),
+        "words")
+    kept = lambda c: discounted(F.col(f"k{c}"), WORD_DISCOUNTS)
+    of = words.agg(
+        F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v"), *[F.sum(f"k{c}").alias(f"k{c}") for c in "01"],
+        *[F.sum(F.col(f"k{c}") - kept(c)).alias(f"e{c}") for c in "01"]).first()
+    if not of["k0"] or not of["k1"]:
+        return None
+    shared = (F.col("n") + 0.5) / F.lit(of["n"] + 0.5 * of["v"])
+    p = [((kept(c) + F.lit(of[f"e{c}"]) * shared) / F.lit(float(of[f"k{c}"]))).alias(f"p{c}") for c in "01"]
+    pairs = counts.filter(F.col("kind") == PAIR)
+    top = [F.when(F.col(f"n{c}") >= 3, F.col(f"n{c}") - PAIR_DISCOUNTS[2]).otherwise(0.0).alias(f"t{c}") for c in "01"]
+    paired = pairs.select(F.col("word").alias("key"), F.lit(True).alias("paired")).distinct()
+    gone = pairs.select(F.col("left").alias("key"), *top).groupBy("key").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
+    share = [F.when(F.col(f"c{c}") > 0, 1 - F.col(f"t{c}") / F.col(f"c{c}")).otherwise(1.0).alias(f"d{c}") for c in "01"]
+    out = {
+        "word": words.join(paired, "key", "left").filter("k0 > 1 OR k1 > 1 OR paired").select("key", (F.col("k0") + F.col("k1")).alias("n"), *p),
+        "context": gone.join(words, "key").select("key", (F.col("c0") + F.col("c1")).alias("n"), F.col("c0").cast("double"), F.col("c1").cast("double"), *share),
+        "pair": pairs.select(F.xxhash64("left", "word").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *top),
+    }
+    return {k: scratch.stash(v, f"table-{k}") for k, v in out.items()}, math.log(of["e1"] / of["k1"]) - math.log(of["e0"] / of["k0"])
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"k": [pdf["key"].to_numpy(np.int64).tobytes()], "v": [pdf["value"].to_numpy(np.float64).tobytes()]})
 
+@dataclass
+class Table:
+    """Entries that are broadcast, a filter for the others, and these."""
 
-def _gathered(spark: SparkSession, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Columns key and value of a table known to be small, by key."""
-    with batch_rows(spark, 100_000):
-        got = df.select("key", "value").mapInPandas(_packed, "k binary, v binary").collect()
-    keys = np.frombuffer(b"".join(bytes(r["k"]) for r in got), np.int64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float64)[order]
+    keys: np.ndarray
+    values: np.ndarray
+    others: Bloom | None
+    cold: DataFrame | None = field(default=None, repr=False)
 
+    def __getstate__(self):
+        return self.__dict__ | {"cold": None}
 
-def ratios(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float] | None:
-    """kind, key, n, value: log-likelihood ratio of each word and stem that a labelled document holds; and that of others."""
-    c = [F.sum("n").alias("n"), F.count("*").alias("all")]
-    c += [f(x).alias(name) for x in ("n0", "n1") for f, name in ((F.sum, x), (lambda x: F.sum((F.col(x) > 0).cast("long")), f"kinds_{x}"))]
-    of = {r["kind"]: r for r in counts.groupBy("kind").agg(*c).collect()}
-    if WORD not in of or not of[WORD]["n0"] or not of[WORD]["n1"]:
-        return None
-    share = lambda kind: (F.col("n") + 0.5) / F.lit(of[kind]["n"] + 0.5 * of[kind]["all"])
-    left = {(k, x): DISCOUNT * of[k][f"kinds_{x}"] / of[k][x] for k in of for x in ("n0", "n1")}
-    kept = lambda kind, x: F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.lit(float(of[kind][x]))
-    seen = counts.filter("n0 + n1 > 0")
-    stems = seen.filter(F.col("kind") == STEMS).select(
-        F.col("key").alias("stem"), F.col("n").alias("s_n"), share(STEMS).alias("s_share"),
-        *[(kept(STEMS, x) + F.lit(left[STEMS, x]) * share(STEMS)).alias(f"s_{x}") for x in ("n0", "n1")],
-    )
-    words = seen.filter(F.col("kind") == WORD)
-    if of[STEMS]["all"] <= MAX_BROADCAST:
-        both = words.join(F.broadcast(stems), "stem")
-    else:  # stems of at least 1/65536 of the words, which are 65536 at most, are broadcast
-        hot = words.groupBy("stem").count().filter(F.col("count") * 65536 >= of[WORD]["all"]).select("stem")
-        both = words.join(F.broadcast(stems.join(F.broadcast(hot), "stem", "left_semi")), "stem")
-        both = both.unionByName(words.join(F.broadcast(hot), "stem", "left_anti").join(stems, "stem"))
-    within = share(WORD) / F.col("s_share")
-    p = [F.log(kept(WORD, x) + F.lit(left[WORD, x]) * F.col(f"s_{x}") * within) for x in ("n0", "n1")]
-    rest = math.log(left[WORD, "n1"]) - math.log(left[WORD, "n0"])
-    out = both.select("kind", "key", "n", (p[1] - p[0]).alias("value")).unionByName(
-        stems.select(F.lit(STEMS).alias("kind"), F.col("stem").alias("key"), F.col("s_n").alias("n"), (F.log("s_n1") - F.log("s_n0") + rest).alias("value"))
-    )
-    return scratch.stash(out, "ratios"), rest + math.log(left[STEMS, "n1"]) - math.log(left[STEMS, "n0"])
+    @classmethod
+    def of(cls, spark: SparkSession, table: DataFrame, most: int) -> Table:
+        """Entries whose counts have so many bits that they are `most` at most are hot."""
+        bits = F.length(F.bin("n"))
+        least, total = 64, 0
+        levels = sorted(((r["bits"], r["count"]) for r in table.groupBy(bits.alias("bits")).count().collect()), reverse=True)
+        for b, n in levels:
+            total += n
+            if total > most:
+                break
+            least = b
+        keys, *values = gathered(spark, table.filter(bits >= least).drop("n"))
+        cold = table.filter(bits < least).drop("n")
+        n = sum(n for b, n in levels if b < least)
+        values = np.column_stack(values).astype(np.float64 if len(values) == 2 and "p0" in table.columns else np.float32)
+        return cls(keys, values, Bloom(cold.select("key"), n) if n else None, cold if n else None)
+
+    def find(self, key: np.ndarray, default: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of each key, and whether a colder entry may have others."""
+        out = np.tile(np.array(default), (len(key), 1))
+        found = np.zeros(len(key), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            out[found] = self.values[at[found]]
+        return out, ~found & self.others.holds(key) if self.others else np.zeros(len(key), bool)
+
+
+#: Values of entries that no table has: a word's are in proportion to e_c / K_c and set by the model.
+NO_CONTEXT, NO_PAIR = (0.0, 0.0, 1.0, 1.0), (0.0, 0.0)
+
+
+def differences(p: np.ndarray, context: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of the toxic class less that of the other, of words alone and of words after their context."""
+    seen = np.maximum(context[:, :2], 1)
+    both = pair / seen + context[:, 2:] * p
+    return np.log(p[:, 1]) - np.log(p[:, 0]), np.log(both[:, 1]) - np.log(both[:, 0])
+
+
+ASKED = "text_key long, word long, left long, pair long, times long, ask_word boolean, ask_context boolean, ask_pair boolean, p0 double, p1 double, c0 double, c1 double, d0 double, d1 double, t0 double, t1 double"
+GOT = ["total_u", "large_u", "max_u", "total_b", "large_b", "max_b"]
+
+
+def _answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Differences of asked places."""
+    for pdf in batches:
+        values = [pdf[c].to_numpy(np.float64) for c in ("p0", "p1", "c0", "c1", "d0", "d1", "t0", "t1")]
+        u, b = differences(np.column_stack(values[:2]), np.column_stack(values[2:6]), np.column_stack(values[6:]))
+        yield pd.DataFrame({"text_key": pdf["text_key"], "word": pdf["word"], "left": pdf["left"], "times": pdf["times"], "u": u, "b": b})
 
 
 @dataclass
 class Model:
-    """Ratios that are broadcast, by kind; whether there are others; the logistic fit."""
-
-    hot: list[tuple[np.ndarray, np.ndarray]]
-    more: list[bool]
+    word: Table
+    context: Table
+    pair: Table
     rest: float
-    cold: list[DataFrame] = field(default_factory=list, repr=False)
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"cold": []}
+    @property
+    def complete(self) -> bool:
+        """Whether all entries are broadcast."""
+        return not (self.word.others or self.context.others or self.pair.others)
 
-    @classmethod
-    def of(cls, spark: SparkSession, table: DataFrame, rest: float) -> Model:
-        """Entries of each kind whose counts have so many bits that they are MAX_HOT at most are hot."""
-        bits = F.length(F.bin("n"))
-        levels = table.groupBy("kind", bits.alias("bits")).count().collect()
-        hot, more, cold = [], [], []
-        for kind in (WORD, STEMS):
-            least, total = 64, 0
-            own = sorted(((r["bits"], r["count"]) for r in levels if r["kind"] == kind), reverse=True)
-            for b, n in own:
-                total += n
-                if total > MAX_HOT:
-                    break
-                least = b
-            mine = table.filter(F.col("kind") == kind)
-            hot.append(_gathered(spark, mine.filter(bits >= least)))
-            more.append(total > MAX_HOT)
-            cold.append(mine.filter(bits < least).select("key", "value"))
-        return cls(hot, more, rest, cold)
-
-    def _find(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.hot[kind]
-        if not len(keys):
-            return np.zeros(len(key), bool), np.full(len(key), self.rest)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        found = keys[at] == key
-        return found, np.where(found, values[at], self.rest)
-
-    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Of each word: hash, stem, text, ratio as far as the hot entries tell, whether others must be asked, and for the stem."""
-        word, stem, doc = words_of(texts)
-        known, value = self._find(WORD, word)
-        has, stem_value = self._find(STEMS, stem)
-        ask_stem = ~known & ~has & self.more[STEMS]
-        return word, stem, doc, np.where(known, value, stem_value), ~known & self.more[WORD] | ask_stem, ask_stem
+    def look_up(self, texts: list[str | None]) -> tuple:
+        """Of each place: word, left, text; values as far as the broadcast entries tell; whether others must be asked."""
+        word, left, doc = words_of(texts)
+        pair = xxhash_longs(left, word)
+        found = [t.find(k, d) for t, k, d in ((self.word, word, (1.0, math.exp(self.rest))), (self.context, left, NO_CONTEXT), (self.pair, pair, NO_PAIR))]
+        return word, left, pair, doc, [v for v, _ in found], [a for _, a in found]
 
     def asked(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.drop_duplicates("text_key")
             texts, keys = pdf["text"].tolist(), pdf["text_key"].to_numpy(np.int64)
             for part in slices(texts):
-                word, stem, doc, value, ask, ask_stem = self.look_up(texts[part])
-                # A stem that is known already becomes a number that is no stem's and is spread over tasks.
-                stem = np.where(ask_stem, stem, -1 - (word & ((1 << 62) - 1)))
-                own = pd.DataFrame({"text_key": keys[part][doc], "word": word, "stem": stem, "value": value})[ask]
-                yield own.groupby(["text_key", "word", "stem", "value"], as_index=False, sort=False).size().rename(columns={"size": "times"})
-
-    def answers(self, docs: DataFrame) -> DataFrame:
-        """Of docs' text_key and text, by text_key: total, large and top of the words that hot entries don't tell."""
-        rows = docs.mapInPandas(self.asked, "text_key long, word long, stem long, value double, times long")
-        words, stems = (c.select(F.col("key").alias(n), F.col("value").alias(f"{n}_value")) for c, n in zip(self.cold, ("word", "stem"), strict=True))
-        for own, kind in ((words, WORD), (stems, STEMS)):
-            rows = rows.join(own, own.columns[0], "left") if self.more[kind] else rows.withColumn(own.columns[1], F.lit(None).cast("double"))
-        rows = rows.select("text_key", "word", "times", F.coalesce("word_value", "stem_value", "value").alias("value"))
-        rows = rows.repartition("text_key").groupBy("text_key", "word").agg(F.max("value").alias("value"), F.max("times").alias("times"))  # rows may share a text
+                word, left, pair, doc, values, ask = self.look_up(texts[part])
+                at = np.flatnonzero(ask[0] | ask[1] | ask[2])
+                first = at[_distinct(doc[at], left[at], word[at])]
+                order = np.lexsort((word[at], left[at], doc[at]))
+                new = np.isin(at[order], first)  # the places of a pair in a text stand together
+                times = np.diff(np.append(np.flatnonzero(new), len(at)))
+                own = at[order][new]
+                columns = dict(zip(("p0", "p1", "c0", "c1", "d0", "d1", "t0", "t1"), np.column_stack(values)[own].T, strict=True))
+                yield pd.DataFrame({
+                    "text_key": keys[part][doc[own]], "word": word[own], "left": left[own], "pair": pair[own], "times": times,
+                    "ask_word": ask[0][own], "ask_context": ask[1][own], "ask_pair": ask[2][own], **columns})
+
+    def answers(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """Of docs' text_key and text, by text_key: GOT of the places that are asked."""
+        rows = scratch.stash(docs.mapInPandas(self.asked, ASKED), "asked")
+        for table, by, ask in ((self.word, "word", "ask_word"), (self.context, "left", "ask_context"), (self.pair, "pair", "ask_pair")):
+            if table.cold is None:
+                continue
+            names = table.cold.columns[1:]
+            cold = table.cold.withColumnsRenamed({"key": "cold_key", **{c: f"cold_{c}" for c in names}})
+            got = rows.filter(ask).join(cold, F.col(by) == F.col("cold_key"), "left").drop("cold_key")
+            got = got.withColumns({c: F.coalesce(f"cold_{c}", c) for c in names}).drop(*[f"cold_{c}" for c in names])
+            rows = rows.filter(f"NOT {ask}").unionByName(got)  # rows that needn't ask don't meet in one task
+        rows = rows.mapInPandas(_answered, "text_key long, word long, left long, times long, u double, b double")
+        rows = rows.groupBy("text_key", "word", "left").agg(F.max("times").alias("times"), F.max("u").alias("u"), F.max("b").alias("b"))  # rows may share a text
         unit = lambda c: F.sum(F.round(c * F.lit(UNIT)).cast("long") * F.col("times"))
-        largest = F.flatten(F.collect_list(F.array_repeat(F.col("value"), F.least("times", F.lit(3)).cast("int"))))
-        return rows.groupBy("text_key").agg(
-            unit(F.col("value")).alias("total"), unit(F.greatest(F.col("value") - 2, F.lit(0.0))).alias("large"),
-            F.slice(F.sort_array(largest, asc=False), 1, 3).alias("top"),
-        )
+        return rows.groupBy("text_key").agg(*[
+            f.alias(f"{name}_{c}") for c in "ub" for name, f in (
+                ("total", unit(F.col(c))), ("large", unit(F.greatest(F.col(c) - LARGE, F.lit(0.0)))), ("max", F.max(c)))])
 
-    def completed(self, docs: DataFrame, name: str) -> DataFrame:
+    def completed(self, docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
         """Adds a column: struct of the text and what the shuffle answers for it."""
+        if self.complete:
+            return docs.withColumn(name, F.struct("text", *[F.lit(None).cast("double" if c.startswith("max") else "long").alias(c) for c in GOT]))
         key = F.xxhash64("text")
-        if not any(self.more):
-            none = F.lit(None)
-            return docs.withColumn(name, F.struct("text", none.cast("long").alias("total"), none.cast("long").alias("large"), none.cast("array<double>").alias("top")))
-        found = self.answers(docs.select(key.alias("text_key"), "text"))
-        found = found.select(F.col("text_key").alias(f"{name}_key"), F.struct("total", "large", "top").alias(f"{name}_found"))
+        found = self.answers(docs.select(key.alias("text_key"), "text"), scratch)
+        found = found.select(F.col("text_key").alias(f"{name}_key"), F.struct(*GOT).alias(f"{name}_found"))
         both = docs.withColumn(name, key).join(found, F.col(name) == F.col(f"{name}_key"), "left")
-        parts = [F.col(f"{name}_found.{c}").alias(c) for c in ("total", "large", "top")]
-        return both.withColumn(name, F.struct("text", *parts)).drop(f"{name}_key", f"{name}_found")
+        return both.withColumn(name, F.struct("text", *[F.col(f"{name}_found.{c}").alias(c) for c in GOT])).drop(f"{name}_key", f"{name}_found")
 
     def features(self, pdf: pd.DataFrame) -> np.ndarray:
-        """pdf: text, total, large, top."""
+        """pdf: text and GOT. At both orders: difference a word, the largest, the logarithm of the sum of large ones; length."""
         texts = pdf["text"].tolist()
-        out = np.zeros((len(texts), 5))
+        out = np.zeros((len(texts), FEATURES))
         for part in slices(texts):
-            _, _, doc, ratio, ask, _ = self.look_up(texts[part])
-            if not len(doc):
-                continue
+            _, _, _, doc, values, ask = self.look_up(texts[part])
             rows = len(texts[part])
             n = np.bincount(doc, minlength=rows)
-            total, large = (np.nan_to_num(pdf[c].iloc[part].to_numpy(float)) / UNIT for c in ("total", "large"))
-            top = [t if isinstance(t, (list, np.ndarray)) else () for t in pdf["top"].iloc[part]]
-            extra = np.repeat(np.arange(rows), [len(t) for t in top])
-            doc, ratio = doc[~ask], ratio[~ask]
-            total += np.bincount(doc, weights=ratio, minlength=rows)
-            large += np.bincount(doc, weights=np.maximum(ratio - 2, 0), minlength=rows)
-            doc = np.concatenate((doc, extra))
-            ratio = np.concatenate((ratio, *map(np.asarray, top))) if len(extra) else ratio
-            order = np.lexsort((-ratio, doc))
-            ratio, m = ratio[order], np.bincount(doc, minlength=rows)
-            first, has = np.cumsum(m) - m, np.flatnonzero(m)
             own = out[part]
-            own[:, 0] = total / np.maximum(n, 1)
-            own[has, 1] = ratio[first[has]]
-            for k in range(3):
-                deep = has[m[has] > k]
-                own[deep, 2] += ratio[first[deep] + k]
-            own[:, 3] = np.log1p(large)
-            own[:, 4] = np.log1p(n)
+            told = ~(ask[0] | ask[1] | ask[2])
+            both = differences(*(v[told] for v in values))
+            at = doc[told]
+            has = np.flatnonzero(np.bincount(at, minlength=rows))
+            first = np.searchsorted(at, has)
+            for k, (c, diff) in enumerate(zip("ub", both, strict=True)):
+                total, large, top = (pdf[f"{x}_{c}"].iloc[part].to_numpy(float) for x in ("total", "large", "max"))
+                total, large = np.nan_to_num(total) / UNIT, np.nan_to_num(large) / UNIT
+                largest = np.full(rows, -np.inf)
+                if len(has):
+                    largest[has] = np.maximum.reduceat(diff, first)
+                largest = np.fmax(largest, top)
+                total = total + np.bincount(at, weights=diff, minlength=rows)
+                large = large + np.bincount(at, weights=np.maximum(diff - LARGE, 0), minlength=rows)
+                own[:, 3 * k] = total / np.maximum(n, 1)
+                own[:, 3 * k + 1] = np.where(n > 0, largest, 0.0)
+                own[:, 3 * k + 2] = np.log1p(large)
+            own[:, 6] = np.log1p(n)
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -301,46 +396,46 @@ class Model:
     def score(self, pdf: pd.DataFrame) -> np.ndarray:
         x = self.features(pdf)
         z = self.weights[0] + ((x - self.center) / self.scale) @ self.weights[1:]
-        return np.where(x[:, 4] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+        return np.where(x[:, 6] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 60_000, seed: int = 5) -> Model | None:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = 60_000, seed: int = 5) -> Model | None:
     """The fitted model, or None if there is nothing to learn from."""
     small_batches(spark)
-    scratch = Scratch(spark, "toxicity")
     rows = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+        labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .filter(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
-    rows = scratch.stash(rows, "labels")
-    counts = corpus_counts(spark, docs, rows.filter(fold(F.col("doc_id")) < 2), scratch)
-    found = ratios(spark, counts, scratch)
+    rows = scratch.stash(rows.select(id_key(rows).alias("id"), "toxic", fold(F.col("doc_id")).alias("fold")), "labels")
+    counts = corpus_counts(spark, docs, rows.filter("fold < 2"), scratch)
+    found = tables(counts, scratch)
     if found is None:
         return None
-    model = Model.of(spark, *found)
-    rows = rows.filter(fold(F.col("doc_id")) == 3)
+    model = Model(*[Table.of(spark, found[0][k], MAX_HOT[k]) for k in ("word", "context", "pair")], found[1])
+    rows = rows.filter("fold = 3")
     # Of a class beyond the bound, the rows whose hash is below the share that the bound is of it: no sort, and within one
     # in 50 of the bound (the chance to exceed it is below 1e-6 from 60,000 on).
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32))
+    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 32))
     shares = {r["toxic"]: 1.0 if r["count"] <= max_rows else 0.98 * max_rows / r["count"] for r in rows.groupBy("toxic").count().collect()}
     below = F.lit(False)
     for toxic, share in shares.items():
         below = below | ((F.col("toxic") == toxic) & (part < F.lit(int(share * (1 << 32)))))
-    rest = rows.filter(below).select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
+    rest = rows.filter(below).select(F.col("id").alias("l_id"), F.col("toxic").alias("l_toxic"))
     shared = spark.sparkContext.broadcast(model)
+    names = [f"x{i}" for i in range(FEATURES)] + ["y"]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(np.column_stack((shared.value.features(pdf), pdf["l_toxic"])), columns=[*"abcdey"])
+            yield pd.DataFrame(np.column_stack((shared.value.features(pdf), pdf["l_toxic"])), columns=names)
 
     # 2 * max_rows rows at most on either side of this join's broadcast and in the result.
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rest), F.col("doc_id") == F.col("l_id"))
-    seen = model.completed(seen.select("text", "l_toxic"), "x").select("x.*", "l_toxic")
-    xy = seen.mapInPandas(run, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
+    seen = docs.select(id_key(docs).alias("id"), "text").join(F.broadcast(rest), F.col("id") == F.col("l_id"))
+    seen = model.completed(seen.select("text", "l_toxic"), "x", scratch).select("x.*", "l_toxic")
+    xy = seen.mapInPandas(run, ", ".join(f"{c} double" for c in names)).toPandas().to_numpy()
     if not len(xy):
         return None
     xy = xy[np.lexsort(xy.T)]  # the same order, and so the same sums, in every run
@@ -353,10 +448,10 @@ def with_toxicity(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 60_000,
     score_column: str = "toxic_score", predicted_column: str = "toxic_predicted",
 ) -> DataFrame:
-    """Adds a score and a prediction to the columns of docs, whose names must be others."""
-    if {score_column, predicted_column} & set(docs.columns):
-        raise ValueError(f"docs has a column {score_column} or {predicted_column}; name others")
-    model = train(spark, docs, labels, max_rows)
+    """The columns of docs, with a score and a prediction."""
+    scratch = Scratch(spark, "toxicity")
+    model = train(spark, docs, labels, scratch, max_rows)
+    docs = docs.drop(score_column, predicted_column)
     if model is None:
         scored = docs.withColumn(score_column, F.lit(0.0))
     else:
@@ -368,5 +463,5 @@ def with_toxicity(
 
         score.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
         # The struct takes the score column's name until the score does.
-        scored = model.completed(docs, score_column).withColumn(score_column, F.pandas_udf(score, "double")(score_column))
+        scored = model.completed(docs, score_column, scratch).withColumn(score_column, F.pandas_udf(score, "double")(score_column))
     return scored.withColumn(predicted_column, (F.col(score_column) >= threshold).cast("int"))
