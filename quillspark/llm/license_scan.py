@@ -6,8 +6,9 @@ template position). Votes are summed for each diagonal, diagonals at most `slack
 less moves the rest of a copy to the next diagonal), and merged spans are verified: the share of the template's
 k-grams that matched must reach `min_cover`. A phrase is a template that must match whole, on one diagonal.
 
-The template table is a constant of this module, so its broadcast has a fixed size. Null or empty texts have no words
-and no labels. Rows equal in doc_id and text are one document and get the same result each; null ids are kept. The
+The template table is a constant of this module, so its broadcast has a fixed size, and so has the set of its hashes:
+k-grams whose hash it lacks go before any row is made of them. Null or empty texts have no words and no labels. Rows equal
+in doc_id and text are one document (told by the id and 128 bits) and get the same result each; null ids are kept. The
 words of a document never leave it, whatever its length; only matches are shuffled. An empty table gives none.
 """
 
@@ -15,10 +16,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_array, row_key
+from .common import ROW, Scratch, alnum_array, join_rows, with_row_key
 
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = [
@@ -41,6 +42,10 @@ TEMPLATES = [
 K = 3
 
 
+def _hash(words: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(K)])
+
+
 def _grams(spark: SparkSession) -> DataFrame:
     rows = []
     for kind, group in ((1, PHRASES), (0, TEMPLATES)):
@@ -55,28 +60,27 @@ def _grams(spark: SparkSession) -> DataFrame:
 def scan_licenses(spark: SparkSession, docs: DataFrame, slack: int = 3, min_cover: float = 0.6) -> DataFrame:
     """doc_id, text in; a row for each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score
     (the best cover of a template, 1 for a whole phrase) and spans (label, first and last word of each verified span)."""
-    docs = docs.select("doc_id", "text").withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
-    words = docs.select("_row", alnum_array(F.col("text")).alias("w")).filter(F.size("w") >= K)
-    shifted = F.arrays_zip(
-        F.col("w").alias("w0"), F.expr("slice(w, 2, size(w))").alias("w1"), F.expr("slice(w, 3, size(w))").alias("w2")
-    )
-    grams = words.select("_row", F.posexplode(shifted).alias("pos", "g")).select(
-        "_row", "pos", "g.w0", "g.w1", "g.w2", F.xxhash64("g.w0", "g.w1", "g.w2").alias("h")
-    )
-    t = F.broadcast(_grams(spark))
+    templates = _grams(spark)
+    known = [r["th"] for r in templates.select("th").distinct().collect()]
+    words = with_row_key(docs.select("doc_id", "text")).select(*ROW, alnum_array(F.col("text")).alias("w"))
+    places = F.filter(F.when(F.size("w") >= K, F.sequence(F.lit(0), F.size("w") - K)), lambda i: _hash(F.col("w"), i).isin(known))
+    found = F.transform(places, lambda i: F.struct(i.alias("pos"), *[F.get("w", i + k).alias(f"w{k}") for k in range(K)], _hash(F.col("w"), i).alias("h")))
+    rows = Scratch(spark, "licenses").stash(words.select(*ROW, F.size("w").cast("long").alias("n_words"), found.alias("found")), "rows")
+    grams = rows.select(*ROW, F.explode("found").alias("g")).select(*ROW, "g.*")
+    t = F.broadcast(templates)
     same = (F.col("h") == F.col("th")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))
     votes = (
         grams.join(t, same)
-        .select("_row", "tpl", "label", "phrase", "n_grams", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"))
-        .groupBy("_row", "tpl", "label", "phrase", "n_grams", "diag")
+        .select(*ROW, "tpl", "label", "phrase", "n_grams", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"))
+        .groupBy(*ROW, "tpl", "label", "phrase", "n_grams", "diag")
         .agg(F.collect_set("tpos").alias("hits"))
     )
     # Diagonals of a document and template lie side by side; a gap of more than `slack` begins another span.
-    by = Window.partitionBy("_row", "tpl").orderBy("diag")
+    by = Window.partitionBy(*ROW, "tpl").orderBy("diag")
     merged = (
         votes.withColumn("new", F.when((F.col("phrase") == 1) | (F.col("diag") - F.lag("diag").over(by) > slack), 1).otherwise(0))
         .withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_row", "tpl", "label", "phrase", "n_grams", "span")
+        .groupBy(*ROW, "tpl", "label", "phrase", "n_grams", "span")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("votes"),
             F.min(F.col("diag") + F.array_min("hits")).alias("first"),
@@ -89,7 +93,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, slack: int = 3, min_cove
     )
     base = F.col("phrase") == 1
     join_sorted = lambda c: F.array_join(F.array_sort(c), ",")
-    found = merged.groupBy("_row").agg(
+    found = merged.groupBy(*ROW).agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
@@ -98,10 +102,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, slack: int = 3, min_cove
         F.max("cover").alias("score"),
         F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("spans"),
     )
-    return docs.select("_row", "doc_id", F.size(alnum_array(F.col("text"))).cast("long").alias("n_words")).join(
-        found, "_row", "left"
-    ).select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+    return join_rows(rows.select(*ROW, "n_words"), found, "left").select(
+        F.col(ROW[0]).alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
     )
