@@ -10,7 +10,7 @@ lower-cased; keys of `min_chars` code points or more found in `min_docs` documen
 everywhere. Rows that are equal in doc_id and text count as one document and each get the same result; a null doc_id
 is a document of its own per text. Very long texts are one row each: no line leaves its document in the last join.
 Extra columns stay outside. An empty table gives an empty result. Two different keys are taken for one only if two
-64-bit hashes of different seeds agree (2**-128 a pair).
+64-bit hashes of different seeds agree (2**-128 a pair). Documents are told by their id and 128 bits of it and the text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STRIP, Scratch, lower_ascii, row_key
+from .common import ROW, STRIP, Scratch, join_rows, lower_ascii, with_row_key
 
 KEY = ["h1", "h2"]
 
@@ -89,21 +89,23 @@ def dedup_lines(
     """doc_id, text in; doc_id, n_lines, n_dropped, kept (the text that stays) out, a row for each row."""
     scratch = Scratch(spark, "lines")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text").withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    docs = with_row_key(docs.select("doc_id", "text"))
     key = line_key(F.col("line"))
     lines = (
-        docs.select("_row", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        docs.select(*ROW, F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .withColumn("key", key).filter(F.length("key") >= min_chars)
-        .select("_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+        .select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
     lines = scratch.stash(lines, "lines")
     runs = LineRuns(spark, scratch, min_docs, buckets, fanout)
-    for b in range(batches):
-        own = lines.filter(F.pmod("_row", F.lit(batches)) == b)
-        runs.add(own.select("_row", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs")))
-    common = scratch.stash(runs.counts().filter(F.col("n_docs") >= min_docs), "common")
-    for name in list(runs.tables):
-        runs._drop(name)
+    try:
+        for b in range(batches):
+            own = lines.filter(F.pmod(ROW[1], F.lit(batches)) == b)
+            runs.add(own.select(*ROW, *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs")))
+        common = scratch.stash(runs.counts().filter(F.col("n_docs") >= min_docs), "common")
+    finally:
+        for name in list(runs.tables):
+            runs._drop(name)
 
     # A key with a great share of all lines would go to one task of a join. Keys with at least 1/65536 of all
     # (document, key) pairs are 65536 at most, by counting: these are broadcast, the others joined by shuffle.
@@ -116,7 +118,7 @@ def dedup_lines(
         ),
     ]
     drops = (
-        parts[0].unionByName(parts[1]).select("_row", "pos").groupBy("_row")
+        parts[0].unionByName(parts[1]).select(*ROW, "pos").groupBy(*ROW)
         .agg(F.sort_array(F.collect_set("pos")).alias("drops"))
     )
     n, d = F.size(lines_of(F.col("text"))), F.coalesce(F.col("drops"), F.array().cast("array<int>"))
@@ -127,7 +129,7 @@ def dedup_lines(
         F.transform("bounds", lambda x: F.slice(F.col("lines"), x["a"] + 2, x["b"] - x["a"] - 1))
     )
     return (
-        docs.join(drops, "_row", "left")
+        join_rows(docs, drops, "left")
         .select("doc_id", lines_of(F.col("text")).alias("lines"), d.alias("drops"), bounds.alias("bounds"))
         .select(
             "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"),
