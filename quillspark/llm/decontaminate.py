@@ -8,8 +8,8 @@ are found by walking to sampled suffix positions (every `SAMPLE`-th place and th
 occurrences are merged for each document.
 
 The phrases (windows of `window` consecutive words of an item, or the whole of a shorter item) are read from the
-benchmark in blocks of at most `block_words` words, which bounds what is broadcast; with more than one block each goes
-over all documents, and spans are merged by document afterwards.
+benchmark in blocks of about `block_words` words, which bounds what the driver holds and what is broadcast: two blocks at a
+time. With more than one block each goes over all documents, and spans are merged by document afterwards.
 
 Null or empty texts have no words, null or empty items no windows. A null item_id reads "null". Items that repeat, or
 share windows, each count. Rows of documents are handled alone: repeated rows and null ids stay as they are. A text
@@ -19,14 +19,14 @@ longer than a shard is a shard. Extra columns stay outside. An empty benchmark o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, alnum_words, row_key, small_batches
+from .common import ALNUM_BYTES, ROW, Scratch, alnum_array, alnum_words, join_rows, small_batches, with_row_key
 
 SAMPLE = 8
 SCHEMA = "doc_id string, text string, n_words long, spans array<array<long>>, items array<string>"
@@ -255,7 +255,7 @@ def _merge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = merged(*np.array([list(s) for s in spans], np.int64).T)
         spans = np.stack((a, b), 1).tolist()
     items = sorted({x for row in pdf["items"] for x in row})
-    return pd.DataFrame({"_row": pdf["_row"].iloc[:1], "spans": [spans], "items": [items]})
+    return pd.concat((pdf[ROW].iloc[:1].reset_index(drop=True), pd.DataFrame({"spans": [spans], "items": [items]})), axis=1)
 
 
 def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
@@ -270,6 +270,15 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phra
         yield Phrases(rows, window)
 
 
+def two_at_most(made: Iterator[Phrases]) -> tuple[Phrases, Iterator[Phrases]]:
+    """The first block, and the first again with the others if there are any."""
+    first = next(made, None)
+    if first is None:
+        return Phrases([], 1), iter(())
+    second = next(made, None)
+    return first, iter(()) if second is None else chain([first, second], made)
+
+
 def find_leaks(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 600_000, block_words: int = 1_000_000,
 ) -> DataFrame:
@@ -278,21 +287,23 @@ def find_leaks(
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
-    parts = list(blocks(benchmark, window, block_words)) or [Phrases([], window)]
-    found = [docs.mapInPandas(_searcher(spark.sparkContext.broadcast(p), shard_words, len(parts) > 1), SCHEMA) for p in parts]
-    if len(found) == 1:
-        out = found[0]
+    first, others = two_at_most(blocks(benchmark, window, block_words))
+    search = lambda p, keep: docs.mapInPandas(_searcher(spark.sparkContext.broadcast(p), shard_words, keep), SCHEMA)
+    out, scratch, hits = None, Scratch(spark, "leaks"), None
+    for i, phrases in enumerate(others):
+        # One block after the other: only rows with hits are written, a few spans and items each.
+        shared = spark.sparkContext.broadcast(phrases)
+        found = with_row_key(docs.mapInPandas(_searcher(shared, shard_words, True), SCHEMA))
+        own = scratch.stash(found.filter(F.size("spans") > 0).select(*ROW, "spans", "items"), f"block-{i}")
+        hits = own if hits is None else hits.unionByName(own)
+        shared.destroy()
+    if hits is None:
+        out = search(first, False)
     else:
-        # Only rows with hits are grouped, a few spans and items each; every row is then given its own again.
-        key = row_key(F.col("doc_id"), F.col("text"))
-        hits = found[0].withColumn("_row", key).filter(F.size("spans") > 0)
-        for f in found[1:]:
-            hits = hits.unionByName(f.withColumn("_row", key).filter(F.size("spans") > 0))
-        hits = hits.select("_row", "spans", "items").groupBy("_row").applyInPandas(_merge_blocks, "_row long, spans array<array<long>>, items array<string>")
-        words = found[0].select("doc_id", "n_words", key.alias("_row"))
-        none = F.array().cast("array<array<long>>")
-        out = words.join(hits, "_row", "left").withColumn("spans", F.coalesce("spans", none)).withColumn(
-            "items", F.coalesce("items", F.array().cast("array<string>")))
+        hits = hits.groupBy(*ROW).applyInPandas(_merge_blocks, f"{ROW[0]} string, {ROW[1]} long, {ROW[2]} long, spans array<array<long>>, items array<string>")
+        words = with_row_key(docs).select("doc_id", *ROW, F.size(alnum_array(F.col("text"))).cast("long").alias("n_words"))
+        out = join_rows(words, hits, "left").withColumns({
+            "spans": F.coalesce("spans", F.array().cast("array<array<long>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "spans", "items")
 
 
@@ -305,14 +316,18 @@ def leak_report(found: DataFrame) -> DataFrame:
     )
 
 
-def is_contaminated(spark: SparkSession, benchmark: DataFrame, text: Column, window: int = 10, block_words: int = 1_000_000) -> Column:
-    """Whether a text holds a window, with an index for each Arrow batch: rows stay where they are, whatever columns they
-    have."""
+def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window; an index for each Arrow batch."""
     small_batches(spark)
-    out = F.lit(False)
-    for phrases in blocks(benchmark, window, block_words):
-        out = out | _holds(spark.sparkContext.broadcast(phrases))(text)
-    return out
+    first, others = two_at_most(blocks(benchmark, window, block_words))
+    scratch, i = Scratch(spark, "clean"), -1
+    for i, phrases in enumerate(others):  # what a block leaves is written before the next one
+        shared = spark.sparkContext.broadcast(phrases)
+        docs = scratch.stash(docs.filter(~_holds(shared)("text")), f"block-{i}")
+        shared.destroy()
+        if i:
+            scratch.drop(f"block-{i - 1}")
+    return docs if i >= 0 else docs.filter(~_holds(spark.sparkContext.broadcast(first))("text"))
 
 
 def _holds(shared):

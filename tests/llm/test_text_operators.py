@@ -1,8 +1,11 @@
 """Chat formatting, line dedup, license scan, decontamination, toxicity: against brute force, with hard inputs."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity
 from quillspark.llm.chat import format_preferences
-from quillspark.llm.decontaminate import Phrases, cut_spans, find_leaks, is_contaminated, leak_report, search_shard, sorted_suffixes
+from quillspark.llm.decontaminate import Phrases, clean_documents, cut_spans, find_leaks, leak_report, search_shard, sorted_suffixes
 from quillspark.llm.license_scan import scan_licenses
 from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.toxicity import fold, train, with_toxicity
@@ -167,7 +170,8 @@ def test_leaks_spark(spark):
     docs = docs_of(spark, pairs)
     assert rows(leak_report(find_leaks(spark, docs, bench, window=4, shard_words=500))) == want
     assert rows(leak_report(find_leaks(spark, docs, bench, window=4, block_words=6))) == want  # several blocks of phrases
-    assert rows(docs.select("doc_id", is_contaminated(spark, bench, F.col("text"), 4))) == sorted(((w[0], w[5]) for w in want), key=repr)
+    for words in (10**6, 6):
+        assert rows(clean_documents(spark, docs, bench, 4, words).select("doc_id")) == sorted(((w[0],) for w in want if not w[5]), key=repr)
     assert leak_report(find_leaks(spark, docs, bench.limit(0))).filter("contaminated").count() == 0
     assert find_leaks(spark, docs_of(spark, []), bench).count() == 0
 
@@ -201,37 +205,126 @@ def test_toxicity(spark):
     flipped = marks.withColumn("toxic", F.when(fold(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {x.doc_id: x.toxic_score for x in with_toxicity(spark, docs, flipped).collect()}
     assert all(again[x.doc_id] == pytest.approx(x.toxic_score) for x in out)
-    assert train(spark, docs, marks.filter("toxic = 0")) is None
+    assert train(spark, docs, marks.filter("toxic = 0"), toxicity.Scratch(spark, "test")) is None
     assert with_toxicity(spark, docs, marks.limit(0)).filter("toxic_score > 0").count() == 0
     assert with_toxicity(spark, docs_of(spark, []), marks).count() == 0
 
 
-def test_toxicity_counts_each_word(spark, tmp_path):
+def test_toxicity_counts_each_word(spark):
     """No two words share counts, also where there are more than 2**20."""
     texts = [" ".join(f"x{i}y{k}" for i in range(11_000)) for k in range(100)]
     docs = docs_of(spark, list(enumerate(texts)))
-    none = spark.createDataFrame([], "doc_id long, toxic int")
+    none = spark.createDataFrame([], "id long, toxic int")
     counts = toxicity.corpus_counts(spark, docs, none, toxicity.Scratch(spark, "test")).filter(F.col("kind") == toxicity.WORD)
     assert counts.agg(F.count("*"), F.max("n"), F.sum("n")).first() == (1_100_000, 1, 1_100_000)
 
 
+def kneser_ney(pairs, marks):
+    """Features of texts by the formulas of the docstring, in plain Python."""
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    n, held, pair = Counter(), [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in pairs:
+        w = words(t)
+        n.update(set(w))
+        if i is not None and zlib.crc32(str(i).encode()) % 4 < 2 and i in marks:
+            pair[marks[i]].update(set(zip([None, *w], w)))
+    less = lambda x, d: d[min(x, 3) - 1] if x else 0
+    k = [Counter(w for _, w in pair[c]) for c in (0, 1)]
+    total = sum(n.values()) + len(n) / 2
+    for c in (0, 1):
+        for (v, _), x in pair[c].items():
+            held[c][v] += x
+
+    def p(c, v, w):
+        e = sum(less(x, (1, 1.3, 1.5)) for x in k[c].values())
+        own = (k[c][w] - less(k[c][w], (1, 1.3, 1.5)) + e * (n[w] + 0.5) / total) / sum(k[c].values())
+        if not held[c][v]:
+            return own, own
+        d = sum(less(x, (1, 2, 1.5)) for (a, _), x in pair[c].items() if a == v)
+        x = pair[c][v, w]
+        return own, (x - less(x, (1, 2, 1.5)) + d * own) / held[c][v]
+
+    out = []
+    for _, t in pairs:
+        w = words(t)
+        both = [[math.log(b / a) for a, b in zip(p(0, v, x), p(1, v, x))] for v, x in zip([None, *w], w)]
+        f = []
+        for order in (0, 1):
+            d = [x[order] for x in both]
+            f += [sum(d) / len(d), max(d), math.log1p(sum(max(x - 2, 0) for x in d))] if d else [0, 0, 0]
+        out.append([*f, math.log1p(len(w))])
+    return out
+
+
+def test_toxicity_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    pairs = []
+    for i in range(300):
+        w = [f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(0, 25))]
+        if i % 4 == 0 and w:
+            w[r.randrange(len(w))] = r.choice(["scum", "new york", "go away now"])
+        pairs.append((i, " ".join(w)))
+    pairs += [(None, "scum w1"), (500, None), (501, "new york new york scum of new york")]
+    marks = {i: int(i % 4 == 0) for i in range(0, 300)}
+    docs, labels = docs_of(spark, pairs), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    want = np.array(kneser_ney(pairs, marks))
+    assert want[-1, 4] > want[-1, 1] or want[-1, 5] > 0
+    for most in (10**6, 7, 0):  # with entries that are looked up by shuffle, the answers come as columns
+        monkeypatch.setattr(toxicity, "MAX_HOT", dict.fromkeys(toxicity.MAX_HOT, most))
+        scratch = toxicity.Scratch(spark, "test")
+        model = toxicity.train(spark, docs, labels, scratch)
+        assert model.complete == (most == 10**6)
+        got = model.completed(docs, "x", scratch).select("doc_id", "x.*").toPandas()
+        key = lambda i, t: (-1 if i is None or i != i else int(i), t or "")
+        at = {key(i, t): f for (i, t), f in zip(pairs, want)}
+        assert np.allclose(model.features(got), [at[key(i, t)] for i, t in zip(got["doc_id"], got["text"])], atol=1e-6)
+
+
+def test_toxicity_expressions(spark):
+    """An expression whose words are ordinary one by one is told from them."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    pairs = []
+    for i in range(1500):
+        t = [r.choice(words) for _ in range(40)]
+        for k, w in enumerate(t[:-1]):
+            if w == "w1" and t[k + 1] == "w2":
+                t[k] = "w3"
+        if i % 6 == 0:
+            k = r.randrange(39)
+            t[k : k + 2] = ["w1", "w2"]
+        pairs.append((i, " ".join(t)))
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    out = [x for x in with_toxicity(spark, docs_of(spark, pairs), marks).filter(fold(F.col("doc_id")) == 2).collect()]
+    assert sum(x.toxic_predicted == (x.doc_id % 6 == 0) for x in out) >= 0.95 * len(out) > 200
+
+
 def test_toxicity_by_shuffle(spark, monkeypatch):
-    """Words, stems and labels beyond what may be broadcast give the same scores."""
+    """Entries and labels beyond what may be broadcast give the same scores; so do ids that are strings."""
     r = random.Random(8)
     pairs = [(i, " ".join(r.choice(["scum", "vile", "so"] if i % 5 == 0 else ["so", "fine"]) + str(r.randrange(60)) for _ in range(r.randint(1, 30)))) for i in range(600)]
     pairs += [(700, pairs[5][1]), (None, pairs[5][1]), (701, None), (702, ""), (703, "new words")]
     docs, marks = docs_of(spark, pairs), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    text = F.col("doc_id").cast("string")
     got = []
-    for hot, ids, few in ((10**6, 10**6, 10**6), (20, 0, 0), (0, 0, 0)):
-        monkeypatch.setattr(toxicity, "MAX_HOT", hot)
+    for hot, ids, named in ((10**6, 10**6, False), (20, 0, False), (0, 0, True), (10**6, 10**6, True)):
+        monkeypatch.setattr(toxicity, "MAX_HOT", dict.fromkeys(toxicity.MAX_HOT, hot))
         monkeypatch.setattr(toxicity, "MAX_LABELS", ids)
-        monkeypatch.setattr(toxicity, "MAX_BROADCAST", few)
-        got.append(sorted((x.doc_id or -1, x.text or "", x.toxic_score) for x in with_toxicity(spark, docs, marks).collect()))
+        out = with_toxicity(spark, docs.withColumn("doc_id", text), marks.withColumn("doc_id", text)) if named else with_toxicity(spark, docs, marks)
+        got.append(sorted((-1 if x.doc_id is None else int(x.doc_id), x.text or "", x.toxic_score) for x in out.collect()))
     for other in got[1:]:
-        assert [x[:2] for x in other] == [x[:2] for x in got[0]] and [x[2] for x in other] == pytest.approx([x[2] for x in got[0]], abs=1e-6)
+        assert [x[:2] for x in other] == [x[:2] for x in got[0]] and [x[2] for x in other] == pytest.approx([x[2] for x in got[0]], abs=1e-5)
     assert len({x[2] for x in got[0]}) > 100
 
 
+def test_toxicity_clash(spark):
+    """Columns with the names of results give way to them; others stay."""
+    docs = docs_of(spark, [(i, "w scum" if i % 2 else "w fine") for i in range(80)]).withColumns({"toxic_score": F.lit("x"), "word": F.lit(1), "p0": F.lit(2)})
+    out = with_toxicity(spark, docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    assert dict(out.dtypes)["toxic_score"] == "double" and out.columns.count("toxic_score") == 1
+    assert all(x.word == 1 and x.p0 == 2 and x.toxic_predicted == x.doc_id % 2 for x in out.collect())
+
+
 def test_toxicity_bound_keeps_class_ratio(spark):
     """A bound on the rows of each class leaves the scores at the ratio of all labels."""
     r = random.Random(9)
