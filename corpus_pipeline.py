@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, row_key, table
-from quillspark.llm.decontaminate import is_contaminated
+from quillspark.llm.decontaminate import clean_documents
 from quillspark.llm.mixing import expand, mix
 from quillspark.llm.ngram_join import Similarity, jaccard_components
 from quillspark.llm.token_files import token_index
@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return docs.filter(~is_contaminated(spark, table(spark, sf_dir, "benchmark"), F.col("text"), window=10))
+    return clean_documents(spark, docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
