@@ -247,7 +247,7 @@ class WordEncoder:
     A tokenizer may be asked piece by piece if its normalizer and its pre-tokenizer don't look over white space. That holds
     for the steps named in LOCAL, which is checked; others get whole texts. Pieces are encoded by the tokenizer as they
     are; only ASCII ones are lower-cased first if the normalizer does so, as their table is then smaller. Texts in which an
-    added token is written go to the tokenizer whole.
+    added token is written, in whatever case, go to the tokenizer whole.
     """
 
     #: Steps of normalizers that act within a piece.
@@ -266,7 +266,7 @@ class WordEncoder:
         cuts = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and self._drops_space()
         self.by_piece = cuts and {n["type"] for n in normal} <= self.LOCAL and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in spaces)
         self.lower = any(n["type"] == "Lowercase" for n in normal)
-        self.added = [t["content"].encode() for t in made["added_tokens"]]
+        self.added = [t["content"].encode().lower() for t in made["added_tokens"]]
 
     def _drops_space(self) -> bool:
         """Whether a piece of the pre-tokenizer ends at each ASCII white space."""
@@ -280,7 +280,8 @@ class WordEncoder:
         return out
 
     def _whole(self, text: bytes) -> bool:
-        return not self.by_piece or any(t in text for t in self.added)
+        low = text.lower()
+        return not self.by_piece or any(t in low for t in self.added)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (in UTF-8), each with the end id behind it, and the number of ids of each."""
