@@ -1,22 +1,25 @@
 """WARC files and their boundary-chain verification.
 
-Writing: records are built as columns and written by Spark's own text writer with the record end (two line breaks) as
-its line separator, so files are plain WARC/1.0, in any store Spark can write, and a lost task leaves no half files. Of
-records with equal payloads of `min_bytes` or more, that of the largest page_id is a response, the others are revisits
-of it without the payload; smaller ones are all responses.
+Writing: records are built as columns; a task joins them to files of about `file_bytes`, which Spark's own text writer
+writes with the record end (two line breaks) as its line separator. So files are plain WARC/1.0, in any store Spark can
+write, and a lost task leaves no half files. Of records with equal payloads of `min_bytes` or more, that of the largest
+page_id is a response, the others are revisits of it without the payload; smaller ones are all responses.
 
-Reading: every place where the version line stands after a record end (or at a file's start) is a candidate record; its header gives the place of its
+Reading: every place where a version line stands after a record end (or at a file's start) is a candidate record; its header gives the place of its
 successor. Candidates are a table (file, offset, successor, fields). Pointer jumping from the start of each file keeps
-those that can be reached: places inside payloads that look like records are never anyone's successor from there.
+those that can be reached: places inside payloads that look like records are never anyone's successor from there. Files of
+any name are read, WARC/1.0 and 1.1, plain or gzipped (members of records or whole), and records of any kind.
 
 A null html is an empty payload. A null page_id is written as "null" and read back as null; it is the smallest id. Rows
 equal in page_id and payload are all responses when they are the largest. Null urls become empty. Extra columns stay
-outside. An empty table gives none. Files hold `file_records` records at most, so a task reads a bounded file.
+outside. An empty table gives none. A file is read by one task, whole: own ones are of `file_bytes` or one record, others must
+be below 2 GB, as Spark reads no larger ones.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,8 +33,9 @@ from .common import Scratch, small_batches
 
 #: Fixed values of the format.
 MAGIC, BREAK, RECORD_END = b"WARC/1.0\r\n", "\r\n", "\r\n\r\n"
-#: What a record but a file's first stands after, and its version line.
-START = RECORD_END.encode() + MAGIC
+#: A version line at a file's start or after a record end.
+START = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
+NEXT = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 #: Payloads with copies, of about 60 bytes each, that may be broadcast.
 MAX_BROADCAST = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -80,8 +84,28 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return own.select(F.concat(head, body).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = 1_000) -> None:
-    records(pages, min_bytes).write.mode("overwrite").option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).text(path)
+def _files(file_bytes: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        size = 0
+        for pdf in batches:
+            for record in pdf["record"].tolist():
+                n = len(record.encode())
+                if held and size + n > file_bytes:
+                    yield pd.DataFrame({"value": [RECORD_END.join(held)]})
+                    held, size = [], 0
+                held.append(record)
+                size += n
+        if held:
+            yield pd.DataFrame({"value": [RECORD_END.join(held)]})
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 16 << 20) -> None:
+    small_batches(pages.sparkSession)
+    files = records(pages, min_bytes).mapInPandas(_files(file_bytes), "value string")
+    files.write.mode("overwrite").option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
 
 
 def _header(data: bytes, at: int, what: bytes) -> tuple[dict[bytes, bytes], int]:
@@ -89,8 +113,8 @@ def _header(data: bytes, at: int, what: bytes) -> tuple[dict[bytes, bytes], int]
     if not data.startswith(what, at):
         return {}, -1
     # A version line is no field, so a header ends before the next one: no byte is searched again and again.
-    after = data.find(b"\r\n" + MAGIC, at)
-    end = data.find(b"\r\n\r\n", at, after + 2 if after >= 0 else len(data))
+    after = NEXT.search(data, at)
+    end = data.find(b"\r\n\r\n", at, after.start() + 2 if after else len(data))
     if end < 0:
         return {}, -1
     lines = data[at:end].split(b"\r\n")[1:]
@@ -103,38 +127,50 @@ def _page(urn: bytes) -> str | None:
 
 
 def candidates(data: bytes) -> Iterator[tuple]:
-    """offset, successor, page_id, payload_bytes, payload_digest, record_type, refers_to of whatever looks like a record."""
-    at = 0 if data.startswith(MAGIC) else data.find(START)
-    while at >= 0:
-        at += 4 if at else 0
-        fields, body = _header(data, at, b"WARC/1.0")
+    """Of whatever looks like a record: offset, successor, page_id, payload_bytes, payload_digest, record_type, refers_to,
+    record_id, target_uri, and where its payload is (from, to)."""
+    text = lambda b: b.decode("utf-8", "replace")
+    for found in START.finditer(data):
+        at = found.start()
+        fields, body = _header(data, at, b"WARC/1.")
         size = fields.get(b"content-length", b"")
-        if body >= 0 and size.isdigit() and body + int(size) <= len(data):
-            stop = body + int(size)
-            http, payload = _header(data, body, b"HTTP/1")
-            kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
-            if kind == "response" and payload >= 0:
-                read = data[payload:stop]
-                digest, n = base64.b32encode(hashlib.sha1(read).digest()).decode(), len(read)
-            else:
-                digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("utf-8", "replace")
-                n = int(x) if (x := http.get(b"content-length", b"")).isdigit() else 0
-            yield at, stop + 4, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, _page(fields.get(b"warc-refers-to", b""))
-        at = data.find(START, at + 1)
-
-
-FIELDS = ["file", "offset", "successor", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-SCHEMA = "file string, offset long, successor long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+        if body < 0 or not size.isdigit() or body + int(size) > len(data):
+            continue
+        stop = body + int(size)
+        http, payload = _header(data[:stop], body, b"HTTP/1")
+        kind = text(fields.get(b"warc-type", b""))
+        payload = stop if kind == "revisit" else payload if payload >= 0 else body
+        if kind == "revisit":
+            digest = text(fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:"))
+            n = int(x) if (x := http.get(b"content-length", b"")).isdigit() else 0
+        else:
+            n, digest = stop - payload, base64.b32encode(hashlib.sha1(data[payload:stop]).digest()).decode()
+        name, uri = fields.get(b"warc-record-id", b""), fields.get(b"warc-target-uri", b"")
+        yield at, stop + 4, _page(name), n, digest, kind, _page(fields.get(b"warc-refers-to", b"")), text(name), text(uri), payload, stop
+
+
+FIELDS = ["offset", "successor", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri"]
+SCHEMA = (
+    "file string, offset long, successor long, page_id string, payload_bytes long, payload_digest string, record_type string, "
+    "refers_to string, record_id string, target_uri string, payload binary"
+)
 SIZED = f"{SCHEMA}, size long"
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for name, data in zip(pdf["path"], pdf["content"], strict=True):
-            found = pd.DataFrame([(name, *c, len(data)) for c in candidates(data)], columns=[*FIELDS, "size"])
-            if data and not len(found):
-                raise ValueError(f"{name} holds no record")
-            yield found
+def _candidates(with_payload: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                rows = list(candidates(data))
+                if data and not rows:
+                    raise ValueError(f"{name} holds no record")
+                out = pd.DataFrame([r[: len(FIELDS)] for r in rows], columns=FIELDS)
+                out["payload"] = [data[r[-2] : r[-1]] for r in rows] if with_payload else None
+                yield out.assign(file=name, size=len(data))
+
+    return run
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -160,16 +196,17 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("offset", ignore_index=True)
     met = pdf[reachable(pdf["offset"].to_numpy(), pdf["successor"].to_numpy())]
     end, size = int(met["successor"].max()) if len(met) else 0, int(pdf["size"].iloc[0])
-    if end != size:
+    if end not in (size, size + len(RECORD_END)):  # a last record may lack its end
         raise ValueError(f"the records of {pdf['file'].iloc[0]} end at byte {end} of {size}")
-    return met[FIELDS]
+    return met.drop(columns="size")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record that the chain from its file's start reaches; an error if a chain doesn't end with its file."""
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """A row for each record that the chain from its file's start reaches; an error if a chain doesn't end with its file.
+    Page ids are those of records written here; payloads are null unless asked for."""
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    found = files.select("path", "content").mapInPandas(_candidates, SIZED)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = files.select("path", "content").mapInPandas(_candidates(with_payload), SIZED)
     return found.groupBy("file").applyInPandas(_chain, SCHEMA)
 
 

@@ -1,6 +1,7 @@
 """Token files, WARC and GIF: exact round trips and brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -150,6 +151,42 @@ def test_warc_long_urls(spark, tmp_path):
             warc.read_warc(spark, str(tmp_path / "cut")).collect()
 
 
+def test_warc_files_roll_by_bytes(spark, tmp_path):
+    big = "p" * 3_000_000
+    df = spark.createDataFrame([(i, "u", big if i in (2, 5) else f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    out = str(tmp_path / "files")
+    warc.write_warc(df, out, file_bytes=1000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "files").glob("part-*"))
+    assert len(sizes) >= 5 and sum(x > 2000 for x in sizes) == 1  # the copy is a revisit
+    assert {x.page_id: len(x.payload) for x in warc.read_warc(spark, out, with_payload=True).collect()} == {str(i): 3_000_000 if i == 5 else 0 if i == 2 else 6 for i in range(9)}
+
+
+def foreign(gzipped):
+    """An archive as others write it: a warcinfo record, 1.1, field names in other case, a request, a response, a resource."""
+    def record(kind, name, body, uri=b"", more=b""):
+        head = b"WARC/1.1\r\nwarc-type: " + kind + b"\r\nWarc-Record-Id: <urn:uuid:" + name + b">\r\nWARC-Target-URI: " + uri + b"\r\n" + more
+        out = head + b"content-length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        return gzip.compress(out) if gzipped else out
+
+    trap = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    return record(b"warcinfo", b"1", b"software: other\r\n") + record(b"request", b"2", b"GET / HTTP/1.1\r\n\r\n", b"http://a/") + record(b"response", b"3", trap, b"http://a/") + record(
+        b"resource", b"4", b"\x00\xff bytes", b"http://b/\xc3\xa9")
+
+
+def test_warc_foreign(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(foreign(False))
+    (tmp_path / "b.warc.gz").write_bytes(foreign(True))
+    (tmp_path / "c.warc").write_bytes(foreign(False)[:-4])  # its last record lacks the end
+    got = warc.read_warc(spark, str(tmp_path), with_payload=True).collect()
+    assert len(got) == 12
+    for end in ("a.warc", "b.warc.gz", "c.warc"):
+        own = {x.record_id: x for x in got if x.file.endswith(end)}
+        assert [own[f"<urn:uuid:{i}>"].record_type for i in (1, 2, 3, 4)] == ["warcinfo", "request", "response", "resource"]
+        assert bytes(own["<urn:uuid:3>"].payload).startswith(b"<p>") and own["<urn:uuid:3>"].payload_digest == digest(bytes(own["<urn:uuid:3>"].payload))
+        assert bytes(own["<urn:uuid:4>"].payload) == b"\x00\xff bytes" and own["<urn:uuid:4>"].target_uri == "http://b/é"
+        assert all(x.page_id is None for x in own.values())
+
+
 def test_reachable():
     r = random.Random(2)
     for _ in range(200):
