@@ -10,15 +10,16 @@ One tree over all documents would compare each document with most others of its
 500 words lie within the bound at few dimensions, and at many a tree has no small nodes), so trees are built for blocks:
 documents that share a shingle of their prefixes. In one order of all shingles, rare ones first, two sets of similarity s
 share 3 of their first n - ceil(s * n) + 3 members (n: size of each; sets too small for that equal each other or share
-all). The order is by the level of a count sketch over all documents, then by hash: every task knows it, and it only
-decides how large blocks get, not what is found. The sketch has a fixed size and is broadcast.
+all). The order is by how far a shingle's counter stands above the others in a count sketch over all documents, then by
+hash: every task knows it, and it only decides how large blocks get, not what is found. The sketch is broadcast and grows
+with the corpus up to 2**24 counters; beyond that, shingles count as frequent by the spread of its counters.
 
 1. Equal sets are made one class (fingerprints of 128 bits and the size); one representative goes on.
 2. Blocks of SMALL representatives or fewer give all their pairs; pairs met in three blocks are candidates. A larger
    block is joined with itself by an R-tree over its points; of the pairs that the bounds leave, a spanning forest goes
    on. In a block of more than `large`, all are candidates with one of them. Components of all these candidates are
    clusters: no link leaves one.
-3. The texts of a cluster go to one task once, if they are within `cluster_shingles` in all. There an R-tree is built over
+3. The texts of a cluster go to one task once, if it has `cluster_rows` members and `cluster_shingles` in all at most. There an R-tree is built over
    its points and joined with itself. Pairs that the bounds leave are verified best first, unless the links found so far
    connect them already.
 4. A cluster beyond that size stays dealt out by blocks. Its candidates are bounded and verified as pairs; then blocks
@@ -30,7 +31,7 @@ So groups of near copies never give all their pairs, and no link between compone
 Links inside a component are not all listed: the result is the class id of each document (its smallest reachable id).
 A null or empty text has no shingles and no links; a text with fewer words than a shingle is one shingle. A row with a
 null doc_id has n_shingles but no component. Rows that repeat, or repeat an id with another text, are placed by their
-texts. Very long texts are whole sets. An empty table gives none. 64-bit hashes of different shingles collide within a
+texts. Very long texts are whole sets. An empty table gives none. Ids are integers. 64-bit hashes of different shingles collide within a
 pair of sets of 1,000 with a probability of 5e-14.
 """
 
@@ -45,10 +46,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import COUNT_SCHEMA, GAP_SPACE, Scratch, batch_rows, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts
+from .common import COUNT_SCHEMA, GAP_SPACE, Bloom, Scratch, batch_rows, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts, xxhash_longs
 from .components import components
 
 SMALL, LARGE, LEAF, SHARED = 8, 512, 16, 3
+#: Members of a cluster that one task joins, and rows that a task of a shuffle has, on average.
+CLUSTER_ROWS, ROWS_A_TASK = 300, 20_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -124,9 +127,10 @@ def _sketch(bits: int, words: int):
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for shingles about as frequent as most; one more for each doubling beyond four times the mean of the sketch."""
-    mean = max(1.0, counts.mean())
-    return np.floor(np.log2(np.maximum(counts / (4 * mean), 0.5)) + 1).clip(0, 60).astype(np.uint8)
+    """0 for counters about as high as most; one more for each doubling of what exceeds that by eight times their spread."""
+    middle = float(np.median(counts))
+    spread = max(1.0, float(np.median(np.abs(counts - middle))))
+    return np.floor(np.log2(np.maximum((counts - middle) / (8 * spread), 0.5)) + 1).clip(0, 60).astype(np.uint8)
 
 
 def _profiles(broadcast, sim: Similarity):
@@ -444,31 +448,17 @@ def _cluster_links(sim: Similarity):
     return run
 
 
-def _bloom(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((1, 1 << bits), np.int8)
-        for pdf in batches:
-            for seed in (1, 2):
-                counts[0, _slot(pdf["id"].to_numpy(), seed, bits)] = 1
-        yield count_rows(counts)
-
-    return run
-
-
-def _slot(ids: np.ndarray, seed: int, bits: int) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 class Join:
-    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity, cluster_shingles: int, large: int):
-        self.spark, self.sim, self.cluster_shingles, self.large, self.scratch = spark, sim, cluster_shingles, large, Scratch(spark, "jaccard")
+    def __init__(self, spark: SparkSession, docs: DataFrame, sim: Similarity, cluster_shingles: int, cluster_rows: int, large: int):
+        self.spark, self.sim, self.large, self.scratch = spark, sim, large, Scratch(spark, "jaccard")
+        self.cluster_shingles, self.cluster_rows = cluster_shingles, cluster_rows
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = self.docs.count()
+        self.shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.rows // ROWS_A_TASK)
 
     def profiles(self) -> DataFrame:
         spark, sim = self.spark, self.sim
-        n = self.docs.count()
-        bits = min(24, max(16, int(n * 16).bit_length()))
+        bits = min(24, max(16, (self.rows * 16).bit_length()))
         counts = sum_counts(spark, self.docs.select("text").mapInPandas(_sketch(bits, sim.words), COUNT_SCHEMA), 1, 1 << bits)[0]
         levels = spark.sparkContext.broadcast(levels_of(counts))
         # ids without nulls, which pandas would turn to floats
@@ -476,19 +466,12 @@ class Join:
         made = whole.mapInPandas(_profiles(levels, sim), "n long, f1 long, f2 long, point binary, keys array<long>, doc_id long, known boolean")
         return self.scratch.stash(made.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"), "profiles")
 
-    def texts(self, ids: DataFrame, most: int) -> DataFrame:
-        """Texts of the ids (one column, most rows at most), and a few others: only these need to be shuffled. They pass
-        a Bloom filter, whose size is bounded."""
-        bits = min(26, max(16, (most * 8).bit_length()))
-        bloom = self.spark.sparkContext.broadcast(
-            np.packbits(sum_counts(self.spark, ids.toDF("id").mapInPandas(_bloom(bits), COUNT_SCHEMA), 1, 1 << bits)[0] > 0))
+    def texts(self, ids: DataFrame, n: int) -> DataFrame:
+        """Texts of the ids (one column, n rows), and a few others: only what passes a filter needs to be shuffled."""
+        passing = self.spark.sparkContext.broadcast(Bloom(ids.select(F.xxhash64(ids.columns[0])), n))
 
         def passes(ids: pd.Series) -> pd.Series:
-            own, kept = ids.to_numpy(np.int64), np.ones(len(ids), bool)
-            for seed in (1, 2):
-                slot = _slot(own, seed, bits)
-                kept &= (bloom.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-            return pd.Series(kept)
+            return pd.Series(passing.value.holds(xxhash_longs(ids.to_numpy(np.int64))))
 
         passes.__annotations__ = {"ids": pd.Series, "return": pd.Series}
         return self.docs.filter(F.col("doc_id").isNotNull() & F.pandas_udf(passes, "boolean")(F.coalesce("doc_id", F.lit(0))))
@@ -498,11 +481,12 @@ class Join:
         profiles = self.profiles()
         kind = ["n", "f1", "f2"]
         real = profiles.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-        classes = scratch.stash(real.groupBy(*kind).agg(F.min("doc_id").alias("rep")), "classes")
+        classes = scratch.stash(real.groupBy(*kind).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
         # joined by id too, so that a class of many copies is no hot key
         reps = (
-            profiles.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *kind], "left_semi").dropDuplicates(["doc_id", *kind])
+            profiles.join(classes.select(F.col("rep").alias("doc_id"), *kind), ["doc_id", *kind], "left_semi").dropDuplicates(["doc_id", *kind])
             .select(F.col("doc_id").alias("doc"), "n", "point", "keys"))
+        reps = scratch.stash(reps, "reps")
         keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
         keyed = keyed.repartition(self.shuffles, "key").sortWithinPartitions("key")
         with batch_rows(self.spark, 20_000):
@@ -515,20 +499,29 @@ class Join:
         clusters = components(scratch, pairs, "cluster").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
         clusters = scratch.stash(clusters.unionByName(clusters.select(F.col("cluster").alias("doc"), "cluster").distinct()), "clusters")
         scratch.drop("blocks")
-        sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"))
+        sizes = clusters.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows"))
         sizes = scratch.stash(sizes, "sizes")
-        fits = clusters.join(sizes.filter(F.col("shingles") <= self.cluster_shingles), "cluster", "left_semi")
+        small = (F.col("shingles") <= self.cluster_shingles) & (F.col("rows") <= self.cluster_rows)
+        fits = clusters.join(sizes.filter(small), "cluster", "left_semi")
         texts = self.texts(fits.select("doc"), fits.count()).join(fits, F.col("doc_id") == F.col("doc")).select("cluster", "doc", "text")
         found = texts.repartition(self.shuffles, "cluster").sortWithinPartitions("cluster").mapInPandas(_cluster_links(sim), "node long, component long")
         part = scratch.stash(found, "components")
-        large = clusters.join(sizes.filter(F.col("shingles") > self.cluster_shingles), "cluster", "left_semi").select("doc")
+        large = clusters.join(sizes.filter(~small), "cluster", "left_semi").select("doc")
         if not large.isEmpty():
             part = part.unionByName(Spread(self, reps, members, pairs, large).run())
         part = part.groupBy("node").agg(F.min("component").alias("component"))  # ids that repeat with another text
-        rep_of = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("component", "rep").alias("component_id"))
-        own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return profiles.select("doc_id", *kind).join(rep_of, kind, "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+        part = scratch.stash(part, "found")
+        # Classes of at least 1/65536 of all rows, which are 65536 at most, are broadcast, the others joined by shuffle; rows
+        # without shingles or without id need no class.
+        hot = F.col("copies") * 65536 >= self.rows
+        rep_of = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, "copies", F.coalesce("component", "rep").alias("component_id"))
+        rows = profiles.select("doc_id", *kind)
+        classed = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        near = rows.filter(classed).join(F.broadcast(rep_of.filter(hot).drop("copies").withColumnRenamed("component_id", "hot_id")), kind, "left")
+        far = near.filter("hot_id IS NULL").drop("hot_id").join(rep_of.filter(~hot).drop("copies"), kind, "left")
+        out = near.filter("hot_id IS NOT NULL").withColumnRenamed("hot_id", "component_id").unionByName(far)
+        out = out.unionByName(rows.filter(~classed).withColumn("component_id", F.col("doc_id")))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 class Spread:
@@ -601,8 +594,9 @@ class Spread:
 
 
 def jaccard_components(
-    spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity(), cluster_shingles: int = 4_000_000, large: int = LARGE,
+    spark: SparkSession, docs: DataFrame, similarity: Similarity = Similarity(), cluster_shingles: int = 4_000_000,
+    cluster_rows: int = CLUSTER_ROWS, large: int = LARGE,
 ) -> DataFrame:
     """doc_id, text in; doc_id, n_shingles, component_id out, a row for each row."""
     small_batches(spark)
-    return Join(spark, docs, similarity, cluster_shingles, large).run()
+    return Join(spark, docs, similarity, cluster_shingles, cluster_rows, large).run()

@@ -66,7 +66,7 @@ def near_copies(seed, n=120):
 def test_ngram_join(spark, limit, large):
     pairs = near_copies(1) + [(2000, None), (2001, ""), (2002, " \t\n"), (2003, "A b"), (2004, "a  B"), (2005, "w1 " * 9000)]
     data = [(i, t, 1, "k") for i, t in [*pairs, (None, pairs[0][1]), pairs[3]]]
-    got = rows(jaccard_components(spark, spark.createDataFrame(data, "doc_id long, text string, n int, key string"), Similarity(), limit, large))
+    got = rows(jaccard_components(spark, spark.createDataFrame(data, "doc_id long, text string, n int, key string"), Similarity(), limit, large=large))
     want = brute_components(pairs)
     assert got == sorted([(i, *want[i]) for i, _ in [*pairs, pairs[3]]] + [(None, len(shingles(pairs[0][1])), None)], key=repr)
 
