@@ -18,8 +18,14 @@ from ..sources.store import PK, Store
 
 @dataclass
 class Written:
+    """A store's new state, the rows written or deleted, and the change: keys that leave (__k0, ...), rows that come, the next
+    generated key."""
+
     state: DataFrame
     rows: DataFrame
+    gone: DataFrame | None = None
+    added: DataFrame | None = None
+    next_key: int | None = None
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -42,24 +48,25 @@ def _keys(store: Store) -> list[str]:
     return [f"__k{i}" for i in range(len(store.key))]
 
 
-def _fill_keys(store: Store, state: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows without a key get the next numbers, if the store makes keys."""
+def _fill_keys(store: Store, state: DataFrame, rows: DataFrame, next_key: int | None) -> tuple[DataFrame, int | None]:
+    """Rows without a key get the next numbers, if the store makes keys; and the number after all keys."""
     key = store.key[0]
     if key not in rows.columns and "." not in key:
         if not store.auto or len(store.key) > 1:
             raise KeyError_(f"{store.name}: rows have no primary key {key}")
         rows = rows.withColumn(key, F.lit(None).cast(state.schema[key].dataType))
     if not store.auto:
-        return rows
+        return rows, None
     kind = state.schema[key].dataType
+    seen = [rows] if next_key is not None else [state, rows]  # the next key is above those of the state already
+    top = max((v for v in (df.agg(F.max(key)).first()[0] for df in seen) if v is not None), default=None)
+    first = max(next_key or 0, 0 if top is None else int(top) + 1) if key == PK else max(next_key or 1, 1 if top is None else int(top) + 1)
     bare = rows.filter(F.col(key).isNull())
-    if bare.isEmpty():
-        return rows
-    keyed = rows.filter(F.col(key).isNotNull())
-    top = state.select(F.max(key)).unionByName(keyed.select(F.max(key))).agg(F.max(f"max({key})")).first()[0]
-    first = 0 if top is None and key == PK else 1 if top is None else int(top) + 1
+    n = bare.count()
+    if not n:
+        return rows, first
     new = numbered(bare.drop(key), "__number").withColumn(key, (F.col("__number") + first).cast(kind)).drop("__number")
-    return keyed.unionByName(new)
+    return rows.filter(F.col(key).isNotNull()).unionByName(new), first + n
 
 
 def _conform(store: Store, state: DataFrame, rows: DataFrame) -> DataFrame:
@@ -68,9 +75,17 @@ def _conform(store: Store, state: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in rows.columns])
 
 
-def put(store: Store, state: DataFrame, rows: DataFrame, overwrite: bool) -> Written:
-    rows = _conform(store, state, rows)
-    rows = stash(_fill_keys(store, state, stash(rows, "rows")), "rows")
+def _near(store: Store, state: DataFrame, flat: DataFrame) -> DataFrame:
+    """The state's rows between the least and the greatest of the new keys: files sorted by key can skip the others."""
+    if len(store.key) > 1 or "." in store.key[0]:
+        return state
+    low, high = flat.agg(F.min("__k0"), F.max("__k0")).first()
+    return state if low is None else state.filter(F.col(store.key[0]).between(F.lit(low), F.lit(high)))
+
+
+def put(store: Store, state: DataFrame, rows: DataFrame, overwrite: bool, next_key: int | None = None) -> Written:
+    rows, next_key = _fill_keys(store, state, stash(_conform(store, state, rows), "rows"), next_key)
+    rows = stash(rows, "rows")
     flat = _flat(store, rows)
     keys = _keys(store)
     null = flat.filter(" OR ".join(f"{k} IS NULL" for k in keys))
@@ -78,12 +93,13 @@ def put(store: Store, state: DataFrame, rows: DataFrame, overwrite: bool) -> Wri
         raise KeyError_(f"{store.name}: a row without primary key")
     if not flat.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise KeyError_(f"{store.name}: rows with the same primary key")
-    old = _flat(store, state)
+    gone = None
     if overwrite:
-        state = old.join(flat.select(*keys), keys, "left_anti").drop(*keys)
-    elif not old.join(flat.select(*keys), keys, "left_semi").isEmpty():
+        gone = flat.select(*keys)
+        state = _flat(store, state).join(gone, keys, "left_anti").drop(*keys)
+    elif not _flat(store, _near(store, state, flat)).join(flat.select(*keys), keys, "left_semi").isEmpty():
         raise KeyError_(f"{store.name}: duplicate primary key")
-    return Written(state.unionByName(rows, allowMissingColumns=True), rows)
+    return Written(state.unionByName(rows, allowMissingColumns=True), rows, gone, rows, next_key)
 
 
 def update(store: Store, state: DataFrame, matched: DataFrame, patch: list[str]) -> Written:
@@ -108,7 +124,8 @@ def update(store: Store, state: DataFrame, matched: DataFrame, patch: list[str])
 
     columns = [*state.columns, *[p for p in patch if p not in kinds]]
     new = all_.select(*[value(c) for c in columns], "__hit")
-    return Written(new.drop("__hit"), new.filter("__hit").drop("__hit"))
+    rows = stash(new.filter("__hit").drop("__hit"), "updated")
+    return Written(new.drop("__hit"), rows, _flat(store, rows).select(*keys), rows)
 
 
 def update_where(store: Store, state: DataFrame, where: Column, values: dict[str, Column]) -> Written:
@@ -123,13 +140,14 @@ def update_where(store: Store, state: DataFrame, where: Column, values: dict[str
     columns += [v.alias(c) for c, v in values.items() if c not in kinds]
     rows = stash(base.filter(hit).select(*columns), "updated")
     kept = base.filter(~hit).select(*[F.col(f"this.`{c}`") for c in state.columns])
-    return Written(kept.unionByName(rows, allowMissingColumns=True), rows)
+    return Written(kept.unionByName(rows, allowMissingColumns=True), rows, _flat(store, rows).select(*_keys(store)), rows)
 
 
 def delete_where(store: Store, state: DataFrame, where: Column | None) -> Written:
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     base = state.alias("this")
-    return Written(base.filter(~hit).select("this.*"), stash(base.filter(hit).select("this.*"), "deleted"))
+    rows = stash(base.filter(hit).select("this.*"), "deleted")
+    return Written(base.filter(~hit).select("this.*"), rows, _flat(store, rows).select(*_keys(store)))
 
 
 def delete_keys(store: Store, state: DataFrame, matched: DataFrame) -> Written:
@@ -137,4 +155,4 @@ def delete_keys(store: Store, state: DataFrame, matched: DataFrame) -> Written:
     keys = _keys(store)
     matched = stash(matched.select(*keys).distinct(), "matched")
     flat = _flat(store, state)
-    return Written(flat.join(matched, keys, "left_anti").drop(*keys), flat.join(matched, keys, "left_semi").drop(*keys))
+    return Written(flat.join(matched, keys, "left_anti").drop(*keys), flat.join(matched, keys, "left_semi").drop(*keys), matched)

@@ -1,14 +1,14 @@
 """Stores: keyed tables that statements read and write.
 
 A store's state is a DataFrame; writes replace it. Rows are found by key: columns of the row, dotted paths into structs,
-or the hidden column _pk (numbers for rows given as a list, names for rows given as a dict). Parquet stores keep
-snapshots: a commit writes a new folder and then swaps the file that names the current one.
+or the hidden column _pk (numbers for rows given as a list, names for rows given as a dict). Generated keys are never given
+twice: the next one is part of the state. Parquet stores keep snapshots (see there); a store that was read before another
+writer's commit must be read anew (`refresh`) before it can commit.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
-from .scratch import delete, file_system, stash
+from .scratch import stash
+from .snapshots import Change, Log, Snapshot, commit_all
 
 PK, PRESENT = "_pk", "__present"
 HIDDEN = (PK, PRESENT)
@@ -66,12 +67,13 @@ def _fit(v, kind):
 
 
 class Store:
-    def __init__(self, df: DataFrame, key: str | Sequence[str] | None = None, auto: bool = False, name: str | None = None, path: str | None = None):
+    def __init__(self, df: DataFrame, key: str | Sequence[str] | None = None, auto: bool = False, name: str | None = None, log: Log | None = None, base: Snapshot | None = None):
         self._df = df
         self.key = [PK] if key is None else [key] if isinstance(key, str) else list(key)
         self.auto = auto or key is None
         self.name = name or f"store{next(_numbers)}"
-        self.path = path
+        self.log, self._base = log, base
+        self.next_key = base.next_key if base else None
         self.database = df.sparkSession
 
     @classmethod
@@ -92,6 +94,7 @@ class Store:
         full = T.StructType([*kind.fields, T.StructField(PK, T.StringType() if named else T.LongType())])
         out = cls(spark.createDataFrame([(*d, k) for d, (k, _) in zip(data, pairs, strict=True)], full), None, not named, name)
         out.auto = not named
+        out.next_key = None if named else len(rows)
         return out
 
     @classmethod
@@ -104,9 +107,21 @@ class Store:
 
     @classmethod
     def parquet(cls, path: str, key=None, auto: bool = False, name: str | None = None) -> Store:
-        """A folder of Parquet files, or one that this class has written snapshots to."""
-        spark = session()
-        return cls(spark.read.parquet(current_snapshot(spark, path) or path), key, auto, name, path)
+        """A folder of Parquet files; what this class writes stands beside it, in <path>.snapshots."""
+        log = Log(session(), path)
+        base = log.current()
+        return cls(log.read(base), key, auto, name, log, base)
+
+    def refresh(self) -> Store:
+        """Reads a Parquet store's last version."""
+        if self.log:
+            self._base = self.log.current()
+            self._df, self.next_key = self.log.read(self._base), self._base.next_key
+        return self
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes versions of a Parquet store before the last `keep`, and their files."""
+        return self.log.vacuum(keep) if self.log else 0
 
     @property
     def df(self) -> DataFrame:
@@ -119,44 +134,14 @@ class Store:
     def key_columns(self, alias: str | None = None) -> list[Column]:
         return [F.col(f"{alias}.{k}" if alias else k) for k in self.key]
 
-    def commit(self, df: DataFrame) -> None:
-        """df becomes the state: written whole before anything names it."""
-        if self.path is None:
-            self._df = stash(df, self.name)
-        else:
-            self._df = publish(df, self.path)
-
 
-def current_snapshot(spark: SparkSession, path: str) -> str | None:
-    p, fs = file_system(spark, f"{path}.snapshots/_current")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        size = fs.getFileStatus(p).getLen()
-        return f"{path}.snapshots/" + "".join(chr(stream.read()) for _ in range(size))
-    finally:
-        stream.close()
-
-
-def publish(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
-    before = current_snapshot(spark, path)
-    number = int(before.rsplit("/v", 1)[1].split("-")[0]) + 1 if before else 1
-    name = f"v{number}-{uuid.uuid4().hex[:8]}"
-    target = f"{path}.snapshots/{name}"
-    try:
-        df.write.parquet(target)
-        temp, fs = file_system(spark, f"{path}.snapshots/_next-{name}")
-        out = fs.create(temp, True)
-        out.writeBytes(name)
-        out.close()
-        final, _ = file_system(spark, f"{path}.snapshots/_current")
-        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
-        options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(temp), fs.makeQualified(final), options)
-    except Exception:
-        delete(spark, target)
-        raise
-    return spark.read.schema(df.schema).parquet(target)
+def commit(held: Mapping[Store, tuple[DataFrame, Change]]) -> None:
+    """New states and changes of stores: all are written before any counts; Parquet stores are made to count at once."""
+    plain = [s for s in held if s.log is None]
+    states = {s: stash(held[s][0], s.name) for s in plain}
+    logged = [s for s in held if s.log is not None]
+    for store, base in zip(logged, commit_all([(s.log, s._base, s.key, held[s][1]) for s in logged]), strict=True):
+        store._base, store._df = base, store.log.read(base)
+        store.next_key = base.next_key
+    for store in plain:
+        store._df, store.next_key = states[store], held[store][1].next_key
