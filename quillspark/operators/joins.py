@@ -23,20 +23,43 @@ def merge(left: Scope, right: Scope) -> dict[str, list[str]]:
 
 
 def cross(left: Scope, right: Scope) -> Scope:
-    return Scope(left.df.crossJoin(right.df), merge(left, right))
+    return Scope(left.df.crossJoin(right.df), merge(left, right), left.outer)
+
+
+def lateral(left: Scope, right: Scope, kind: str, on: list, params: dict) -> Scope:
+    """The right side, which reads the left one's columns, for each row of it; Spark decorrelates it to a join."""
+    if kind not in ("inner", "left"):
+        raise AliasError(f"a sub-query that reads {', '.join(sorted(right.outer))} can't be on the side of a {kind} join")
+    both = Scope(left.df, merge(left, right), left.outer)
+    terms = [both.column(e, params) for e in on]
+    condition = reduce(Column.__and__, terms) if terms else None
+    return Scope(left.df.lateralJoin(right.df, condition, kind), both.aliases, left.outer)
 
 
 def join(left: Scope, right: Scope, kind: str, on: list, params: dict) -> Scope:
-    both = Scope(left.df, merge(left, right))
+    both = Scope(left.df, merge(left, right), left.outer)
+    later = []
+    if left.outer:  # Spark takes references to outer rows in filters, not in conditions
+        parts = split(on, params)
+        later = [e for e in parts if isinstance(e, Expr) and both.reads_outer(e.text)]
+        on = [e for e in parts if e not in later]
+        if later and kind != "inner":
+            raise AliasError(f"within a lateral sub-query, ON of a {kind} join can't read {', '.join(sorted(left.outer))}")
     terms = [both.column(e, params) for e in on]
     if kind == "inner" and not terms:
-        return cross(left, right)
+        return filtered(cross(left, right), later, params)
     condition = reduce(Column.__and__, terms) if terms else F.lit(True)
     df = left.df.join(right.df, condition, KINDS[kind])
     if kind == "anti":
         # the right side stays addressable: its columns are null
         df = df.join(right.df.filter(F.lit(False)), F.lit(False), "left")
-    return Scope(df, both.aliases)
+    return filtered(Scope(df, both.aliases, left.outer), later, params)
+
+
+def filtered(scope: Scope, terms: list, params: dict) -> Scope:
+    for e in terms:
+        scope = Scope(scope.df.filter(scope.column(e, params)), scope.aliases, scope.outer)
+    return scope
 
 
 def aliases_in(text: str, scope: Scope) -> set[str]:

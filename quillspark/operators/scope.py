@@ -14,10 +14,12 @@ from ..sources.store import HIDDEN
 
 @dataclass
 class Scope:
-    """df and the columns of each alias; no aliases once rows are projected."""
+    """df and the columns of each alias; no aliases once rows are projected. outer: aliases of the rows that a lateral
+    sub-query is run for."""
 
     df: DataFrame
     aliases: dict[str, list[str]] = field(default_factory=dict)
+    outer: frozenset[str] = frozenset()
 
     def columns_of(self, alias: str) -> list[str]:
         return [c for c in self.aliases[alias] if c not in HIDDEN]
@@ -30,19 +32,23 @@ class Scope:
         if not self.aliases:
             return
         columns = {c.lower() for cs in self.aliases.values() for c in cs}
-        known = {a.lower() for a in self.aliases}
+        known = {a.lower() for a in {*self.aliases, *self.outer}}
         for _, _, names in chains(tokens(text)):
             head = names[0].lower()
             if len(names) > 1 and head not in known and head not in columns and head not in variables and "->" not in text:
                 raise AliasError(f"unknown alias {names[0]} in: {text}")
 
+    def reads_outer(self, text: str) -> bool:
+        return bool(self.outer) and any(len(names) > 1 and names[0] in self.outer for _, _, names in chains(tokens(text)))
+
     def column(self, e, params: dict) -> Column:
         if isinstance(e, Column):
             return e
         if isinstance(e, Expr):
             text = bind(e, params)
             self.check(text)
-            return F.expr(self.rows_as_structs(text))
+            c = F.expr(self.rows_as_structs(text))
+            return c.outer() if self.reads_outer(text) else c
         out = e(Params(params))
         if not isinstance(out, Column):
             raise QueryError("a callable clause must return a Column")

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import register_aggregate
+from ..errors import AggregateError, AliasError, ParameterError, QueryError, TransactionError
+from ..functions import register, register_aggregate
+from ..sources import ranges
+from ..sources.ranges import Range
+from ..sources.scratch import Scratch
 from ..sources.store import Store
 from .query import Query, delete_from, insert, select, update, upsert
 from .transaction import transaction
@@ -24,6 +28,15 @@ class Tables:
     def __getattr__(self, name: str) -> Store:
         return Store.dataframe(self._spark.read.parquet(f"{self._folder}/{name}.parquet"), name=name)
 
+    def copy(self, name: str, key, auto: bool = False) -> Store:
+        """A Parquet store over a copy of a table, which statements may change."""
+        scratch = Scratch(self._spark, name)
+        self._spark.read.parquet(f"{self._folder}/{name}.parquet").write.parquet(f"{scratch.path}/{name}")
+        return Store.parquet(f"{scratch.path}/{name}", key, auto, name)
+
+    def rows(self, data: list, schema: str) -> DataFrame:
+        return self._spark.createDataFrame(data, schema)
+
     def keyed(self, name: str, key) -> Store:
         return Store.dataframe(self._spark.read.parquet(f"{self._folder}/{name}.parquet"), key, name=name)
 
@@ -388,6 +401,247 @@ def _(t):
     return select(label="v.label", n="count(1)", x="xor_all(v.vec_id)").from_(v=t.embeddings).group_by("v.label")()
 
 
+@entry("filter_in_param", "select c_custkey, c_mktsegment from customer where c_mktsegment in ('BUILDING', 'MACHINERY') and c_nationkey not in (3, 5, 7)")
+def _(t):
+    return select("c.c_custkey", "c.c_mktsegment").from_(c=t.customer).where("c.c_mktsegment IN (:segments)").where("c.c_nationkey NOT IN (?)", [3, 5, 7])(segments=["BUILDING", "MACHINERY"])
+
+
+@entry("filter_composite_prefix", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey = 7 and l_linenumber >= 2 and l_linenumber < 6")
+def _(t):
+    where = ranges.composite([(F.col("l.l_orderkey"), Range.equal(7)), (F.col("l.l_linenumber"), Range(2, 6, upper_open=True))])
+    return select("l.l_orderkey", "l.l_linenumber", "l.l_quantity").from_(l=t.keyed("lineitem", ["l_orderkey", "l_linenumber"])).where(where)()
+
+
+@entry("filter_ranges_combined", "select p_partkey, p_size from part where (p_size < 10 or p_size > 30) and p_size >= 5 and p_size <= 40")
+def _(t):
+    size = F.col("p.p_size")
+    return select("p.p_partkey", "p.p_size").from_(p=t.part).where(ranges.union(size, [Range(None, 10, upper_open=True), Range(30, None, lower_open=True)])).where(ranges.intersection(size, [Range(5, 40), Range(1, 45)]))()
+
+
+@entry("range_from_columns", "select n.n_nationkey, r.r_regionkey from nation n join region r on n.n_nationkey >= r.r_regionkey * 5 and n.n_nationkey < (r.r_regionkey + 1) * 5")
+def _(t):
+    return select("n.n_nationkey", "r.r_regionkey").from_(n=t.nation).join(r=t.region).on("n.n_nationkey >= r.r_regionkey * :w AND n.n_nationkey < (r.r_regionkey + 1) * :w")(w=5)
+
+
+@entry("memory_rows", "select n.n_name, v.label from nation n join (values (0, 'a'), (2, 'b'), (4, 'c')) v(k, label) on v.k = n.n_regionkey")
+def _(t):
+    return select("n.n_name", "v.label").from_(n=t.nation).join(v=[{"k": 0, "label": "a"}, None, {"k": 2, "label": "b"}, {"k": 4, "label": "c"}]).on("v.k = n.n_regionkey")()
+
+
+@entry("memory_lookup", "select n_name, case n_regionkey when 1 then 'west' else 'east' end as side from nation where n_regionkey in (1, 2)")
+def _(t):
+    sides = Store.rows({"1": {"side": "west"}, "2": {"side": "east"}})  # by hidden key
+    return select(n_name="n.n_name", side="s.side").from_(n=t.nation).join(s=sides).on("s._pk = cast(n.n_regionkey AS string)")()
+
+
+@entry("nested_key_path", "select n_nationkey, case when n_nationkey = 3 then 'changed' else n_name end as n_name from nation where n_nationkey <> 4")
+def _(t):
+    nested = Store.dataframe(select(id="named_struct('key', n.n_nationkey)", n_name="n.n_name").from_(n=t.nation)(), key="id.key")
+    with transaction() as txn:
+        update(n_name="'changed'").into(nested).where("this.id.key = 3")(txn=txn)
+        delete_from(nested).where("this.id.key = 4")(txn=txn)
+    return select(n_nationkey="n.id.key", n_name="n.n_name").from_(n=nested)()
+
+
+@entry("bare_columns", "select n_name, r_name from nation join region on n_regionkey = r_regionkey where n_nationkey > 10")
+def _(t):
+    return select(n_name="n_name", r_name="r_name").from_(n=t.nation).join(r=t.region).on("n_regionkey = r_regionkey").where("n_nationkey > 10")()
+
+
+@entry("group_dependent_column", "select n.n_regionkey, r.r_name, count(1) as n from nation n join region r on n.n_regionkey = r.r_regionkey group by n.n_regionkey, r.r_name")
+def _(t):
+    return select(n_regionkey="n.n_regionkey", r_name="r.r_name", n="count(1)").from_(n=t.nation).join(r=t.region).on("n.n_regionkey = r.r_regionkey").group_by("n.n_regionkey")()
+
+
+@entry("group_then_order", "select c_mktsegment, count(1) as n from customer group by c_mktsegment order by n desc, c_mktsegment")
+def _(t):
+    return select(c_mktsegment="c.c_mktsegment", n="count(1)").from_(c=t.customer).group_by("c.c_mktsegment").order_by("n").desc.order_by("c_mktsegment")()
+
+
+@entry("group_of_groups", "select n, count(1) as customers from (select o_custkey, count(1) as n from orders group by o_custkey) t group by n")
+def _(t):
+    return select(k="o.o_custkey", n="count(1)").from_(o=t.orders).group_by("o.o_custkey").select(n="n", customers="count(1)").group_by("n")()
+
+
+@entry("lateral_subquery", "select c.c_custkey, b.o_orderkey, b.share from customer c, lateral (select o.o_orderkey, o.o_totalprice / c.c_acctbal as share from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > c.c_acctbal * 40) b where c.c_acctbal > 5000")
+def _(t):
+    big = select(o_orderkey="o.o_orderkey", share="o.o_totalprice / c.c_acctbal").from_(o=t.orders).where("o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 40")
+    return select("c.c_custkey", "b.o_orderkey", "b.share").from_(c=t.customer).join(b=big).where("c.c_acctbal > 5000")()
+
+
+@entry("right_join_older_rule", "select n.n_name, r.r_name from (select * from nation where n_nationkey < 8) n right join (select * from region where r_regionkey < 3) r on n.n_regionkey = r.r_regionkey")
+def _(t):
+    return select("n.n_name", "r.r_name").from_(n=t.nation).right_join(r=t.region).on("n.n_regionkey = r.r_regionkey AND r.r_regionkey < 3").where("n.n_nationkey < 8").compat()()
+
+
+@entry("full_join_older_rule", "select n.n_name, r.r_name from (select * from nation where n_nationkey < 8) n full join (select * from region where r_regionkey < 3) r on n.n_regionkey = r.r_regionkey")
+def _(t):
+    return select("n.n_name", "r.r_name").from_(n=t.nation).full_join(r=t.region).on("n.n_regionkey = r.r_regionkey AND r.r_regionkey < 3 AND n.n_nationkey < 8").compat()()
+
+
+@entry("memoized_then_derived", "with t as (select c_nationkey as k, count(1) as n from customer group by c_nationkey) select a.k as k1, b.k as k2 from t a join t b on a.n = b.n and a.k < b.k where a.k > 3")
+def _(t):
+    counts = select(k="c.c_nationkey", n="count(1)").from_(c=t.customer).group_by("c.c_nationkey").memoize
+    return select(k1="a.k", k2="b.k").from_(a=counts, b=counts).where("a.n = b.n AND a.k < b.k")().filter("k1 > 3")
+
+
+@entry("bitwise_functions", "select o_orderkey, o_orderkey & 12 as a, o_orderkey | 5 as o, xor(o_orderkey, 9) as x, ~o_orderkey as n, o_orderkey << 2 as l, o_orderkey >> 1 as r from orders")
+def _(t):
+    return select(o_orderkey="o.o_orderkey", a="o.o_orderkey & 12", o="o.o_orderkey | 5", x="o.o_orderkey ^ 9", n="~o.o_orderkey", l="shiftleft(o.o_orderkey, 2)", r="shiftright(o.o_orderkey, 1)").from_(o=t.orders)()
+
+
+@entry("regex_functions", "select p_partkey, regexp_matches(p_brand, '[1-3]$') as m, regexp_replace(p_type, '[AEIOU]', '_', 'g') as r, regexp_extract(p_brand, '([0-9]+)', 1) as d from part")
+def _(t):
+    return select(p_partkey="p.p_partkey", m="p.p_brand RLIKE '[1-3]$'", r="regexp_replace(p.p_type, '[AEIOU]', '_')", d="regexp_extract(p.p_brand, '([0-9]+)', 1)").from_(p=t.part)()
+
+
+@entry("struct_and_map_functions", "select n_nationkey, n_name as name, n_regionkey * 2 as twice, cast(2 as bigint) as size, n_regionkey as found from nation")
+def _(t):
+    row = select(k="n.n_nationkey", s="named_struct('name', n.n_name, 'in', named_struct('r', n.n_regionkey))", m="map('r', n.n_regionkey, 'k', n.n_nationkey)").from_(n=t.nation)
+    return select(n_nationkey="x.k", name="x.s.name", twice="x.s.in.r * 2", size="cast(cardinality(x.m) AS bigint)", found="x.m['r']").from_(x=row)()
+
+
+@entry("lambda_functions", "select vec_id, cast(list_sum(list_transform(embedding, lambda x: case when x > 0.1 then 2 else 1 end)) as bigint) as weight, cast(len(list_filter(embedding, lambda x: x > 0)) as bigint) as positive from embeddings")
+def _(t):
+    return select(vec_id="v.vec_id", weight="cast(aggregate(transform(v.embedding, x -> CASE WHEN x > 0.1 THEN 2 ELSE 1 END), 0, (a, x) -> a + x) AS bigint)", positive="cast(size(filter(v.embedding, x -> x > 0)) AS bigint)").from_(v=t.embeddings)()
+
+
+@entry("scalar_udf", "select s_suppkey, s_acctbal * 2 + 1 as v, upper(s_name) || '!' as loud from supplier")
+def _(t):
+    register("twice_and_one", F.pandas_udf(lambda s: s * 2 + 1, "double"))
+    register("loud", "concat(upper({0}), '!')")
+    return select(s_suppkey="s.s_suppkey", v="twice_and_one(s.s_acctbal)", loud="loud(s.s_name)").from_(s=t.supplier)()
+
+
+@entry("partial_parameters", "select c_custkey from customer where c_nationkey = 7 and c_acctbal > 1000")
+def _(t):
+    some = select(c_custkey="c.c_custkey").from_(c=t.customer).where("c.c_nationkey = :nation AND c.c_acctbal > :least").partial(nation=3, least=1000)
+    return some(nation=7)
+
+
+@entry("collected_rows", "select r_regionkey, r_name from region where r_regionkey > 0 union all select r_regionkey, lower(r_name) as r_name from region where r_regionkey > 1")
+def _(t):
+    q = select("r.*").from_(r=t.region).where("r.r_regionkey > :k")
+    seen = [tuple(r) for r in q.collect(k=0)]
+    q.for_each(lambda r: seen.append((r.r_regionkey, r.r_name.lower())), k=1)
+    return t.rows(seen, "r_regionkey int, r_name string")
+
+
+@entry("finalized_relation", "select n_name from nation where n_nationkey < 9 and n_regionkey = 1")
+def _(t):
+    final = select(n_name="n.n_name", r="n.n_regionkey").from_(n=t.nation).where("n.n_nationkey < :k").finalize()
+    assert final.tree()["kind"] == "select"
+    return select(n_name="x.n_name").from_(x=final.relation(k=9)).where("x.r = 1")()
+
+
+def _raised(f: Callable[[], object], kind: type[QueryError]) -> bool:
+    try:
+        f()
+    except QueryError as e:
+        return isinstance(e, kind)
+    return False
+
+
+@entry("builder_errors", "select * from (values ('aggregate in where', true), ('alias twice', true), ('edit after finalize', true), ('group without selector', true), ('into twice', true), ('no parameter', true), ('no relation', true), ('nothing to write into', true), ('returning twice', true), ('reserved alias', true), ('select twice', true), ('unknown alias', true)) t(name, raised)")
+def _(t):
+    base = select(n="n.n_name").from_(n=t.nation)
+    wrong: dict[str, tuple[Callable[[], object], type[QueryError]]] = {
+        "select twice": (lambda: base.select(x="1"), QueryError), "alias twice": (lambda: base.join(n=t.region), AliasError),
+        "reserved alias": (lambda: base.join({"$$x": t.region}), AliasError), "unknown alias": (lambda: base.where("z.a = 1")(), AliasError),
+        "aggregate in where": (lambda: base.where("sum(n.n_nationkey) > 1"), AggregateError), "no relation": (lambda: base.join(x=3), QueryError),
+        "group without selector": (lambda: Query().from_(n=t.nation).group_by("1"), QueryError), "edit after finalize": (lambda: base.finalize().where("1 = 1"), QueryError),
+        "no parameter": (lambda: base.where("n.n_name = :x")(), ParameterError), "nothing to write into": (lambda: insert(x="1")(), QueryError),
+        "into twice": (lambda: insert(x="1").into(t.region).into(t.region), QueryError), "returning twice": (lambda: insert(x="1").returning("*").returning("*"), QueryError),
+    }
+    return t.rows([(name, _raised(f, kind)) for name, (f, kind) in wrong.items()], "name string, raised boolean")
+
+
+@entry("write_errors", "select * from (values ('duplicate key', true), ('ended transaction', true), ('key changed', true), ('no key', true), ('same key twice', true), ('several matches', true)) t(name, raised)")
+def _(t):
+    region = t.keyed("region", "r_regionkey")
+    ended = transaction()
+    ended.commit()
+    wrong = {
+        "duplicate key": lambda: insert("r.*").into(region).from_(r=t.region)(), "no key": lambda: insert(r_name="'x'").into(region)(),
+        "same key twice": lambda: insert(r_regionkey="77", r_name="n.n_name").into(region).from_(n=t.nation)(),
+        "key changed": lambda: update(r_regionkey="1").into(region)(), "ended transaction": lambda: delete_from(region)(txn=ended),
+        "several matches": lambda: update(r_name="n.n_name").into(region).join(n=t.nation).on("n.n_regionkey = this.r_regionkey")(),
+    }
+    assert _raised(wrong["ended transaction"], TransactionError)
+    return t.rows([(name, _raised(f, QueryError)) for name, f in wrong.items()], "name string, raised boolean")
+
+
+@entry("parquet_insert", "select n_nationkey, n_name from nation union all select n_nationkey + 100 as n_nationkey, lower(n_name) as n_name from nation where n_regionkey = 2")
+def _(t):
+    nation = t.copy("nation", "n_nationkey")
+    insert(n_nationkey="n.n_nationkey + 100", n_name="lower(n.n_name)", n_regionkey="n.n_regionkey").into(nation).from_(n=nation).where("n.n_regionkey = 2")()
+    return select("n.n_nationkey", "n.n_name").from_(n=nation)()
+
+
+@entry("parquet_upsert_update_delete", "select o_orderkey, case when o_orderkey = 3 then -1.0 when o_orderkey % 7 = 1 then 0.0 else o_totalprice end as o_totalprice from orders where o_orderkey % 5 <> 0")
+def _(t):
+    orders = t.copy("orders", "o_orderkey")
+    update(o_totalprice="0.0D").into(orders).where("this.o_orderkey % 7 = 1")()
+    delete_from(orders).where("this.o_orderkey % 5 = 0")()
+    upsert("o.*").into(orders).from_(o=select("x.*").from_(x=orders).where("x.o_orderkey = 3")().withColumn("o_totalprice", F.lit(-1.0)))()
+    orders.vacuum()
+    return select("o.o_orderkey", "o.o_totalprice").from_(o=orders.refresh())()
+
+
+@entry("parquet_transaction", "select 'nation' as name, count(*) as n from nation where n_regionkey <> 1 union all select 'region' as name, count(*) as n from region where r_regionkey <> 1")
+def _(t):
+    nation, region = t.copy("nation", "n_nationkey"), t.copy("region", "r_regionkey")
+    with transaction() as txn:
+        delete_from(nation).join(r=region).on("r.r_regionkey = this.n_regionkey").where("r.r_regionkey = 1")(txn=txn)
+        delete_from(region).where("this.r_regionkey = 1")(txn=txn)
+    return select(name="'nation'", n="count(1)").from_(n=nation).group_by("1").union_all(select(name="'region'", n="count(1)").from_(r=region).group_by("1"))()
+
+
+@entry("parquet_conflict", "select 'another writer' as error, count(*) + 1 as n from region")
+def _(t):
+    one = t.copy("region", "r_regionkey")
+    two = Store.parquet(one.log.path, "r_regionkey")
+    insert(r_regionkey="50", r_name="'one'").into(one)()
+    lost = _raised(lambda: insert(r_regionkey="51", r_name="'two'").into(two)(), TransactionError)
+    return select(error="'another writer'" if lost else "'none'", n="count(1)").from_(r=two.refresh()).group_by("1")()
+
+
+@entry("transaction_overlay", "select 'before' as seen, count(*) as n from nation union all select 'within' as seen, count(*) as n from nation where n_regionkey <> 3 union all select 'aborted' as seen, count(*) as n from nation")
+def _(t):
+    nation = t.keyed("nation", "n_nationkey")
+    count = lambda seen, txn=None: (seen, select(x="n.n_nationkey").from_(n=nation)(txn=txn).count())
+    before, txn = count("before"), transaction()
+    delete_from(nation).where("this.n_regionkey = 3")(txn=txn)
+    within = count("within", txn)
+    txn.abort()
+    return t.rows([before, within, count("aborted")], "seen string, n bigint")
+
+
+@entry("insert_reads_before_it_writes", "select r_regionkey, r_name from region union all select r_regionkey + 10 as r_regionkey, r_name from region")
+def _(t):
+    region = t.keyed("region", "r_regionkey")
+    with transaction() as txn:
+        insert(r_regionkey="r.r_regionkey + 10", r_name="r.r_name").into(region).from_(r=region)(txn=txn)
+    return select("r.*").from_(r=region)()
+
+
+@entry("generated_keys", "select r_regionkey as k, r_name from region where r_regionkey < 4 union all select n_nationkey + 5 as k, n_name as r_name from nation where n_nationkey < 3")
+def _(t):
+    region = Store.dataframe(t.region.df, "r_regionkey", auto=True)
+    delete_from(region).where("this.r_regionkey = 4")()  # its key isn't given again
+    for k in range(3):
+        insert(r_name="n.n_name").into(region).from_(n=t.nation).where("n.n_nationkey = :k")(k=k)
+    return select(k="r.r_regionkey", r_name="r.r_name").from_(r=region)()
+
+
+@entry("empty_write_set", "select 0 as count, count(*) as n from region")
+def _(t):
+    region = t.keyed("region", "r_regionkey")
+    n = insert("r.*").into(region).from_(r=t.region).where("r.r_regionkey < 0")().first()["count"]
+    n += delete_from(region).where("this.r_regionkey < 0")().first()["count"] + update(r_name="'x'").into(region).where("this.r_regionkey < 0")().first()["count"]
+    return select(count=f"{n}", n="count(1)").from_(r=region).group_by("1")()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, (f, _) in CATALOGUE.items()}
 

@@ -6,7 +6,8 @@ before it, and clauses after it see its columns.
 
 from __future__ import annotations
 
-import weakref
+import re
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AliasError, QueryError
 from ..functions import registry
-from ..functions.text import Expr, as_expr, forbid_aggregates
+from ..functions.text import Expr, as_expr, chains, forbid_aggregates, tokens
 from ..operators import joins, sets, writing
 from ..operators.grouping import Grouping
 from ..operators.scope import Scope
@@ -33,7 +34,6 @@ class Context:
     txn: Transaction | None
     memo: dict[int, DataFrame] = field(default_factory=dict)
     uses: dict[int, int] = field(default_factory=dict)
-    kept: list[DataFrame] = field(default_factory=list)
 
 
 def _items(args: tuple, named: dict) -> tuple:
@@ -145,9 +145,9 @@ class Query:
         return self._with("where", e)
 
     def group_by(self, *keys) -> Query:
-        if self._has("group_by"):
-            raise QueryError("group_by was called already")
-        if not self._has("select"):
+        """Uses the selector before it; a group may be grouped again after another selector."""
+        last = max((i for i, c in enumerate(self.clauses) if c[0] in ("group_by", "union")), default=-1)
+        if not any(c[0] == "select" for c in self.clauses[last + 1 :]):
             raise QueryError("group_by needs a selector before it")
         return self._with("group_by", tuple(as_expr(k) for k in keys))
 
@@ -222,7 +222,8 @@ class Query:
 
     def compat(self) -> Query:
         """Places predicates of outer and anti joins as the older, non-ANSI rule has it: ON terms over the left side alone
-        filter the left rows, and WHERE comparisons over the right side alone act within the join."""
+        filter the left rows, and WHERE comparisons over the right side alone act within the join. A right join is a left join
+        of its sides exchanged; in a full join ON terms over one side alone filter that side, and WHERE acts on the result."""
         return self._change(compat_pushdown=True)
 
     def finalize(self) -> Query:
@@ -282,10 +283,7 @@ class Query:
         if self.kind == "select":
             if txn is not None:
                 txn.check()
-            out = self._memo_or_run(ctx)
-            for df in ctx.kept:
-                weakref.finalize(out, _unpersist, df)
-            return out
+            return self._memo_or_run(ctx)
         return self._write(ctx)
 
     to_df = __call__
@@ -317,11 +315,11 @@ class Query:
         if id(self) not in ctx.memo:
             df = self._run(ctx)
             if ctx.uses.get(id(self), 0) > 1:
-                ctx.kept.append(df := df.persist(StorageLevel.MEMORY_AND_DISK))
+                df = _keep(df.persist(StorageLevel.MEMORY_AND_DISK))
             ctx.memo[id(self)] = df
         return ctx.memo[id(self)]
 
-    def _scan(self, alias: str, r: Store | Query, ctx: Context, mark: bool) -> Scope:
+    def _scan(self, alias: str, r: Store | Query, ctx: Context, mark: bool, outer: frozenset[str] = frozenset()) -> Scope:
         if isinstance(r, Query):
             if r.kind != "select":
                 raise QueryError("only a query can be read from")
@@ -330,9 +328,25 @@ class Query:
             df = _visible(r, ctx)
         if mark:
             df = df.withColumn(PRESENT, F.lit(True))
-        return Scope(df.alias(alias), {alias: df.columns})
+        return Scope(df.alias(alias), {alias: df.columns}, outer)
 
-    def _rows(self, clauses, ctx: Context, start: Scope | None = None) -> tuple[Scope, list]:
+    def _reads(self, aliases: set[str]) -> set[str]:
+        """Which of these aliases, none of its own, the statement's expressions read."""
+        own = {a for c in self.clauses if c[0] in ("from", "join") for a, _ in c[1]}
+        texts = [e.text for e in _expressions(self.clauses) if isinstance(e, Expr)]
+        return {names[0] for t in texts for _, _, names in chains(tokens(t)) if len(names) > 1} & aliases - own
+
+    def _lateral(self, alias: str, ctx: Context, outer: frozenset[str]) -> Scope:
+        """A sub-query that reads the columns of relations before it: FROM, joins, WHERE and a selector of names."""
+        items = next(c[1] for c in self.clauses if c[0] == "select")
+        names = [n or e.text.rsplit(".", 1)[-1] for n, e in items]
+        if self._has("group_by", "union", "order_by") or not all(re.fullmatch(r"\w+", n) for n in names):
+            raise AliasError("a sub-query that reads the relations before it has no groups, unions or order, and names its columns")
+        scope, _ = self._rows(self.clauses, ctx, outer=outer)
+        df = scope.df.select(*[scope.column(e, ctx.params).alias(n) for n, (_, e) in zip(names, items, strict=True)])
+        return Scope(df.alias(alias), {alias: names}, outer)
+
+    def _rows(self, clauses, ctx: Context, start: Scope | None = None, outer: frozenset[str] = frozenset()) -> tuple[Scope, list]:
         """FROM, joins and WHERE of the first segment, and the clauses that are left."""
         params = ctx.params
         marks = any("missing" in (e.text.lower() if isinstance(e, Expr) else "") for e in _expressions(clauses))
@@ -344,22 +358,32 @@ class Query:
                 continue
             side: Scope | None = None
             for alias, r in c[1]:
-                one = self._scan(alias, r, ctx, marks)
+                if isinstance(r, Query) and scope is not None and (seen := r._reads(set(scope.aliases))):
+                    if side is not None or len(c[1]) > 1:
+                        raise AliasError(f"a sub-query that reads {', '.join(sorted(seen))} must be a join's only relation")
+                    one = r._lateral(alias, ctx, frozenset(scope.aliases))
+                else:
+                    one = self._scan(alias, r, ctx, marks, outer)
                 side = one if side is None else joins.cross(side, one)
             if scope is None:
                 scope = side
             elif c[0] == "from":
                 scope = joins.cross(scope, side)
+            elif side.outer != outer:
+                scope = joins.lateral(scope, side, c[2], list(c[3]), params)
             else:
                 kind, on = c[2], list(c[3])
                 if self.compat_pushdown and kind in ("left", "anti"):
                     scope, on, wheres = _older_rule(scope, side, on, wheres, params)
+                elif self.compat_pushdown and kind == "right":  # a left join of the other side
+                    side, on, wheres = _older_rule(side, scope, on, wheres, params)
+                elif self.compat_pushdown and kind == "full":  # each side is the left one of a part; WHERE acts on the whole
+                    scope, on, _ = _older_rule(scope, side, on, [], params)
+                    side, on, _ = _older_rule(side, scope, on, [], params)
                 scope = joins.join(scope, side, kind, on, params)
         if scope is None:
             raise QueryError("a statement needs from_")
-        for e in wheres:
-            scope = Scope(scope.df.filter(scope.column(e, params)), scope.aliases)
-        return scope, [c for c in clauses if c[0] not in ("from", "join", "where")]
+        return joins.filtered(scope, wheres, params), [c for c in clauses if c[0] not in ("from", "join", "where")]
 
     def _run(self, ctx: Context) -> DataFrame:
         cut = next((i for i, c in enumerate(self.clauses) if c[0] in ("group_by", "union")), len(self.clauses))
@@ -404,7 +428,7 @@ class Query:
             state = txn.df(store)
             done = self._written(store, state, ctx)
             result = self._result(done.rows, ctx)
-            txn.put(store, done.state)
+            txn.put(store, done)
             if own:
                 txn.commit()
         except Exception:
@@ -417,7 +441,7 @@ class Query:
         if self.kind in ("insert", "upsert"):
             query = self if self._has("from") else self._with("from", (("__one", Store.dataframe(session().range(1).drop("id"))),))
             rows = replace(query, kind="select", memoized=False)._run(ctx)
-            return writing.put(store, state, rows, self.kind == "upsert")
+            return writing.put(store, state, rows, self.kind == "upsert", ctx.txn.next_key(store))
         this = Scope(state.alias("this"), {"this": state.columns})
         plain = not self._has("from", "join")
         if plain:
@@ -457,6 +481,24 @@ def _visible(store: Store, ctx: Context) -> DataFrame:
     return ctx.txn.df(store) if ctx.txn else store.df
 
 
+#: Memoized results that stay persisted: whatever is built on a statement's result finds them, until so many others came.
+MAX_KEPT = 64
+_kept: deque[DataFrame] = deque()
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    _kept.append(df)
+    while len(_kept) > MAX_KEPT:
+        _unpersist(_kept.popleft())
+    return df
+
+
+def release() -> None:
+    """Drops all memoized results; frames that read them compute them anew."""
+    while _kept:
+        _unpersist(_kept.popleft())
+
+
 def _unpersist(df: DataFrame) -> None:
     try:
         df.unpersist()
@@ -515,4 +557,4 @@ def delete_from(store: Store) -> Query:
     return Query("delete").into(store)
 
 
-__all__ = ["Context", "Query", "delete_from", "insert", "select", "update", "upsert"]
+__all__ = ["Context", "Query", "delete_from", "insert", "release", "select", "update", "upsert"]

@@ -1,8 +1,10 @@
+import gc
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quillspark import QueryError, Store, expr, register, register_aggregate, select
+from quillspark import QueryError, Store, expr, register, register_aggregate, release, select
 from quillspark.errors import AggregateError, AliasError, ParameterError
 
 THING = [
@@ -123,9 +125,80 @@ def test_sets_subqueries_memo(thing, type_):
     assert rows(select(name="type.name", n="c.n").from_(type=type_).join(c=counts).on("c.k = type.id")()) == [("Mineral", 1), ("Vegetable", 2)]
     memo = counts.memoize
     twice = select(x="a.k", y="b.k").from_(a=memo, b=memo).where("a.k < b.k")
-    assert rows(twice()) == [(1, 2)]
-    assert "InMemoryTableScan" in twice()._jdf.queryExecution().executedPlan().toString()
-    assert "InMemoryTableScan" not in memo()._jdf.queryExecution().executedPlan().toString()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    release()
+    assert "InMemoryTableScan" not in plan(memo())
+    assert rows(twice()) == [(1, 2)] and plan(twice()).count("InMemoryTableScan") == 2
+    derived = twice().filter("x = 1").select("y")  # the result itself is gone
+    gc.collect()
+    assert "InMemoryTableScan" in plan(derived.select("y")) and rows(derived) == [(2,)]
+    release()
+    assert "InMemoryTableScan" not in plan(derived.select("y")) and rows(derived.select("y")) == [(2,)]
+
+
+def test_memoized_once(spark, thing):
+    """A memoized sub-query runs once, whatever is built on the result."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        calls.add(1)
+        return x
+
+    register("counted", F.udf(count, "int").asNondeterministic())
+    memo = select(k="counted(cast(t.id AS int))").from_(t=thing).memoize
+    out = select(x="a.k", y="b.k").from_(a=memo, b=memo).where("a.k = b.k")()
+    gc.collect()
+    assert out.filter("x > 0").select("x").count() == 3 and out.filter("y = 2").count() == 1
+    assert calls.value == 3
+
+
+def test_list_parameters(thing):
+    q = select(n="t.name").from_(t=thing)
+    assert rows(q.where("t.id IN (:ids)")(ids=[1, 3])) == [("Apple",), ("Cake",)]
+    assert rows(q.where("t.name NOT IN (?)", ["Apple", "it's"])()) == [("Banana",), ("Cake",)]
+    assert rows(q.where("t.id IN (:ids) OR t.id = 2")(ids=())) == [("Banana",)]
+    assert rows(q.where("t.id in(:ids, 2)")(ids={1})) == [("Apple",), ("Banana",)]
+    assert rows(q.where("array_contains(:ids, t.id)")(ids=[2])) == [("Banana",)]
+    with pytest.raises(ParameterError):
+        q.where("t.id NOT IN (:ids)")(ids=[])
+
+
+def test_grouping_again(more):
+    q = select(k="t.type_id", n="count(1)").from_(t=more).group_by("t.type_id").select(n="n", groups="count(1)", top="max(k)").group_by("n")
+    assert rows(q()) == [(1, 2, 3), (2, 1, 1)]
+    assert rows(q.where("groups > 1").select(t="top")()) == [(3,)]
+
+
+def test_older_rule_of_right_and_full_joins(more, type_):
+    lone = Store.rows([*TYPE, {"id": 9, "name": "Lone"}])
+    on = "type.id = thing.type_id"
+    named = select(t="thing.name", k="type.name")
+    right = named.from_(thing=more).right_join(type=lone).on(on).on("type.id <> 9")
+    left = named.from_(type=lone).left_join(thing=more).on(on).on("type.id <> 9")
+    assert rows(right.compat()()) == rows(left.compat()()) == [("Apple", "Vegetable"), ("Banana", "Vegetable"), ("Cake", "Mineral")]
+    assert (None, "Lone") in rows(right())
+    within = named.from_(thing=more).right_join(type=lone).on(on).where("thing.id = 1")
+    assert rows(within.compat()()) == sorted([("Apple", "Vegetable"), (None, "Mineral"), (None, "Lone")], key=repr) and rows(within()) == [("Apple", "Vegetable")]
+    full = named.from_(thing=more).full_join(type=lone).on(on).on("thing.id < 4").on("type.id < 9")
+    assert rows(full.compat()()) == [("Apple", "Vegetable"), ("Banana", "Vegetable"), ("Cake", "Mineral")]
+    assert ("Pie", None) in rows(full()) and (None, "Lone") in rows(full())
+
+
+def test_lateral(more, type_):
+    """A sub-query reads the columns of relations before it."""
+    heavier = select(name="x.name", more="x.calories - t.calories").from_(x=more).where("x.type_id = t.type_id AND x.calories > t.calories")
+    q = select(n="t.name", m="h.name", d="h.more").from_(t=more).join(h=heavier)
+    assert rows(q()) == [("Apple", "Banana", 10)]
+    assert len(rows(select(n="t.name", m="h.name").from_(t=more).left_join(h=heavier)())) == 4
+    assert rows(select(n="t.name", m="h.name").from_(t=more).join(h=heavier).on("h.more > :d")(d=10)) == []
+    kinds = select(k="k.name").from_(k=type_).join(x=more).on("x.type_id = k.id AND x.id < t.id").where("k.id = t.type_id")
+    assert rows(select(n="t.name", k="s.k").from_(t=more).join(s=kinds).where("t.id > :x")(x=0)) == [("Banana", "Vegetable")]
+    for wrong in (
+        lambda: select(n="t.name").from_(t=more).join(h=select(n="count(1)").from_(x=more).where("x.id = t.id").group_by("1"))(),
+        lambda: select(n="t.name").from_(t=more).full_join(h=heavier)(), lambda: select(n="t.name").from_(t=more).join(h=heavier, k=type_)(),
+    ):
+        with pytest.raises(AliasError):
+            wrong()
 
 
 def test_functions(spark, thing):
