@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -18,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch  # noqa: F401 - the other modules take it from here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words of the alphanumeric rule `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, as a Java pattern.
 GAP_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,47 +109,6 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. Where it is unset, local mode takes a temporary
-    folder; on a cluster that would lose data, so it is an error."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_quill_root", None)
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = context._quill_root = "file://" + tempfile.mkdtemp(prefix="quill-")
-    return root.rstrip("/")
-
-
-class Scratch:
-    """A folder of written tables in the shared root: they cut lineage and survive lost executors.
-
-    Results may read these tables lazily, so they are removed when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/quill/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.remove)
-
-    def stash(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.path}/{name}")
-
-    def remove(self) -> None:
-        try:
-            self._delete(self.path)
-        except Exception:  # noqa: BLE001 - the session may be gone when the driver ends
-            pass
-
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, elementwise over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
