@@ -51,7 +51,7 @@ from .components import components
 
 SMALL, LARGE, LEAF, SHARED = 8, 512, 16, 3
 #: Members of a cluster that one task joins, and rows that a task of a shuffle has, on average.
-CLUSTER_ROWS, ROWS_A_TASK = 300, 20_000
+CLUSTER_ROWS, ROWS_A_TASK = 10_000, 20_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
