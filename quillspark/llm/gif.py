@@ -157,34 +157,38 @@ def _runs_of_codes(stream: bytes, min_code: int) -> Iterator[np.ndarray]:
 
 
 def lzw_decode(stream: bytes, min_code: int, n: int) -> np.ndarray:
-    """n samples of an LZW stream; a stream that ends early leaves the rest 0."""
+    """n samples of an LZW stream; a stream that ends early leaves the rest 0.
+
+    The dictionary's entry made after code t is what code t stands for and the sample after it: a stretch of the output. So
+    a code points to an earlier stretch, and each sample to an earlier one; pointers are followed for all at once."""
     if not 1 < min_code < 9:
         raise ValueError(f"LZW codes of {min_code} bits")
     clear = 1 << min_code
-    roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    out: list[bytes] = []
-    size = 0
-    for run in _runs_of_codes(stream, min_code):
-        known, count = list(roots), clear + 2
-        before = b""
-        for code in run.tolist():
-            if code < count:
-                now = known[code]
-            elif code == count and before:
-                now = before + before[:1]
-            else:
-                raise ValueError(f"LZW code {code} of {count}")
-            if before and count < 4096:
-                known.append(before + now[:1])
-                count += 1
-            out.append(now)
-            before = now
-            size += len(now)
-            if size >= n:
+    out, size = [np.empty(0, np.uint8)], 0
+    for codes in _runs_of_codes(stream, min_code):
+        codes, place = codes.astype(np.int64), np.arange(len(codes))
+        literal, entry = codes < clear, codes - (clear + 2)
+        bad = np.flatnonzero(~literal & ((entry < 0) | (entry >= place)))
+        if len(bad):
+            raise ValueError(f"LZW code {codes[bad[0]]} of {clear + 2 + max(0, bad[0] - 1)}")
+        entry = np.where(literal, place, entry)
+        length, at = (~literal).astype(np.int64), entry
+        while (step := length[at]).any():
+            length, at = length + step, at[at]
+        length += 1
+        start = np.cumsum(length) - length
+        owner = np.repeat(place, length)
+        source = np.arange(len(owner)) - start[owner] + start[entry][owner]
+        while True:
+            further = source[source]
+            if (further == source).all():
                 break
+            source = further
+        out.append(codes[owner[source]].astype(np.uint8))
+        size += len(owner)
         if size >= n:
             break
-    got = np.frombuffer(b"".join(out)[:n], np.uint8)
+    got = np.concatenate(out)[:n]
     return np.concatenate((got, np.zeros(n - len(got), np.uint8)))
 
 
