@@ -266,6 +266,14 @@ class WordEncoder:
         cuts = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and self._drops_space()
         self.by_piece = cuts and {n["type"] for n in normal} <= self.LOCAL and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in spaces)
         self.lower = any(n["type"] == "Lowercase" for n in normal)
+        # Tokens that end a word, if the vocabulary marks them; signs that end a piece of letters and are none of it.
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
+        pieces = lambda t: [p for p, _ in self.model.pre_tokenizer.pre_tokenize_str(t)]
+        apart = [c for c in ".,;:!?" if pieces(f"ab{c}") == [*pieces("ab"), *pieces(c)]] if self.by_piece else []
+        self.signs = dict(zip([c.encode() for c in apart], self._each([c.encode() for c in apart]), strict=True))
         self.added = [t["content"].encode().lower() for t in made["added_tokens"]]
 
     def _drops_space(self) -> bool:
@@ -279,6 +287,33 @@ class WordEncoder:
             out += [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts[i : i + 2000]], add_special_tokens=False)]
         return out
 
+    def _learned(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pieces. Those of letters alone, but for a sign at the end that makes a piece of its own, go many to a text."""
+        bare: dict[bytes, bytes] = {}
+        other: dict[bytes, bytes] = {}
+        cut = []
+        for w in words:
+            sign = w[-1:] if w[-1:] in self.signs else b""
+            stem = w[:-1] if sign else w
+            if stem.isalpha() if stem.isascii() else stem.decode().isalpha():
+                bare[stem] = b""
+                cut.append((stem, sign))
+            else:
+                other[w] = b""
+                cut.append((w, b""))
+        other.update(zip(other, self._each(list(other)), strict=True))
+        stems = list(bare)
+        groups = [stems[i : i + 500] for i in range(0, len(stems), 500)]
+        for own, e in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(ends) == len(own):  # each word has one at least, so one each
+                raw, ends = ids.tobytes(), [0, *ends.tolist()]
+                bare.update((w, raw[x:y]) for w, x, y in zip(own, ends, ends[1:]))
+            else:
+                bare.update(zip(own, self._each(own), strict=True))
+        return [(bare[w] + self.signs.get(sign, b"")) if w in bare else other[w] for w, sign in cut]
+
     def _whole(self, text: bytes) -> bool:
         low = text.lower()
         return not self.by_piece or any(t in low for t in self.added)
@@ -312,7 +347,7 @@ class WordEncoder:
             numbers: dict[bytes, int] = {}
             which = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(start[miss].tolist(), stop[miss].tolist(), strict=True)], np.int64)
             first = miss[np.unique(which, return_index=True)[1]]
-            ids = self._each(list(numbers))
+            ids = self._learned(list(numbers))
             short, long = np.flatnonzero(length[first] <= LONG), np.flatnonzero(length[first] > LONG)
             place, n = np.empty(len(first), np.int64), table.n
             place[short], place[long] = n + np.arange(len(short)), n + len(short) + np.arange(len(long))
