@@ -33,9 +33,7 @@ from .common import Scratch, small_batches
 
 #: Fixed values of the format.
 MAGIC, BREAK, RECORD_END = b"WARC/1.0\r\n", "\r\n", "\r\n\r\n"
-#: A version line at a file's start or after a record end.
-START = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
-NEXT = re.compile(rb"\r\nWARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Payloads with copies, of about 60 bytes each, that may be broadcast.
 MAX_BROADCAST = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -108,14 +106,13 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int
     files.write.mode("overwrite").option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
 
 
-def _header(data: bytes, at: int, what: bytes) -> tuple[dict[bytes, bytes], int]:
-    """Fields by lower-case name, and where the body begins; -1 if there is no header here."""
+def _header(data: bytes, at: int, stop: int, what: bytes) -> tuple[dict[bytes, bytes], int]:
+    """Fields by lower-case name, and where the body begins; -1 if there is no header here that ends before `stop`."""
     if not data.startswith(what, at):
         return {}, -1
-    # A version line is no field, so a header ends before the next one: no byte is searched again and again.
-    after = NEXT.search(data, at)
-    end = data.find(b"\r\n\r\n", at, after.start() + 2 if after else len(data))
-    if end < 0:
+    # Candidates stand after such a break, so this looks no further than the next of them.
+    end = data.find(b"\r\n\r\n", at, stop)
+    if end < 0 or VERSION.search(data, at + 1, end + 2):  # a version line is no field
         return {}, -1
     lines = data[at:end].split(b"\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}, end + 4
@@ -130,14 +127,16 @@ def candidates(data: bytes) -> Iterator[tuple]:
     """Of whatever looks like a record: offset, successor, page_id, payload_bytes, payload_digest, record_type, refers_to,
     record_id, target_uri, and where its payload is (from, to)."""
     text = lambda b: b.decode("utf-8", "replace")
-    for found in START.finditer(data):
+    for found in VERSION.finditer(data):
         at = found.start()
-        fields, body = _header(data, at, b"WARC/1.")
+        if at and data[max(at - 4, 0) : at] != b"\r\n\r\n":
+            continue
+        fields, body = _header(data, at, len(data), b"WARC/1.")
         size = fields.get(b"content-length", b"")
         if body < 0 or not size.isdigit() or body + int(size) > len(data):
             continue
         stop = body + int(size)
-        http, payload = _header(data[:stop], body, b"HTTP/1")
+        http, payload = _header(data, body, stop, b"HTTP/1")
         kind = text(fields.get(b"warc-type", b""))
         payload = stop if kind == "revisit" else payload if payload >= 0 else body
         if kind == "revisit":
