@@ -117,19 +117,19 @@ def _merge(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
 
 
 class _Held:
-    """Rows of COUNTS held by a task: merged when there are MAX_HELD, sent if that doesn't halve them."""
+    """Rows of COUNTS held by a task: merged when there are too many, sent if that doesn't halve them."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         self.parts: list[pd.DataFrame] = []
-        self.size = 0
+        self.size, self.most = 0, most
 
     def add(self, new: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         self.parts += new
         self.size += sum(map(len, new))
-        if self.size > MAX_HELD:
+        if self.size > self.most:
             self.parts = _merge(self.parts)
             self.size = sum(map(len, self.parts))
-            if self.size > MAX_HELD // 2:
+            if 2 * self.size > self.most:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ class _Held:
 def _counter(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
-        held = _Held()
+        held = _Held(MAX_HELD)
         for pdf in batches:
             texts = pdf["text"].tolist()
             label = pdf["label"].to_numpy(np.int64).copy()
@@ -158,7 +158,7 @@ def _counter(broadcast):
 
 def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Summed rows: words go on; of pairs, those counted 3 times or more in a class do, and all are counted for their word."""
-    held = _Held()
+    held = _Held(MAX_HELD)
     for pdf in batches:
         pairs = pdf[pdf["kind"] == PAIR]
         n0, n1 = pairs["n0"].to_numpy(), pairs["n1"].to_numpy()
@@ -226,10 +226,22 @@ def tables(counts: DataFrame, scratch: Scratch) -> tuple[dict[str, DataFrame], f
 class Table:
     """Entries that are broadcast, a filter for the others, and these."""
 
-    keys: np.ndarray
+    keys: np.ndarray  # hashes, ascending
     values: np.ndarray
     others: Bloom | None
     cold: DataFrame | None = field(default=None, repr=False)
+    starts: np.ndarray | None = None  # where the keys of each leading bits begin, about one of each
+
+    def __post_init__(self):
+        ends = np.bincount(self._leading(self.keys), minlength=1 << self.bits)
+        self.starts = np.concatenate(([0], np.cumsum(ends))).astype(np.int32)
+
+    @property
+    def bits(self) -> int:
+        return max(1, len(self.keys).bit_length())
+
+    def _leading(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __getstate__(self):
         return self.__dict__ | {"cold": None}
@@ -255,10 +267,16 @@ class Table:
         """Values of each key, and whether a colder entry may have others."""
         out = np.tile(np.array(default), (len(key), 1))
         found = np.zeros(len(key), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[at] == key
-            out[found] = self.values[at[found]]
+        first = self._leading(key)
+        at, stop = self.starts[first].astype(np.int64), self.starts[first + 1]
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            same = self.keys[at[live]] == key[live]
+            found[live[same]] = True
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < stop[live]]
+        out[found] = self.values[at[found]]
         return out, ~found & self.others.holds(key) if self.others else np.zeros(len(key), bool)
 
 
