@@ -511,6 +511,8 @@ class Join:
             part = part.unionByName(Spread(self, reps, members, pairs, large).run())
         part = part.groupBy("node").agg(F.min("component").alias("component"))  # ids that repeat with another text
         part = scratch.stash(part, "found")
+        for name in ("reps", "members", "pairs", "clusters", "sizes", "components"):
+            scratch.drop(name)
         # Classes of at least 1/65536 of all rows, which are 65536 at most, are broadcast, the others joined by shuffle; rows
         # without shingles or without id need no class.
         hot = F.col("copies") * 65536 >= self.rows

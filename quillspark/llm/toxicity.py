@@ -433,6 +433,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     found = tables(counts, scratch)
     if found is None:
         return None
+    for name in ("counts", "words"):
+        scratch.drop(name)
     model = Model(*[Table.of(spark, found[0][k], MAX_HOT[k]) for k in ("word", "context", "pair")], found[1])
     rows = rows.filter("fold = 3")
     # Of a class beyond the bound, the rows whose hash is below the share that the bound is of it: no sort, and within one
