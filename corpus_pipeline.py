@@ -80,13 +80,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_files", token_files),
 ]
 
-#: Kneser-Ney scoring, tokenisation and files can't be said in SQL; the tests hold each stage against brute force.
+#: Kneser-Ney scoring, tokenisation and files can't be said in SQL; the tests hold the operators against brute force, and
+#: the stages' decisions over a small corpus.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.stash(stage(spark, docs, sf_dir), name)
+        if i:  # only the last stage's table is read from here on
+            scratch.drop(STAGES[i - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
