@@ -336,15 +336,14 @@ class Query:
         texts = [e.text for e in _expressions(self.clauses) if isinstance(e, Expr)]
         return {names[0] for t in texts for _, _, names in chains(tokens(t)) if len(names) > 1} & aliases - own
 
-    def _lateral(self, alias: str, ctx: Context, outer: frozenset[str]) -> Scope:
-        """A sub-query that reads the columns of relations before it: FROM, joins, WHERE and a selector of names."""
+    def _lateral(self, ctx: Context, outer: frozenset[str]) -> tuple[Scope, list]:
+        """A sub-query that reads the columns of relations before it: rows of FROM, joins and WHERE, and a selector of names."""
         items = next(c[1] for c in self.clauses if c[0] == "select")
         names = [n or e.text.rsplit(".", 1)[-1] for n, e in items]
         if self._has("group_by", "union", "order_by") or not all(re.fullmatch(r"\w+", n) for n in names):
             raise AliasError("a sub-query that reads the relations before it has no groups, unions or order, and names its columns")
         scope, _ = self._rows(self.clauses, ctx, outer=outer)
-        df = scope.df.select(*[scope.column(e, ctx.params).alias(n) for n, (_, e) in zip(names, items, strict=True)])
-        return Scope(df.alias(alias), {alias: names}, outer)
+        return scope, [(n, e) for n, (_, e) in zip(names, items, strict=True)]
 
     def _rows(self, clauses, ctx: Context, start: Scope | None = None, outer: frozenset[str] = frozenset()) -> tuple[Scope, list]:
         """FROM, joins and WHERE of the first segment, and the clauses that are left."""
@@ -357,11 +356,12 @@ class Query:
             if c[0] not in ("from", "join"):
                 continue
             side: Scope | None = None
+            items: list | None = None
             for alias, r in c[1]:
                 if isinstance(r, Query) and scope is not None and (seen := r._reads(set(scope.aliases))):
                     if side is not None or len(c[1]) > 1:
                         raise AliasError(f"a sub-query that reads {', '.join(sorted(seen))} must be a join's only relation")
-                    one = r._lateral(alias, ctx, frozenset(scope.aliases))
+                    one, items = r._lateral(ctx, frozenset(scope.aliases))
                 else:
                     one = self._scan(alias, r, ctx, marks, outer)
                 side = one if side is None else joins.cross(side, one)
@@ -369,8 +369,8 @@ class Query:
                 scope = side
             elif c[0] == "from":
                 scope = joins.cross(scope, side)
-            elif side.outer != outer:
-                scope = joins.lateral(scope, side, c[2], list(c[3]), params)
+            elif items is not None:
+                scope = joins.lateral(scope, side, alias, items, c[2], list(c[3]), params)
             else:
                 kind, on = c[2], list(c[3])
                 if self.compat_pushdown and kind in ("left", "anti"):

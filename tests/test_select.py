@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark import QueryError, Store, expr, register, register_aggregate, release, select
 from quillspark.errors import AggregateError, AliasError, ParameterError
+from quillspark.functions.registry import MACROS
 
 THING = [
     {"id": 1, "name": "Apple", "calories": 95, "type_id": 1},
@@ -201,6 +202,41 @@ def test_lateral(more, type_):
             wrong()
 
 
+def test_lateral_items_read_both_sides(more, type_):
+    """Items over both sides are worked out above the join: its rows are never crossed with the values that the items read."""
+
+    def run(q, **params):
+        df = q(**params)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        return rows(df)
+
+    other = select(n="x.name", d="x.calories - t.calories", s="coalesce(x.calories, 0) + t.id").from_(x=more).where("x.type_id = t.type_id AND x.id <> t.id")
+    assert run(select(t="t.name", n="o.n", d="o.d").from_(t=more).join(o=other)) == [("Apple", "Banana", 10), ("Banana", "Apple", -10)]
+    assert run(select(t="t.name", d="o.d").from_(t=more).join(o=other).on("o.d > :d AND d < 11"), d=0) == [("Apple", 10)]
+    left = select(t="t.name", n="o.n", s="o.s").from_(t=more).left_join(o=other)
+    assert run(left) == [("Apple", "Banana", 106), ("Banana", "Apple", 97), ("Cake", None, None), ("Pie", None, None)]
+    ended = [("Apple", "Banana", 106), ("Banana", None, None), ("Cake", None, None), ("Pie", None, None)]
+    assert run(left.on("o.d > ?", 0).on("t.id < 3")) == run(left.on("o.d > 0 AND o.n = 'Banana'")) == ended
+    # terms that could mean another column within the sub-query, and Columns, are joined on as they are
+    assert rows(left.on("d > 0")()) == rows(left.on(F.col("o.d") > 0)()) == rows(left.on(lambda p: F.col("o.d") > p.d)(d=0)) == ended
+    # names are the sub-query's own first: the alias k, the bare name
+    own = select(v="k.name || name || t.name").from_(k=type_).where("k.id = t.type_id")
+    assert run(select(a="k.name", v="h.v").from_(t=more).join(k=type_).on("k.id = t.id").join(h=own)) == [("Mineral", "VegetableVegetableBanana"), ("Vegetable", "VegetableVegetableApple")]
+    row = select(v="to_json(named_struct('k', k, 't', t.id))", w="transform(array(k.id), id -> id + t.id)").from_(k=type_).where("k.id = t.type_id")
+    assert run(select("h").from_(t=more).join(h=row).where("t.id = 3")) == [('{"k":{"id":2,"name":"Mineral"},"t":3}', [5])]
+    nested = select(v="g.v + t.id").from_(k=type_).left_join(g=select(v="x.calories * k.id").from_(x=more).where("x.type_id = k.id")).where("k.id = t.type_id")
+    assert run(select(t="t.id", v="sum(h.v)").from_(t=more).left_join(h=nested).group_by("t.id")) == [(1, 202), (2, 204), (3, 473), (4, 0)]
+    register("upper", "upper({0} || '!')")  # put in once
+    loud = select(v="upper(k.name || t.name)").from_(k=type_).where("k.id = t.type_id")
+    try:
+        assert run(select(v="h.v").from_(t=more).left_join(h=loud).on("upper(h.v) LIKE '%CAKE!!'")) == [("MINERALCAKE!",), (None,), (None,), (None,)]
+    finally:
+        del MACROS["upper"]
+    absent = select(v="CASE WHEN missing(k) THEN t.name ELSE k.name END").from_(x=more).left_join(k=type_).on("k.id = x.type_id").where("x.id = t.id")
+    assert run(select(v="h.v").from_(t=more).join(h=absent)) == [("Mineral",), ("Pie",), ("Vegetable",), ("Vegetable",)]
+
+
 def test_functions(spark, thing):
     register("twice", "({0}) * 2")
     register("shout", F.udf(lambda s: s and s + "!", "string"))
