@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +112,37 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+#: What a Python worker keeps from one task to the next, by name: how it is dropped.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str = "") -> None:
+    for name, drop in KEPT.items():
+        if name != but:
+            drop()
+
+
+def give_back() -> None:
+    """Returns free memory to the system. Workers live as long as their executor and serve all operators; the allocators
+    of C and Arrow would keep what the largest task took in each of them, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], keep: str = "") -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's function that first drops what tasks of other kinds have kept, and gives memory back at its end."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_kept(keep)
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, elementwise over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -235,6 +269,7 @@ def gathered(spark: SparkSession, df: DataFrame) -> tuple[np.ndarray, ...]:
     """Columns (long or double) of a table known to be small, in the order of the first."""
     names, kinds = df.columns, [np.int64 if k == "bigint" else np.float64 for _, k in df.dtypes]
 
+    @tidy
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({c: [pdf[c].to_numpy(k).tobytes()] for c, k in zip(names, kinds, strict=True)})
@@ -275,6 +310,7 @@ def unpack_counts(raw: bytes) -> np.ndarray:
 
 
 def _adder(salted: bool):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:

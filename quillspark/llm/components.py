@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 EDGE = "a long, b long"
 
 
+@tidy
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of a task as stars: each node with the smallest that its links in this task reach."""
     for pdf in batches:

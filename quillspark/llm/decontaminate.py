@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, ROW, Scratch, alnum_array, alnum_words, join_rows, small_batches, with_row_key
+from .common import ALNUM_BYTES, ROW, Scratch, alnum_array, alnum_words, drop_kept, give_back, join_rows, small_batches, tidy, with_row_key
 
 SAMPLE = 8
 SCHEMA = "doc_id string, text string, n_words long, spans array<array<long>>, items array<string>"
@@ -224,6 +224,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
 
 
 def _searcher(broadcast, shard_words: int, keep_text: bool):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         phrases = broadcast.value
         held: list[pd.DataFrame] = []
@@ -332,8 +333,10 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
 
 def _holds(shared):
     def search(parts):
+        drop_kept()
         for texts in parts:
             yield pd.Series([bool(spans) for _, spans, _ in search_shard(texts.tolist(), shared.value)], dtype=bool)
+        give_back()
 
     search.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(search, "boolean")

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import COUNT_SCHEMA, GAP_SPACE, Bloom, Scratch, batch_rows, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, unpack_counts, xxhash_longs
+from .common import COUNT_SCHEMA, GAP_SPACE, Bloom, Scratch, batch_rows, count_rows, hash_words, joined, mix64, pack_counts, slices, small_batches, sum_counts, tidy, unpack_counts, xxhash_longs
 from .components import components
 
 SMALL, LARGE, LEAF, SHARED = 8, 512, 16, 3
@@ -114,6 +114,7 @@ def coarse(p: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _sketch(bits: int, words: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((1, 1 << bits), np.int32)
         for pdf in batches:
@@ -134,6 +135,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _profiles(broadcast, sim: Similarity):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = broadcast.value
         mask = np.uint64(len(levels) - 1)
@@ -155,6 +157,7 @@ def _profiles(broadcast, sim: Similarity):
 def _blocks(sim: Similarity, large: int, most: int = 100_000):
     """large: blocks beyond it get no tree; most: rows of a block that a task holds."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key. Pairs of small blocks (kind 0); members of larger ones (1: name of the block, doc); members
         of the largest (2), which are candidates with one of them (3) without a look at their points."""
@@ -216,6 +219,7 @@ def _blocks(sim: Similarity, large: int, most: int = 100_000):
 
 
 def _within_bound(sim: Similarity):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bound = []
@@ -228,6 +232,7 @@ def _within_bound(sim: Similarity):
 
 
 def _verified(sim: Similarity):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
@@ -325,6 +330,7 @@ def best(x: np.ndarray, y: np.ndarray, other: np.ndarray, gain: np.ndarray, k: i
 def _by_block(emit):
     """emit: from the rows of a block to pairs; rows come sorted by key."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -425,6 +431,7 @@ def join_cluster(docs: list[int], sets: list[np.ndarray], sim: Similarity) -> li
 
 
 def _cluster_links(sim: Similarity):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by cluster."""
         cluster, docs, sets = None, [], []

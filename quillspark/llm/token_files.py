@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP_SPACE, LONG, Scratch, blocks_at, hash_words, slices, small_batches, word_blocks, word_bounds
+from .common import GAP_SPACE, KEPT, LONG, Scratch, blocks_at, hash_words, slices, small_batches, tidy, word_blocks, word_bounds
 
 MAGIC, TERMINATOR = b"QS8B", b"\n"
 HEAD = "<4sIIIQII"
@@ -386,10 +386,18 @@ class WordEncoder:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str, end_id: int) -> WordEncoder:
-    """One for all tasks of a Python worker."""
+    """One for all tasks of a Python worker that encode."""
     return WordEncoder(path, end_id)
 
 
+def _drop_encoder() -> None:
+    _encoder.cache_clear()
+    _tokenizer.cache_clear()
+
+
+KEPT["encoder"] = _drop_encoder
+
+
 def _encoded(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(path, end_id)
@@ -421,7 +429,7 @@ def _encoded(path: str, end_id: int, block_ids: int):
         if parts:
             yield flush()
 
-    return run
+    return tidy(run, keep="encoder")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 500_000) -> None:
@@ -457,6 +465,7 @@ def blocks_of(data: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndar
 
 
 def _decoded(with_ids: bool):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:

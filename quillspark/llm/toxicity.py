@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import ALNUM_BYTES, GAP_32, Bloom, Scratch, batch_rows, gathered, hash_words, joined, slices, small_batches, xxhash_longs
+from .common import ALNUM_BYTES, GAP_32, Bloom, Scratch, batch_rows, drop_kept, gathered, give_back, hash_words, joined, slices, small_batches, tidy, xxhash_longs
 
 #: Discounts of counts of 1, 2, and 3 or more.
 WORD_DISCOUNTS, PAIR_DISCOUNTS = (1.0, 1.3, 1.5), (1.0, 2.0, 1.5)
@@ -138,6 +138,7 @@ class _Held:
 
 
 def _counter(broadcast):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, toxic = broadcast.value
         held = _Held(MAX_HELD)
@@ -156,6 +157,7 @@ def _counter(broadcast):
     return run
 
 
+@tidy
 def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Summed rows: words go on; of pairs, those counted 3 times or more in a class do, and all are counted for their word."""
     held = _Held(MAX_HELD)
@@ -295,6 +297,7 @@ ASKED = "text_key long, word long, left long, pair long, times long, ask_word bo
 GOT = ["total_u", "large_u", "max_u", "total_b", "large_b", "max_b"]
 
 
+@tidy
 def _answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Differences of asked places."""
     for pdf in batches:
@@ -344,7 +347,7 @@ class Model:
 
     def answers(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
         """Of docs' text_key and text, by text_key: GOT of the places that are asked."""
-        rows = scratch.stash(docs.mapInPandas(self.asked, ASKED), "asked")
+        rows = scratch.stash(docs.mapInPandas(tidy(self.asked), ASKED), "asked")
         for table, by, ask in ((self.word, "word", "ask_word"), (self.context, "left", "ask_context"), (self.pair, "pair", "ask_pair")):
             if table.cold is None:
                 continue
@@ -448,6 +451,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     shared = spark.sparkContext.broadcast(model)
     names = [f"x{i}" for i in range(FEATURES)] + ["y"]
 
+    @tidy
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame(np.column_stack((shared.value.features(pdf), pdf["l_toxic"])), columns=names)
@@ -478,8 +482,10 @@ def with_toxicity(
         shared = spark.sparkContext.broadcast(model)
 
         def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            drop_kept()
             for pdf in parts:
                 yield pd.Series(shared.value.score(pdf), dtype=float)
+            give_back()
 
         score.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
         # The struct takes the score column's name until the score does.
